@@ -118,7 +118,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
         return pd.DataFrame(rows, columns=["length", "first", "n", "each", "sequence", "offset"], dtype="int64")
 
     lengths = base.groupBy("length").agg(F.sum("n").alias("n"))  # at most `capacity` rows
-    intervals = lengths.groupBy(F.lit(0)).applyInPandas(superstep, "length long, first long, n long, each long, sequence long, offset long")
+    intervals = lengths.groupBy((F.col("length") * 0).alias("all")).applyInPandas(superstep, "length long, first long, n long, each long, sequence long, offset long")
     places = defaultdict(list)
     for r in scratch.keep(intervals, "intervals").collect():
         places[r["length"]].append((r["first"], r["each"], r["sequence"], r["offset"]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditgrove.llm import decontam, near_dup, quality
+from auditgrove.llm import decontam, near_dup, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op4_near_duplicates": op4_near_duplicates, "op9_quality_rules": op9_quality_rules}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op4_near_duplicates, op9_quality_rules, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}

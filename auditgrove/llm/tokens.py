@@ -10,14 +10,16 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 1_000_000
-#: ASCII letters with closing punctuation: two pre-tokens at most, whose parts are encoded alone.
-PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?|#$%&*()]*)")
+CACHE_WORDS = 1_200_000
+#: A word that closes with punctuation behind a letter: a pre-token ends between the two, so they are encoded apart.
+CLOSED = r"^(?P<base>.*\p{L})(?P<tail>[.,;:!?|#$%&*()]+)$"
+LETTERS = re.compile("[a-z]+")
 
 
 def default_path() -> str:
@@ -39,38 +41,33 @@ class Encoder:
         self.ids, self.used = np.empty(1 << 16, np.int32), 0
         self.first, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32)
 
-    def add(self, word: str, ids: list[int]) -> None:
-        n = len(self.index)
-        if n == len(self.first):
-            self.first, self.size = np.resize(self.first, 2 * n), np.resize(self.size, 2 * n)
-        while self.used + len(ids) > len(self.ids):
+    def add(self, words: list[str], ids: list[list[int]]) -> None:
+        n, sizes = len(self.index), np.fromiter(map(len, ids), np.int32, len(ids))
+        total = int(sizes.sum())
+        while n + len(words) > len(self.first):
+            self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
+        while self.used + total > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.index[word], self.first[n], self.size[n] = n, self.used, len(ids)
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-
-    def learn(self, words: list[str]) -> None:
-        """Encode the words not met yet."""
-        fresh = [w for w in words if w not in self.index]
+        self.index.update(zip(words, range(n, n + len(words))))
+        self.size[n : n + len(words)] = sizes
+        self.first[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+        self.used += total
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """Places of the words; those not met yet are encoded."""
+        fresh = list(dict.fromkeys(w for w in words if w not in self.index))
         if len(self.index) + len(fresh) > CACHE_WORDS and self.index:
             self.clear()
-            fresh = words
-        model, rest, tails = self.tokenizer.model, [], {}
-        for w in fresh:
-            m = PLAIN.fullmatch(w)
-            if m is None:
-                rest.append(w)
-                continue
-            ids = [t.id for t in model.tokenize(m[1].lower())]
-            if m[2]:
-                if m[2] not in tails:
-                    tails[m[2]] = self.tokenizer.encode(m[2], add_special_tokens=False).ids
-                ids = ids + tails[m[2]]
-            self.add(w, ids)
-        for i in range(0, len(rest), 1000):
-            part = rest[i : i + 1000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.add(w, e.ids)
+            fresh = list(dict.fromkeys(words))
+        tokenize, letters = self.tokenizer.model.tokenize, LETTERS.fullmatch
+        plain = [w for w in fresh if letters(w)]  # one pre-token that normalisation leaves as it is
+        self.add(plain, [[t.id for t in tokenize(w)] for w in plain])
+        rest = [w for w in fresh if not letters(w)]
+        for i in range(0, len(rest), 5000):
+            part = rest[i : i + 5000]
+            self.add(part, [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, ``end`` after each, and the position where each text's ids start (one more at the end)."""
@@ -79,21 +76,33 @@ class Encoder:
             return np.concatenate(each or [np.empty(0, np.int32)]), np.concatenate(([0], np.cumsum([len(e) for e in each]))).astype(np.int64)
         parts = pc.ascii_split_whitespace(texts)
         coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self.learn(words)
-        index = np.fromiter((self.index[w] for w in words), np.int64, len(words))
+        words = coded.dictionary
+        plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))  # letter case is lost anyway
+        words = pc.if_else(plain, pc.ascii_lower(words), words)
+        closed = pc.extract_regex(words, CLOSED)
+        bases = pc.coalesce(pc.struct_field(closed, "base"), words).dictionary_encode()
+        tails = pc.fill_null(pc.struct_field(closed, "tail"), "").dictionary_encode()
+        known = bases.dictionary.to_pylist()
+        index = self.learn(known + tails.dictionary.to_pylist())
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        word = index[codes] if len(codes) else np.empty(0, np.int64)
-        per_text = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-        sizes = np.insert(self.size[word].astype(np.int64), np.cumsum(per_text), 1)  # one place for the end id
-        firsts = np.insert(self.first[word], np.cumsum(per_text), -1)
-        starts = np.cumsum(sizes) - sizes
-        at = np.repeat(firsts - starts, sizes) + np.arange(int(sizes.sum()))
-        ends = np.flatnonzero(firsts == -1)
-        at[starts[ends]] = 0
-        flat = self.ids[at]
-        flat[starts[ends]] = end
-        return flat, np.concatenate(([0], starts[ends] + 1)).astype(np.int64)
+        base, tail = index[: len(known)][bases.indices.to_numpy()], index[len(known) :][tails.indices.to_numpy()]
+        # the ids of each dictionary word, side by side; the last "word" is the end id
+        first, size = (np.stack([x[base], x[tail]], axis=1).ravel() for x in (self.first, self.size))
+        ids = np.append(self.ids[ragged(first, size)], np.int32(end))
+        size = np.append(size.reshape(-1, 2).sum(axis=1), 1).astype(np.int32)
+        first = np.cumsum(size, dtype=np.int64) - size
+        word = np.insert(codes, np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False)), len(words))
+        flat = ids[ragged(first[word], size[word])]
+        starts = np.concatenate(([0], np.cumsum(size[word], dtype=np.int64)))
+        return flat, np.concatenate(([0], starts[1:][word == len(words)]))
+
+
+def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... size[i] places, for every i in turn."""
+    ends = np.cumsum(size, dtype=np.int64)
+    out = np.repeat(first - ends + size, size)
+    out += np.arange(len(out))
+    return out
 
 
 @lru_cache(maxsize=2)
