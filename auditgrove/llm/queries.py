@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditgrove.llm import decontam, near_dup, packing, quality
+from auditgrove.llm import decontam, near_dup, packing, quality, token_store
+from auditgrove.llm.shared import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = Scratch(spark, "op2").path("store")
+    token_store.write_store(table(spark, sf_dir, "documents"), root)
+    return token_store.read_checksums(spark, root)
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.component_table(table(spark, sf_dir, "documents"))
 
@@ -29,6 +36,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_near_duplicates, op9_quality_rules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op4_near_duplicates, op9_quality_rules, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
