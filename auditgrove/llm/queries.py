@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditgrove.llm import decontam, lm_bloom, near_dup, packing, quality, token_store
+from auditgrove.llm import decontam, lm_bloom, near_dup, packing, quality, token_store, url_rules, warc
 from auditgrove.llm.shared import Scratch
 
 
@@ -31,6 +31,16 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_bloom.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_pages(table(spark, sf_dir, "pages"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = Scratch(spark, "op7").path("archive")
+    warc.write_archive(table(spark, sf_dir, "pages"), root)
+    return warc.read_index(spark, root).drop("url")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -40,6 +50,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op4_near_duplicates, op5_lm_scores, op9_quality_rules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op4_near_duplicates, op5_lm_scores, op6_url_rules, op7_warc, op9_quality_rules, op10_packing)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_url_rules": url_rules.ORACLE_SQL}
