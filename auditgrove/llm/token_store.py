@@ -50,7 +50,7 @@ def boundaries(ids: np.ndarray) -> np.ndarray:
     h = np.zeros(len(ids), np.uint64)
     own = SALT[ids & 0xFFFF]
     for j in range(WINDOW):
-        h[j:] += own[: len(ids) - j] * np.uint64(pow(0x9E3779B97F4A7C15, j, 1 << 64))
+        h[j:] += own[: max(0, len(ids) - j)] * np.uint64(pow(0x9E3779B97F4A7C15, j, 1 << 64))
     return (h >> np.uint64(40)) & np.uint64(MASK) == 0
 
 
