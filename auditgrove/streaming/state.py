@@ -77,8 +77,8 @@ def cache_stats(results: DataFrame, at, ttl_seconds: int = 3600, key: str = "url
     return last.agg(F.count("*").alias("total"), F.count_if(alive).alias("active"), F.count_if(~alive).alias("expired"))
 
 
-def stream_rate_limit(requests: DataFrame, limit: int = 10, window_seconds: int = 60, key: str = "url") -> DataFrame:
-    """T1 on a stream; a batch's requests of a key are taken in order of time, and idle keys expire."""
+def stream_rate_limit(requests: DataFrame, limit: int = 10, window_seconds: int = 60, key: str = "url", watermark: str = "1 hour") -> DataFrame:
+    """T1 on a stream; a batch's requests of a key are taken in order of time. Keys idle for a window behind the watermark expire."""
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -88,11 +88,11 @@ def stream_rate_limit(requests: DataFrame, limit: int = 10, window_seconds: int
         log = list(state.get[0]) if state.exists else []
         allowed = [admit(log, int(t.value // 1000), limit, window_seconds * 1_000_000) for t in rows["ts"]]
         state.update((log,))
-        state.setTimeoutDuration(window_seconds * 1000)
+        state.setTimeoutTimestamp(int(rows["ts"].max().value // 1_000_000) + window_seconds * 1000 + 1)
         yield pd.DataFrame({key: [k[0]] * len(rows), "event_id": rows["event_id"], "ts": rows["ts"], "allowed": allowed})
 
-    rows = requests.select(F.col(key).cast("string").alias(key), F.col("event_id").cast("long"), F.col("ts").cast("timestamp").alias("ts"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, event_id long, ts timestamp, allowed boolean", "log array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = requests.select(F.col(key).cast("string").alias(key), F.col("event_id").cast("long"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", watermark)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, event_id long, ts timestamp, allowed boolean", "log array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_ttl_cache(lookups: DataFrame, ttl_seconds: int = 3600, key: str = "url") -> DataFrame:
