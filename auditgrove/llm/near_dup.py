@@ -8,9 +8,9 @@ a document is lost only if that holds for all its links.
 
 Documents with equal shingle sets form one class first, so copies are never compared. Candidate pairs of classes are
 tested on full shingle sets: first one partner per class, then, between components only, the remaining candidates
-whose signatures are within the distance. In a bucket of at most ``SMALL`` classes all pairs are candidates. In a larger one the smallest
-class is paired with the others; while such a bucket still joins several components it is taken up again with the
-next centre, and after ``STAR_ROUNDS`` rounds all its remaining pairs between components are listed, so no link is lost to a cap.
+whose signatures are within the distance. In a bucket of at most ``SMALL`` classes all pairs are candidates. In a larger one
+the smallest class is paired with the others; where such a bucket still joins several components afterwards, its classes are
+compared by a prefix filter over their full sets, which lists every pair that can be linked, so no link is lost to a cap.
 
 Defined results: a null or empty text has no shingles, is linked with nothing and is kept; fewer than five words make one
 shingle; repeated rows are copies with one doc_id and get the same row; a row without doc_id is a copy like others, but never
@@ -30,7 +30,8 @@ from auditgrove.llm.components import connected_components
 from auditgrove.llm.shared import Scratch, alias_free, arrow_rows, blocks, emit, hash_strings, mix, rolling, split_words, strings
 
 WIDTH, PERCENT = 5, 85
-SYMBOLS, CHUNKS, DISTANCE, SMALL, STAR_ROUNDS, SALTS = 64, 11, 21, 16, 3, 32
+SYMBOLS, CHUNKS, DISTANCE, SMALL, SALTS = 64, 11, 21, 16, 32
+MARK_BITS = 1 << 25
 #: Chunk borders: nine chunks of six symbols and two of five.
 BORDERS = [SYMBOLS * i // CHUNKS for i in range(CHUNKS + 1)]
 SEEDS = mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -235,8 +236,9 @@ def component_table(docs: DataFrame) -> DataFrame:
     candidates = scratch.keep(met.groupBy("a", "b").agg(F.count("*").alias("hits")), "candidates")
     arrow_rows(spark)
     needed = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "doc_id"), "node")
+    needed = scratch.keep(needed, "needed")
     source = alias_free(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    texts = scratch.keep(source.join(needed, "doc_id").select("node", "text"), "texts")
+    texts = scratch.keep(only_marked(source, needed).join(needed, "doc_id").select("node", "text"), "texts")
 
     first = candidates.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a"))
     tested = scratch.keep(first.select("a", "b"), "tested")
@@ -259,34 +261,79 @@ def component_table(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def settle_large(large, known, classes, texts, links, comps, scratch):
-    """Compare what is left in large buckets: pairs between components, by further centres, then all."""
-    open_rows = large.select("key", F.col("b").alias("node")).unionByName(large.select("key", F.col("a").alias("node")).distinct())
-    done, centres = known, large.select("key", F.col("a").alias("node")).distinct()
-    for step in range(STAR_ROUNDS + 1):
-        own = open_rows.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        own = scratch.keep(own.join(mixed, "key", "left_semi"), "open")
-        if not own.limit(1).count():
-            break
-        if step < STAR_ROUNDS:
-            # the next centre of a bucket is a class of its smallest component that was none yet
-            fresh = own.join(centres, ["key", "node"], "left_anti")
-            size = fresh.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-            centre = scratch.keep(size.groupBy("key").agg(F.min_by("node", F.struct("n", "node")).alias("node")), "centres")
-            centres = scratch.keep(centres.unionByName(centre), "centres")
-            found = own.join(centre.withColumnRenamed("node", "centre"), "key").where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
-        else:
-            other = own.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-            found = own.withColumnRenamed("node", "a").join(other, "key").where("a < b and component <> cb").select("a", "b")
-        found = across(found.distinct().join(done, ["a", "b"], "left_anti"), comps)
-        fresh = scratch.keep(found, "fresh")
-        near = scratch.keep(within_distance(fresh, classes), "near")
-        done = scratch.keep(done.unionByName(fresh), "done")
-        if near.limit(1).count():
-            links = scratch.keep(links.unionByName(verified(near, texts)), "links")
+def only_marked(source: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows whose doc_id may be needed, so that other texts are not shuffled.
+
+    The needed ids are marked in a bitmap of MARK_BITS bits (4 MB, whatever the corpus) that goes to all tasks; when it fills
+    up at very large inputs it lets more rows through and stays right.
+    """
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS))
+    marked = needed.select(F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    flags = np.zeros(MARK_BITS // 8 + 8192, np.uint8)
+    for r in marked.collect():  # MARK_BITS / 32768 rows at most
+        at = (r["bucket"] - 1) * 4096 if r["bucket"] > 0 else len(flags) - 4096
+        flags[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = source.sparkSession.sparkContext.broadcast(flags)
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column("spot").to_numpy()
+            bucket, bit = np.where(at > 0, 1 + (at - 1) // 32768, 0), np.where(at > 0, (at - 1) % 32768, 0)
+            start = np.where(bucket > 0, (bucket - 1) * 4096, len(shared.value) - 4096)
+            keep = (shared.value[start + bit // 8] >> (bit % 8).astype(np.uint8)) & 1 == 1
+            yield batch.select(["doc_id", "text"]).filter(pa.array(keep))
+
+    return source.where("doc_id is not null").withColumn("spot", spot).mapInArrow(run, "doc_id long, text string")
+
+
+def settle_large(large, candidates, classes, texts, links, comps, scratch):
+    """Compare what is left in large buckets that still join several components, by an exact prefix filter.
+
+    Two sets of similarity PERCENT or more share one of their first n - ceil(n * PERCENT / 100) + 1 shingles in any common
+    order. In the order of frequency the passages that make unlike documents meet in a bucket come last, so
+    hardly any pair of those is listed. At its first common shingle a linked pair still has enough shingles ahead on both
+    sides for the overlap it needs, so pairs that fall short there are left out as well, and no linked pair is missed.
+    """
+    members = large.select("key", F.col("b").alias("node")).unionByName(large.select("key", F.col("a").alias("node")).distinct())
+    own = members.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    nodes = scratch.keep(own.join(mixed, "key", "left_semi").select("node", "component").distinct(), "open-nodes")
+    if not nodes.limit(1).count():
+        return links, comps
+
+    def explode_sets(batches):
+        for table in blocks(batches, "text"):
+            sets = shingle_sets(strings(table, "text"))
+            keep = [i for i, n in enumerate(table.column("node").to_pylist()) if len(sets[i]) and node_of(sets[i]) == n]
+            sizes = [len(sets[i]) for i in keep]
+            node = table.column("node").to_numpy()[keep] if keep else np.empty(0, np.int64)
+            flat = np.concatenate([sets[i] for i in keep]).view(np.int64) if keep else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, sizes)), pa.array(flat)], names=["node", "shingle"])
+
+    rows = scratch.keep(texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(explode_sets, "node long, shingle long").distinct(), "open-shingles")
+    counted = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("seen")), "shingle")
+    ranked = counted.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("seen", "shingle"))).alias("s"))  # a document's set
+    n = F.size("s")
+    prefix = ranked.select("node", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), n - F.ceil(n * PERCENT / 100).cast("int") + 1)).alias("at", "s")).where("s.seen > 1")
+    prefix = scratch.keep(prefix.select(F.col("s.shingle").alias("shingle"), "node", (F.col("n") - F.col("at")).alias("ahead"), "n"), "prefixes")
+    known = candidates
+    for step in range(3):
+        placed = prefix.join(comps, "node", "left").select("shingle", "node", "ahead", "n", F.coalesce("component", "node").alias("component"))
+        several = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
+        some = scratch.keep(placed.join(several, "shingle", "left_semi"), "mixed")
+        x, y = some.toDF("shingle", "a", "ahead_a", "na", "ca"), some.toDF("shingle", "b", "ahead_b", "nb", "cb")
+        if step < 2:  # first only against the class with the fewest rare shingles, which joins most of a family
+            centre = x.groupBy("shingle").agg(F.max_by(F.struct("a", "ahead_a", "na", "ca"), F.struct(F.col("ahead_a") / F.col("na"), "na", "a")).alias("c"))
+            x = centre.select("shingle", "c.*")
+        enough = F.least("ahead_a", "ahead_b") * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT
+        near = enough & ((F.col("a") != F.col("b")) if step < 2 else (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb"))
+        met = x.join(y, ["shingle"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        fresh = scratch.keep(met.join(known, ["a", "b"], "left_anti"), "fresh")
+        known = known.unionByName(fresh)
+        close = scratch.keep(within_distance(fresh, classes), "close")
+        if close.limit(1).count():
+            links = scratch.keep(links.unionByName(verified(close, texts)), "links")
             comps = scratch.keep(connected_components(links, scratch), "components")
-        open_rows = own.select("key", "node")
     return links, comps
 
 
