@@ -268,9 +268,8 @@ def only_marked(source: DataFrame, needed: DataFrame) -> DataFrame:
     up at very large inputs it lets more rows through and stays right.
     """
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS))
-    marked = needed.select(F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
     flags = np.zeros(MARK_BITS // 8 + 8192, np.uint8)
-    for r in marked.collect():  # MARK_BITS / 32768 rows at most
+    for r in marks_of(needed, spot).collect():
         at = (r["bucket"] - 1) * 4096 if r["bucket"] > 0 else len(flags) - 4096
         flags[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     shared = source.sparkSession.sparkContext.broadcast(flags)
@@ -337,8 +336,29 @@ def settle_large(large, candidates, classes, texts, links, comps, scratch):
     return links, comps
 
 
+def marks_of(ids: DataFrame, spot) -> DataFrame:
+    """Bitmap (bucket, bits) of the spots in 0 .. MARK_BITS - 1: at most MARK_BITS / 32768 + 1 rows of 4 KB, whatever the corpus."""
+    spots = ids.select(F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).alias("bit"))
+    return spots.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that name their component, all columns unchanged."""
-    table = Scratch(docs.sparkSession, "near-dup-verdicts").keep(component_table(docs), "verdicts")
-    kept = table.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """The documents that name their component, all columns unchanged.
+
+    Only rows whose id may be a dropped one, by a bitmap of fixed size, are joined with the dropped ids; the texts of the others are
+    not shuffled. When the bitmap fills up at very large inputs, more rows take the join and the result is the same.
+    """
+    scratch = Scratch(docs.sparkSession, "near-dup-verdicts")
+    table = scratch.keep(component_table(docs), "verdicts")
+    dropped = scratch.keep(table.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id"), "dropped")
+    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MARK_BITS))
+    marks = scratch.keep(marks_of(dropped, spot), "marks").withColumnRenamed("bucket", "mark_bucket")
+
+    at = F.col("at")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), spot.alias("at"))
+    rows = rows.join(F.broadcast(marks), F.bitmap_bucket_number(at) == F.col("mark_bucket"), "left")
+    place = F.bitmap_bit_position(at).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.col("id").isNull() | F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8))) == 1, F.lit(False))
+    open_rows = rows.where(marked).select("row", "id").join(dropped, F.col("id").eqNullSafe(F.col("doc_id")), "left_anti")
+    return rows.where(~marked).select("row.*").unionAll(open_rows.select("row.*"))

@@ -127,6 +127,19 @@ def test_near_duplicates_without_id(spark):
     assert got == [(-1, -1, True), (-1, 5, False), (5, 5, True), (7, 5, False)]
 
 
+@pytest.mark.parametrize("bits", [1, 1 << 25])
+def test_one_of_each_is_kept_with_its_columns(spark, monkeypatch, bits):
+    monkeypatch.setattr(near_dup, "MARK_BITS", bits)
+    docs = documents(spark, extra=True)
+    docs = docs.unionByName(docs.limit(9).withColumn("doc_id", F.lit(None).cast("long"))).withColumn("bits", F.lit("clash")).withColumn("row", F.lit("clash"))
+    best = {}
+    for r in near_dup.component_table(docs).collect():
+        best[r["doc_id"]] = best.get(r["doc_id"], False) or r["kept"]
+    out = near_dup.keep_one_of_each(docs)
+    assert out.columns == docs.columns and not all(best.values())
+    assert sorted(map(str, out.collect())) == sorted(str(r) for r in docs.collect() if best[r["doc_id"]])
+
+
 def test_large_buckets_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "SMALL", 2)
     texts = family(50, 100, 5, 3) + family(50, 100, 5, 4)
