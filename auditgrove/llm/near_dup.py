@@ -296,7 +296,9 @@ def settle_large(large, candidates, classes, texts, links, comps, scratch):
     members = large.select("key", F.col("b").alias("node")).unionByName(large.select("key", F.col("a").alias("node")).distinct())
     own = members.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    nodes = scratch.keep(own.join(mixed, "key", "left_semi").select("node", "component").distinct(), "open-nodes")
+    salted = own.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))  # a large bucket is dealt over SALTS tasks
+    mixed = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    nodes = scratch.keep(salted.join(mixed, ["key", "salt"], "left_semi").select("node", "component").distinct(), "open-nodes")
     if not nodes.limit(1).count():
         return links, comps
 
