@@ -25,8 +25,8 @@ from auditgrove.llm.shared import Scratch, alias_free, arrow_rows, blocks, emit,
 WINDOW, SAMPLE, BENCH_BYTES = 10, 8, 16 << 20
 #: Every byte that no word holds becomes a space, A-Z lower-cased; words are then split at spaces.
 BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-FOUND_DDL = "doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
+FOUND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+FOUND_DDL = "row long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -191,29 +191,42 @@ def benchmark_blocks(bench: DataFrame) -> list[Windows]:
 
 
 def find_spans(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """doc_id, n_words, removal spans (first word, word after the last) and the items found, of every document."""
+    """doc_id, n_words, removal spans (first word, word after the last) and the items found, of every row."""
     spark = docs.sparkSession
     arrow_rows(spark)
     source = alias_free(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    parts = benchmark_blocks(bench)
+    if len(parts) == 1:
+        return one_pass(source.withColumn("row", F.lit(0).cast("long")), parts[0], every=True).drop("row")
+    scratch = Scratch(spark, "decontam")
+    keyed = scratch.keep(source.withColumn("row", F.monotonically_increasing_id()), "rows")
+    return spans_by_row(keyed, parts, scratch, every=True).drop("row")
 
-    def one_pass(windows):
-        shared = spark.sparkContext.broadcast(windows)
 
-        def run(batches):
-            for table in blocks(batches, "text"):
-                yield emit({"doc_id": table.column("doc_id")} | spans_of(strings(table, "text").to_pylist(), shared.value), FOUND)
+def one_pass(rows: DataFrame, windows: Windows, every: bool) -> DataFrame:
+    """What one block finds in each row; without ``every`` only the rows with a hit."""
+    shared = rows.sparkSession.sparkContext.broadcast(windows)
 
-        return source.mapInArrow(run, FOUND_DDL)
+    def run(batches):
+        for table in blocks(batches, "text"):
+            got = spans_of(strings(table, "text").to_pylist(), shared.value)
+            out = emit({"row": table.column("row"), "doc_id": table.column("doc_id")} | got, FOUND)
+            yield out if every else out.filter(pa.array([bool(s) for s in got["starts"]], pa.bool_()))
 
-    parts = [one_pass(w) for w in benchmark_blocks(bench)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    together = every.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("starts")).alias("s"), F.flatten(F.collect_list("ends")).alias("e"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return rows.select("row", "doc_id", "text").mapInArrow(run, FOUND_DDL)
+
+
+def spans_by_row(keyed: DataFrame, parts: list[Windows], scratch: Scratch, every: bool) -> DataFrame:
+    """The spans of all blocks, merged by the key ``row``, which was written with the rows and so is the same in each pass."""
+    found = [scratch.keep(one_pass(keyed, w, every and i == 0), "found") for i, w in enumerate(parts)]
+    union = found[0]
+    for f in found[1:]:
+        union = union.unionByName(f)
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")]
+    together = union.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *lists)
     merged = F.udf(lambda s, e: merge(np.array(s), np.array(e)) if s else ([], []), "struct<starts:array<int>,ends:array<int>>")
-    return together.withColumn("m", merged("s", "e")).select("doc_id", "n_words", "m.starts", "m.ends", "items")
+    together = together.withColumn("m", merged("starts", "ends"))
+    return together.select("row", "doc_id", "n_words", "m.starts", "m.ends", F.array_sort(F.array_distinct("items")).alias("items"))
 
 
 def spans_of(texts: list[str], windows: Windows) -> dict[str, list]:
@@ -254,14 +267,19 @@ def remove_spans(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The documents with every span removed from their texts and n_chars counted anew; unhit rows stay as they are.
 
     A document of which no word is left goes. With a benchmark of one block the spans are found and cut in the same
-    task, without a shuffle; with more blocks they are found block by block first and joined by doc_id.
+    task, without a shuffle; with more blocks the rows are written with a key each, the spans found block by block and
+    joined by that key, so rows that share a doc_id, or have none, get their own.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
     parts = benchmark_blocks(bench)
     if len(parts) > 1:
-        spans = Scratch(spark, "decontam").keep(find_spans(docs, bench).groupBy("doc_id").agg(F.first("starts").alias("span_starts"), F.first("ends").alias("span_ends")), "spans")
-        source = docs.join(spans, docs["doc_id"] == spans["doc_id"], "left").drop(spans["doc_id"])
+        scratch = Scratch(spark, "decontam")
+        keyed = scratch.keep(docs.select(F.struct("*").alias("whole"), F.monotonically_increasing_id().alias("row")), "rows")
+        slim = keyed.select("row", F.lit(None).cast("long").alias("doc_id"), F.col("whole.text").cast("string").alias("text"))
+        spans = scratch.keep(spans_by_row(slim, parts, scratch, every=False).select("row", "starts", "ends"), "spans")
+        free = "_" * max(len(c) for c in docs.columns)  # no column of the rows has these names
+        source = keyed.join(spans, "row", "left").select("whole.*", F.col("starts").alias(f"starts{free}"), F.col("ends").alias(f"ends{free}"))
     else:
         source = docs
     shared = spark.sparkContext.broadcast(parts[0] if len(parts) == 1 else None)
@@ -271,19 +289,19 @@ def remove_spans(docs: DataFrame, bench: DataFrame) -> DataFrame:
         for table in blocks(batches, "text"):
             texts = strings(table, "text").to_pylist()
             if shared.value is None:
-                starts, ends = (table.column(c).to_pylist() for c in ("span_starts", "span_ends"))
+                starts, ends = (table.column(len(schema) + i).to_pylist() for i in (0, 1))
             else:
                 got = spans_of(texts, shared.value)
                 starts, ends = got["starts"], got["ends"]
             keep, changed = np.ones(len(texts), bool), table.column("text").to_pylist()
-            sizes = table.column("n_chars").to_pylist() if "n_chars" in table.column_names else None
+            sizes = table.column("n_chars").to_pylist() if "n_chars" in schema.names else None
             for i, s in enumerate(starts):
                 if s:
                     changed[i] = cut_spans(texts[i], s, ends[i])
                     keep[i] = bool(words_of(changed[i]))
                     if sizes is not None:
                         sizes[i] = len(changed[i])
-            cols = {c: table.column(c) for c in schema.names} | {"text": changed} | ({"n_chars": sizes} if sizes is not None else {})
+            cols = {c: table.column(i) for i, c in enumerate(schema.names)} | {"text": changed} | ({"n_chars": sizes} if sizes is not None else {})
             yield emit(cols, schema).filter(pa.array(keep))
 
     return source.mapInArrow(run, docs.schema)

@@ -60,6 +60,28 @@ def test_span_removal_keeps_clean_rows_and_recounts(spark):
     assert got[3]["text"] == "x , y" and got[3]["n_chars"] == 5 and got[3]["kept"] == "clash"
 
 
+@pytest.mark.parametrize("block", [decontam.BENCH_BYTES, 20])
+def test_rows_that_share_an_id_keep_their_own_spans(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BENCH_BYTES", block)
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    leak = " ".join(f"w{i}" for i in range(14))
+    rows = [(1, "x one two three"), (1, "one two three x"), (1, "clean words stay here"), (None, f"a {leak} b"), (None, "one two three c"), (2, "same one two three"), (2, "same one two three"), (3, leak), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("starts", F.lit("clash")).withColumn("row", F.lit("clash")).withColumn("whole", F.lit("clash"))
+    got = decontam.contamination(docs, bench).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["n_items"]) for r in got) == sorted((d or 0, n, hit, len(items)) for d, t in rows for n, hit, items in [brute_hits(t, ITEMS)])
+    assert sorted(r["starts"] for r in got if r["doc_id"] == 1) == [[], [0], [1]]
+    left = decontam.remove_spans(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left.collect()) == [(0, "a b"), (0, "c"), (1, "clean words stay here"), (1, "x"), (1, "x"), (2, "same"), (2, "same"), (4, "")]
+
+
+@pytest.mark.parametrize("block", [decontam.BENCH_BYTES, 20])
+def test_every_row_is_reported(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BENCH_BYTES", block)
+    texts = sample_texts() + ["x one two three", "one two one two three two three"]
+    assert decontam.contamination(documents(spark, texts), spark.createDataFrame(ITEMS, "item_id long, text string")).count() == len(texts) + 1
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([], DOCS), spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
