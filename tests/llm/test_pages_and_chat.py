@@ -29,6 +29,21 @@ def test_shared_lines_go_without_an_article(spark):
     assert html_diff.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_copies_without_an_article_keep_their_text(spark):
+    page = "<body><div>Site title</div><div>Own text {}</div><div>Terms of use</div></body>"
+    rows = [(i, f"http{'s' * (i % 2)}://h/x/1", page.format(1)) for i in range(5)] + [(i, "http://h/x/2", page.format(2)) for i in (5, 6)] + [(i, "http://alone/x", page.format(3)) for i in (7, 8)]
+    got = {r["page_id"]: r for r in html_diff.extract(spark.createDataFrame(rows, PAGES).coalesce(1)).collect()}
+    assert len(got) == 9 and all(f"Own text {1 if i < 5 else 2 if i < 7 else 3}" in r["text"] for i, r in got.items())
+    assert {got[i]["text"] for i in (7, 8)} == {"Site title\n\nOwn text 3\n\nTerms of use"}
+    one_task = spark.createDataFrame(rows, PAGES)
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        got = {r["page_id"]: r for r in html_diff.extract(one_task).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert {got[i]["text"] for i in range(7)} == {"Own text 1", "Own text 2"} and got[0]["partner"] == 5 and got[6]["partner"] == 4
+
+
 def test_longest_common_subsequence():
     def brute(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
