@@ -1,10 +1,11 @@
 """Near-duplicate documents by a multi-index Hamming join over b-bit MinHash signatures.
 
 A signature has ``SYMBOLS`` symbols of 16 bits; their Hamming distance is the number of differing symbols. It is cut
-into ``CHUNKS`` chunks. If two signatures differ in at most ``DISTANCE`` symbols, by pigeonhole some chunk pair differs in
-at most floor(DISTANCE / CHUNKS) = 1 symbol, so indexing every chunk with each one of its symbols left out in turn
+into chunks. If two signatures differ in at most ``distance`` symbols, by pigeonhole some chunk pair differs in
+at most floor(distance / chunks) = 1 symbol, so indexing every chunk with each one of its symbols left out in turn
 makes all such pairs meet. At similarity 0.85 the distance is binomial with mean 9.6; it exceeds 21 once in 10,000 pairs, and
-a document is lost only if that holds for all its links.
+a document is lost only if that holds for all its links. A lower threshold comes with a larger distance and more chunks (``Limit``):
+at similarity 0.8 the mean is 12.8 and the distance 25 is exceeded once in 7,900 pairs.
 
 Documents with equal shingle sets form one class first, so copies are never compared. Candidate pairs of classes are
 tested on full shingle sets: first one partner per class, then, between components only, the remaining candidates
@@ -19,6 +20,8 @@ names a component. Extra columns are ignored.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,11 +32,25 @@ from pyspark.sql import functions as F
 from auditgrove.llm.components import connected_components
 from auditgrove.llm.shared import Scratch, alias_free, arrow_rows, blocks, emit, hash_strings, mix, rolling, split_words, strings
 
-WIDTH, PERCENT = 5, 85
-SYMBOLS, CHUNKS, DISTANCE, SMALL, SALTS = 64, 11, 21, 16, 32
+WIDTH = 5
+SYMBOLS, SMALL, SALTS = 64, 16, 32
 MARK_BITS = 1 << 25
-#: Chunk borders: nine chunks of six symbols and two of five.
-BORDERS = [SYMBOLS * i // CHUNKS for i in range(CHUNKS + 1)]
+
+
+class Limit(NamedTuple):
+    """Sets are linked at a similarity of ``percent`` or more; ``distance`` must be less than twice ``chunks``."""
+
+    percent: int
+    chunks: int
+    distance: int
+
+    @property
+    def borders(self) -> list[int]:
+        return [SYMBOLS * i // self.chunks for i in range(self.chunks + 1)]
+
+
+#: Of op4_near_duplicates, and of the pipeline's stage, which takes all pairs of similarity 0.8 or more.
+CONTRACT, STAGE = Limit(85, 11, 21), Limit(80, 13, 25)
 SEEDS = mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("signature", pa.binary())])
 KEYS = pa.schema([("key", pa.int64()), ("node", pa.int64())])
@@ -90,8 +107,9 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, n_shingles long, node long, signature binary")
 
 
-def index_keys(classes: DataFrame) -> DataFrame:
+def index_keys(classes: DataFrame, limit: Limit) -> DataFrame:
     """Per class one key for each symbol left out of its chunk."""
+    borders = limit.borders
 
     def run(batches):
         for batch in batches:
@@ -99,10 +117,10 @@ def index_keys(classes: DataFrame) -> DataFrame:
                 continue
             signed = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, SYMBOLS).astype(np.uint64)
             keys = []
-            for c in range(CHUNKS):
-                for out in range(BORDERS[c], BORDERS[c + 1]):
+            for first, last in zip(borders, borders[1:]):
+                for out in range(first, last):
                     h = np.full(len(signed), out + 1, dtype=np.uint64)
-                    for j in range(BORDERS[c], BORDERS[c + 1]):
+                    for j in range(first, last):
                         if j != out:
                             h = mix(h * np.uint64(0x9E3779B97F4A7C15) + signed[:, j])
                     keys.append(h.view(np.int64))
@@ -166,16 +184,16 @@ def bucket_pairs(keys: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, a long, b long")
 
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    """100 * intersection >= PERCENT * union, of sorted distinct hashes."""
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted distinct hashes."""
     few, many = (x, y) if len(x) < len(y) else (y, x)
-    if not len(few) or 100 * len(few) < PERCENT * len(many):
+    if not len(few) or 100 * len(few) < percent * len(many):
         return False
     both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
-    return 100 * both >= PERCENT * (len(few) + len(many) - both)
+    return 100 * both >= percent * (len(few) + len(many) - both)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, limit: Limit) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough.
 
     The members of a centre are dealt over SALTS groups, each of which reads the centre's text first and then its
@@ -184,6 +202,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
     members = salted.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "text")
     centres = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
+    percent = limit.percent
     dealt = members.unionByName(centres).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "b")
 
     def run(batches):
@@ -196,7 +215,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if kind == 0:
                     centre, centre_of = own, a
                     continue
-                if centre_of == a and similar(own, centre):
+                if centre_of == a and similar(own, centre, percent):
                     found.append((a, b))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
@@ -204,8 +223,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def within_distance(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose signatures differ in at most DISTANCE symbols."""
+def within_distance(pairs: DataFrame, classes: DataFrame, limit: Limit) -> DataFrame:
+    """The pairs whose signatures differ in at most ``limit.distance`` symbols."""
+    distance = limit.distance
     signed = classes.select("node", "signature")
     both = pairs.join(signed.toDF("a", "sa"), "a").join(signed.toDF("b", "sb"), "b")
 
@@ -213,7 +233,7 @@ def within_distance(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= DISTANCE))
+                yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= distance))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
@@ -225,14 +245,14 @@ def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def component_table(docs: DataFrame) -> DataFrame:
+def component_table(docs: DataFrame, limit: Limit = CONTRACT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (columns doc_id and text)."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near-dup")
     sets = scratch.keep(document_sets(docs), "sets")
     named = sets.where("node is not null")
     classes = scratch.keep(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "classes")
     arrow_rows(spark, 20_000)
-    met = scratch.keep(bucket_pairs(index_keys(classes.where("doc_id is not null"))), "met")
+    met = scratch.keep(bucket_pairs(index_keys(classes.where("doc_id is not null"), limit)), "met")
     candidates = scratch.keep(met.groupBy("a", "b").agg(F.count("*").alias("hits")), "candidates")
     arrow_rows(spark)
     needed = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "doc_id"), "node")
@@ -242,16 +262,16 @@ def component_table(docs: DataFrame) -> DataFrame:
 
     first = candidates.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a"))
     tested = scratch.keep(first.select("a", "b"), "tested")
-    links = scratch.keep(verified(tested, texts), "links")
+    links = scratch.keep(verified(tested, texts, limit), "links")
     comps = scratch.keep(connected_components(links, scratch), "components")
     rest = across(candidates.select("a", "b").join(tested, ["a", "b"], "left_anti"), comps)
-    rest = scratch.keep(within_distance(rest, classes), "rest")
+    rest = scratch.keep(within_distance(rest, classes, limit), "rest")
     if rest.limit(1).count():
-        links = scratch.keep(links.unionByName(verified(rest, texts)), "links")
+        links = scratch.keep(links.unionByName(verified(rest, texts, limit)), "links")
         comps = scratch.keep(connected_components(links, scratch), "components")
     large = met.where("key is not null")
     if large.limit(1).count():
-        links, comps = settle_large(large, candidates.select("a", "b"), classes, texts, links, comps, scratch)
+        links, comps = settle_large(large, candidates.select("a", "b"), classes, texts, links, comps, scratch, limit)
 
     of_class = classes.select("node", "doc_id").join(comps, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     names = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -285,10 +305,10 @@ def only_marked(source: DataFrame, needed: DataFrame) -> DataFrame:
     return source.where("doc_id is not null").withColumn("spot", spot).mapInArrow(run, "doc_id long, text string")
 
 
-def settle_large(large, candidates, classes, texts, links, comps, scratch):
+def settle_large(large, candidates, classes, texts, links, comps, scratch, limit):
     """Compare what is left in large buckets that still join several components, by an exact prefix filter.
 
-    Two sets of similarity PERCENT or more share one of their first n - ceil(n * PERCENT / 100) + 1 shingles in any common
+    Two sets of similarity ``percent`` or more share one of their first n - ceil(n * percent / 100) + 1 shingles in any common
     order. In the order of frequency the passages that make unlike documents meet in a bucket come last, so
     hardly any pair of those is listed. At its first common shingle a linked pair still has enough shingles ahead on both
     sides for the overlap it needs, so pairs that fall short there are left out as well, and no linked pair is missed.
@@ -315,7 +335,7 @@ def settle_large(large, candidates, classes, texts, links, comps, scratch):
     counted = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("seen")), "shingle")
     ranked = counted.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("seen", "shingle"))).alias("s"))  # a document's set
     n = F.size("s")
-    prefix = ranked.select("node", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), n - F.ceil(n * PERCENT / 100).cast("int") + 1)).alias("at", "s")).where("s.seen > 1")
+    prefix = ranked.select("node", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), n - F.ceil(n * limit.percent / 100).cast("int") + 1)).alias("at", "s")).where("s.seen > 1")
     prefix = scratch.keep(prefix.select(F.col("s.shingle").alias("shingle"), "node", (F.col("n") - F.col("at")).alias("ahead"), "n"), "prefixes")
     known = candidates
     for step in range(3):
@@ -326,14 +346,14 @@ def settle_large(large, candidates, classes, texts, links, comps, scratch):
         if step < 2:  # first only against the class with the fewest rare shingles, which joins most of a family
             centre = x.groupBy("shingle").agg(F.max_by(F.struct("a", "ahead_a", "na", "ca"), F.struct(F.col("ahead_a") / F.col("na"), "na", "a")).alias("c"))
             x = centre.select("shingle", "c.*")
-        enough = F.least("ahead_a", "ahead_b") * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT
+        enough = F.least("ahead_a", "ahead_b") * (100 + limit.percent) >= (F.col("na") + F.col("nb")) * limit.percent
         near = enough & ((F.col("a") != F.col("b")) if step < 2 else (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb"))
         met = x.join(y, ["shingle"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = scratch.keep(met.join(known, ["a", "b"], "left_anti"), "fresh")
         known = known.unionByName(fresh)
-        close = scratch.keep(within_distance(fresh, classes), "close")
+        close = scratch.keep(within_distance(fresh, classes, limit), "close")
         if close.limit(1).count():
-            links = scratch.keep(links.unionByName(verified(close, texts)), "links")
+            links = scratch.keep(links.unionByName(verified(close, texts, limit)), "links")
             comps = scratch.keep(connected_components(links, scratch), "components")
     return links, comps
 
@@ -344,14 +364,14 @@ def marks_of(ids: DataFrame, spot) -> DataFrame:
     return spots.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, limit: Limit = CONTRACT) -> DataFrame:
     """The documents that name their component, all columns unchanged.
 
     Only rows whose id may be a dropped one, by a bitmap of fixed size, are joined with the dropped ids; the texts of the others are
     not shuffled. When the bitmap fills up at very large inputs, more rows take the join and the result is the same.
     """
     scratch = Scratch(docs.sparkSession, "near-dup-verdicts")
-    table = scratch.keep(component_table(docs), "verdicts")
+    table = scratch.keep(component_table(docs, limit), "verdicts")
     dropped = scratch.keep(table.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id"), "dropped")
     spot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MARK_BITS))
     marks = scratch.keep(marks_of(dropped, spot), "marks").withColumnRenamed("bucket", "mark_bucket")

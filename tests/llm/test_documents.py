@@ -162,6 +162,36 @@ def test_one_of_each_is_kept_with_its_columns(spark, monkeypatch, bits):
     assert sorted(map(str, out.collect())) == sorted(str(r) for r in docs.collect() if best[r["doc_id"]])
 
 
+def test_pipeline_drops_pairs_from_eighty_percent(spark):
+    import corpus_pipeline
+
+    pairs = []
+    for k in range(60):
+        base = [f"v{k}_{i}" for i in range(200)]
+        pairs += [" ".join(base), " ".join("new" if i % 40 == 20 and i < 160 else w for i, w in enumerate(base))]
+    docs = documents(spark, pairs).distinct()
+    shingles = [{tuple(words(t)[i : i + 5]) for i in range(196)} for t in pairs[:2]]
+    assert 0.8 <= len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1]) < 0.85
+    assert near_dup.component_table(docs).where("kept").count() == len(pairs)
+    left = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(r["doc_id"] for r in left.collect()) == [6 * k for k in range(60)]
+
+
+@pytest.mark.parametrize("small", [near_dup.SMALL, 2])
+def test_near_duplicates_at_eighty_percent(spark, monkeypatch, small):
+    monkeypatch.setattr(near_dup, "SMALL", small)
+    texts = family(40, 150, 8, 5) + family(40, 100, 6, 6)
+    sets = [{tuple(words(t)[i : i + 5]) for i in range(len(words(t)) - 4)} for t in texts]
+    comps = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and comps[i] != comps[j]:
+                lo, hi = sorted((comps[i], comps[j]))
+                comps = [lo if c == hi else c for c in comps]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.component_table(documents(spark, texts), near_dup.STAGE).collect()}
+    assert [got[i * 3] for i in range(len(texts))] == [c * 3 for c in comps]
+
+
 def test_large_buckets_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "SMALL", 2)
     texts = family(50, 100, 5, 3) + family(50, 100, 5, 4)
