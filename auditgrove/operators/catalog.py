@@ -7,7 +7,9 @@ pattern contains; they are looked for before the regular expression runs.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -222,6 +224,20 @@ GATES = {
     "EnvironmentVariableLeakage": {"assigned_variable": ("key", "token", "secret", "password"), "env_file": (".env",)},
 }
 
+
+class Catalog(NamedTuple):
+    """Rules, patterns, conditions and gates, keyed by rule; gates may be missing."""
+
+    rules: dict[str, tuple]
+    patterns: dict[str, dict[str, tuple[str, bool]]]
+    conditions: dict
+    gates: dict[str, dict[str, tuple[str, ...]]]
+
+
+BUILT_IN = Catalog(RULES, PATTERNS, CONDITIONS, GATES)
+META = ("rule_file", "phase", "name", "version", "description", "severity", "category", "confidence")
+STORED = "rule string, " + ", ".join(f"{m} string" for m in META) + ", patterns array<struct<pattern_id:string,regex:string,nocase:boolean,gate:array<string>>>, condition string"
+
 WORD = "[0-9A-Za-z_]"
 BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
@@ -231,19 +247,20 @@ def java_regex(pattern: str, nocase: bool) -> str:
     return ("(?di)" if nocase else "(?d)") + pattern.replace(r"\b", BOUNDARY)
 
 
-def rules_of(phase: str | None = None) -> list[str]:
-    return [r for r, v in RULES.items() if phase is None or v[1] == phase]
+def rules_of(phase: str | None = None, catalog: Catalog = BUILT_IN) -> list[str]:
+    return [r for r, v in catalog.rules.items() if phase is None or v[1] == phase]
 
 
-def hit_column(rule: str, pattern_id: str, text: Column, low: Column) -> Column:
-    pattern, nocase = PATTERNS[rule][pattern_id]
+def hit_column(rule: str, pattern_id: str, text: Column, low: Column, catalog: Catalog = BUILT_IN) -> Column:
+    """Whether a pattern is found; its gate literals are looked for first, and the regular expression runs only behind them."""
+    pattern, nocase = catalog.patterns[rule][pattern_id]
     found = text.rlike(java_regex(pattern, nocase))
-    gate = GATES[rule].get(pattern_id)
+    gate = catalog.gates.get(rule, {}).get(pattern_id)
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(g)) for g in gate]) & found if gate else found
 
 
 def condition_column(condition, hit) -> Column:
-    """A condition as a column; ``hit`` gives the column of a pattern id."""
+    """A condition as a column; ``hit`` gives the column of a pattern id. Spark stops at the first term that decides."""
     if isinstance(condition, str):
         return hit(condition)
     kind, *terms = condition
@@ -251,29 +268,71 @@ def condition_column(condition, hit) -> Column:
     return ~parts[0] if kind == "not" else reduce((lambda a, b: a & b) if kind == "all" else (lambda a, b: a | b), parts)
 
 
-def condition_sql(condition, hit) -> str:
-    if isinstance(condition, str):
-        return hit(condition)
-    kind, *terms = condition
-    parts = [condition_sql(t, hit) for t in terms]
-    return f"NOT {parts[0]}" if kind == "not" else "(" + (" AND " if kind == "all" else " OR ").join(parts) + ")"
-
-
-def unknown_ids(condition, known) -> list[str]:
-    if isinstance(condition, str):
-        return [] if condition in known else [condition]
-    return [x for t in condition[1:] for x in unknown_ids(t, known)]
+def used_ids(condition) -> list[str]:
+    return [condition] if isinstance(condition, str) else [x for t in condition[1:] for x in used_ids(t)]
 
 
-def rule_catalog(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """The catalog as two small tables: rules with their metadata (tags split from the category), and patterns."""
-    rules = spark.createDataFrame([(r, *v) for r, v in RULES.items()], "rule string, rule_file string, phase string, name string, version string, description string, severity string, category string, confidence string")
+def rule_catalog(spark: SparkSession, catalog: Catalog = BUILT_IN) -> tuple[DataFrame, DataFrame]:
+    """The catalog as two small tables: rules with their metadata (tags split from the category), and patterns."""
+    rules = spark.createDataFrame([(r, *v) for r, v in catalog.rules.items()], "rule string, " + ", ".join(f"{m} string" for m in META))
     rules = rules.withColumn("tags", F.transform(F.split("category", ","), F.trim))
-    patterns = [(r, p, rx, nocase) for r, ps in PATTERNS.items() for p, (rx, nocase) in ps.items()]
+    patterns = [(r, p, rx, nocase) for r, ps in catalog.patterns.items() for p, (rx, nocase) in ps.items()]
     return rules, spark.createDataFrame(patterns, "rule string, pattern_id string, regex string, nocase boolean")
 
 
-def catalog_problems(patterns: dict, conditions: dict) -> list[tuple[str, str]]:
-    """(rule, problem) of rules with an unknown pattern id or without a condition."""
-    found = [(r, f"unknown pattern {p}") for r, c in conditions.items() for p in unknown_ids(c, patterns.get(r, {}))]
-    return found + [(r, "no condition") for r in patterns if r not in conditions]
+def write_catalog(spark: SparkSession, catalog: Catalog, path: str, mode: str = "error") -> None:
+    """The catalog as JSON lines, a directory per phase and a line per rule; conditions are nested JSON arrays."""
+    rows = []
+    for r, meta in catalog.rules.items():
+        patterns = [(p, rx, nocase, list(catalog.gates.get(r, {}).get(p, ()))) for p, (rx, nocase) in catalog.patterns.get(r, {}).items()]
+        rows.append((r, *meta, patterns, json.dumps(catalog.conditions.get(r))))
+    spark.createDataFrame(rows, STORED).coalesce(1).write.mode(mode).partitionBy("phase").json(path)
+
+
+def read_catalog(spark: SparkSession, path: str) -> tuple[Catalog, DataFrame]:
+    """The rules of a catalog directory, and what is wrong with the rest as rows (rule, problem).
+
+    A rule that cannot be read, names an unknown pattern, holds a regular expression that does not compile, has no condition, or whose
+    name is taken is skipped; the others load. A catalog is configuration and held by the driver, like the plan made of it.
+    """
+    lines = spark.read.schema(STORED + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    out, found = Catalog({}, {}, {}, {}), []
+    for row in sorted(lines.collect(), key=lambda r: (r["phase"] or "", r["rule"] or "")):
+        rule = row["rule"] or "?"
+        if row["_corrupt_record"] is not None or row["rule"] is None:
+            found.append((rule, "unreadable rule"))
+            continue
+        if rule in out.rules:
+            found.append((rule, "rule defined twice"))
+            continue
+        patterns = {p["pattern_id"]: (p["regex"], bool(p["nocase"])) for p in row["patterns"] or []}
+        condition = tuples(json.loads(row["condition"])) if row["condition"] else None
+        wrong = catalog_problems(spark, Catalog({rule: ()}, {rule: patterns}, {} if condition is None else {rule: condition}, {}))
+        if wrong:
+            found += wrong
+            continue
+        out.rules[rule] = tuple(row[m] for m in META)
+        out.patterns[rule], out.conditions[rule] = patterns, condition
+        out.gates[rule] = {p["pattern_id"]: tuple(p["gate"]) for p in row["patterns"] if p["gate"]}
+    return out, spark.createDataFrame(found, "rule string, problem string")
+
+
+def tuples(condition):
+    return tuple(tuples(t) for t in condition) if isinstance(condition, list) else condition
+
+
+def catalog_problems(spark: SparkSession, catalog: Catalog = BUILT_IN) -> list[tuple[str, str]]:
+    """(rule, problem) of rules without a condition, with an unknown pattern id, or with a pattern that does not compile."""
+    compiler, found = spark.sparkContext._jvm.java.util.regex.Pattern, []
+    for rule in catalog.rules:
+        patterns, condition = catalog.patterns.get(rule, {}), catalog.conditions.get(rule)
+        if condition is None:
+            found.append((rule, "no condition"))
+        else:
+            found += [(rule, f"unknown pattern {p}") for p in used_ids(condition) if p not in patterns]
+        for p, (regex, nocase) in patterns.items():
+            try:
+                compiler.compile(java_regex(regex or "", nocase))
+            except Exception:  # noqa: BLE001  the gateway wraps the Java exception
+                found.append((rule, f"pattern {p} does not compile"))
+    return found

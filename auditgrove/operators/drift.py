@@ -9,12 +9,18 @@ from auditgrove.functions.expressions import canonical_json
 from auditgrove.operators.items import display_url
 
 FIELDS = ("description", "input_schema")
+#: What makes a server changed; the list of changes (D2) names the fields above.
+COMPARED = (*FIELDS, "output_schema", "parameters", "deprecated")
 JSON_FIELDS = ("input_schema", "output_schema", "parameters")
 
 
 def comparable(df: DataFrame, fields) -> DataFrame:
-    """Name and fields, JSON in canonical form (text that is no JSON as it is)."""
-    value = lambda f: F.coalesce(canonical_json(F.col(f)), F.col(f)) if f in JSON_FIELDS else F.col(f)
+    """Name and fields, JSON in canonical form (text that is no JSON as it is); a field that a table lacks is null."""
+
+    def value(f: str) -> Column:
+        own = F.col(f).cast("string") if f in df.columns else F.lit(None).cast("string")
+        return F.coalesce(canonical_json(own), own) if f in JSON_FIELDS else own
+
     return df.select("server", "name", *[value(f).alias(f) for f in fields])
 
 
@@ -24,7 +30,7 @@ def paired(old: DataFrame, new: DataFrame, fields) -> DataFrame:
     return side(old, "o").join(side(new, "n"), ["server", "name"], "full_outer")
 
 
-def snapshot_changed(old: DataFrame, new: DataFrame, fields=FIELDS) -> DataFrame:
+def snapshot_changed(old: DataFrame, new: DataFrame, fields=COMPARED) -> DataFrame:
     """Per server, whether anything was added, removed or modified."""
     differs = F.col("o").isNull() | F.col("n").isNull()
     for f in fields:

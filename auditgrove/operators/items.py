@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditgrove.functions.expressions import pick, severity_rank
 
-ITEM_COLUMNS = ["server", "item_type", "item_id", "name", "uri", "description", "input_schema", "category", "tags"]
+ITEM_COLUMNS = ["server", "item_type", "item_id", "name", "uri", "description", "input_schema", "output_schema", "parameters", "metadata", "raw_json", "category", "tags"]
 PLURALS = {"tool": "tools", "prompt": "prompts", "resource": "resources"}
 
 #: Check toggle -> the finding types it governs.

@@ -45,9 +45,20 @@ def format_items(items: DataFrame) -> DataFrame:
 
 
 def prompt_batches(cards: DataFrame, size: int = BATCH_SIZE, order: str = "item_id") -> DataFrame:
-    """L2: per (server, type) batches of ``size`` items: names, text of the request, and its JSON body."""
-    number = F.row_number().over(Window.partitionBy("server", "item_type").orderBy(order)) - 1
-    placed = cards.select("server", "item_type", "name", "card", number.alias("n")).withColumn("batch_index", F.floor(F.col("n") / size))
+    """L2: per (server, type) batches of ``size`` items: names, text of the request, and its JSON body.
+
+    Items are numbered by id alone, counted before the shuffle; the cards then move by (server, type, id), so a server with many items never
+    gathers its texts. Items with one id are ordered by name and card. The batches meet by their number.
+    """
+    keys = ["server", "item_type", order]
+    counted = cards.groupBy(*keys).agg(F.count("*").alias("copies"))
+    before = F.sum("copies").over(Window.partitionBy("server", "item_type").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    numbered = counted.select(*[F.col(k).alias(f"{k}_") for k in keys], F.coalesce(before, F.lit(0)).alias("before"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    copy = F.row_number().over(Window.partitionBy(*keys).orderBy("name", "card")) - 1
+    placed = cards.select(*keys, "name", "card").join(numbered, same).select("server", "item_type", "name", "card", (F.col("before") + copy).alias("n")).withColumn("batch_index", F.floor(F.col("n") / size))
     title = F.concat(F.lit("\n\n"), F.upper("item_type"), F.lit(" "), (F.col("n") % size + 1).cast("string"), F.lit(": "), "name", F.lit("\n"), "card")
     grouped = placed.withColumn("text", title).groupBy("server", "item_type", "batch_index").agg(F.array_sort(F.collect_list(F.struct("n", "name", "text"))).alias("rows"))
     task = F.create_map(*[F.lit(x) for kv in TASKS.items() for x in kv])[F.col("item_type")]

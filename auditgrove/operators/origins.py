@@ -15,16 +15,16 @@ def tagged(urls: Column, field: str) -> Column:
     return F.transform(urls, lambda u: F.struct(F.lit(field).alias("field"), u.alias("url")))
 
 
-def extract_urls(items: DataFrame, mode: str = "leaf", fields: tuple[str, ...] = ("description", "uri"), json_fields: tuple[str, ...] = ("input_schema",)) -> DataFrame:
-    """A row per URL occurrence and field. ``leaf``: whole strings that are URLs; ``anywhere``: URLs inside texts as well."""
-    parts = []
-    for f in fields:
+def extract_urls(items: DataFrame, mode: str = "leaf", fields: tuple[str, ...] = ("description", "uri"), json_fields: tuple[str, ...] = ("input_schema", "output_schema", "parameters", "raw_json", "metadata")) -> DataFrame:
+    """A row per URL occurrence and field. ``leaf``: whole strings that are URLs; ``anywhere``: URLs inside texts as well. Fields that the items lack are passed over."""
+    parts, have = [], set(items.columns)
+    for f in (f for f in fields if f in have):
         if mode == "leaf":
             found = F.when(F.col(f).rlike(WHOLE), F.array(F.col(f))).otherwise(F.array().cast("array<string>"))
         else:
             found = F.coalesce(F.regexp_extract_all(f, F.lit(ANYWHERE), 1), F.array().cast("array<string>"))
         parts.append(tagged(found, f))
-    for f in json_fields:
+    for f in (f for f in json_fields if f in have):
         found = F.coalesce(F.regexp_extract_all(f, F.lit(LEAF if mode == "leaf" else ANYWHERE), 1), F.array().cast("array<string>"))
         parts.append(tagged(found, f))
     return items.select("server", "item_type", "item_id", "name", F.explode(F.concat(*parts)).alias("u")).select("server", "item_type", "item_id", "name", "u.field", "u.url")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditgrove.functions.expressions import pick, severity_rank
@@ -47,10 +47,16 @@ def sort_by_severity(findings: DataFrame, k: int | None = None, missing: str = "
     return out if k is None else out.limit(k)
 
 
-def embed_results(items: DataFrame, findings: DataFrame) -> DataFrame:
-    """A3: items with the array of their findings, empty for clean ones. The texts are joined last and move once."""
+def embed_results(items: DataFrame, findings: DataFrame, details: DataFrame | None = None) -> DataFrame:
+    """A3: items with the array of their findings, empty for clean ones, and with ``details`` (item_id, details) the model's analysis text.
+
+    The items are joined last and move once; a wide text column is better left out and joined by item_id afterwards.
+    """
     found = findings.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(severity_rank(F.col("severity")).alias("rank"), "scan_type", "finding_type", "severity", "message"))).alias("findings"))
     empty = F.array().cast(found.schema["findings"].dataType)
+    if details is not None:
+        texts = details.where("details is not null").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list("details")), "\n").alias("analysis"))
+        found = found.join(texts, "item_id", "full_outer")
     return items.join(found, "item_id", "left").withColumn("findings", F.coalesce("findings", empty))
 
 
@@ -115,21 +121,59 @@ def enrich(findings: DataFrame) -> DataFrame:
     )
 
 
-def report_markdown(scans: DataFrame, items: DataFrame, findings: DataFrame) -> DataFrame:
+REPORT_LINES = 100
+
+
+def remedy_column() -> Column:
+    """The remedy of a finding: of its rule for rule detections, of its issue type for model issues."""
+    pairs = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("finding_type")]
+    return F.when(F.col("scan_type") == "yara_rules", F.coalesce(pairs(RULE_REMEDIES), F.lit("review the match and validate input"))).otherwise(pairs({k: t[3] for k, t in THREATS.items()}))
+
+
+def report_markdown(scans: DataFrame, items: DataFrame, findings: DataFrame, lines: int = REPORT_LINES) -> DataFrame:
     """A10: one markdown text per server; a failed server's report ends after its error.
 
-    ``scans`` has one row per server. Finding lines are joined per server in order of severity.
+    A report counts all findings, shows the ``lines`` most severe model issues and as many rule detections, and lists every remedy once. The
+    top lines are chosen per partition before they meet, so a server with very many findings stays a small row. ``scans`` has one row per server.
     """
-    line = F.concat(F.lit("- **"), "severity", F.lit("** "), "finding_type", F.lit(" on "), "target_name", F.lit(": "), "message")
-    lines = findings.groupBy("server").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(severity_rank(F.col("severity")).alias("rank"), "item_id", "finding_type", line.alias("line")))), lambda s: s["line"]), "\n").alias("lines"))
+    name = F.coalesce("target_name", "item_id", F.lit("?"))
+    line = F.concat(F.lit("- **"), F.coalesce("severity", F.lit("LOW")), F.lit("** "), "finding_type", F.lit(" on "), name, F.lit(": "), F.coalesce("message", F.lit("")))
+    rank = severity_rank(F.col("severity"))
+    first = F.row_number().over(Window.partitionBy("server", "scan_type").orderBy("rank", "item_id", "finding_type", "line"))
+    top = findings.select("server", "scan_type", "item_id", "finding_type", rank.alias("rank"), line.alias("line")).withColumn("n", first).where(F.col("n") <= lines)
+    part = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("scan_type") == kind, F.struct("n", "line")))), lambda s: s["line"]), "\n")
+    shown = top.groupBy("server").agg(part("llm_analysis").alias("model_lines"), part("yara_rules").alias("rule_lines"))
+    n = lambda c: F.count(F.when(c, 1))
+    totals = findings.withColumn("remedy", remedy_column()).groupBy("server", "scan_type", "remedy").agg(F.count("*").alias("n"), n(F.col("severity") == "CRITICAL").alias("critical"), n(F.col("severity") == "HIGH").alias("high"))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("scan_type") == kind, F.col("n"))), F.lit(0))
+    totals = totals.groupBy("server").agg(of("llm_analysis").alias("model_n"), of("yara_rules").alias("rule_n"), F.sum("critical").alias("critical"), F.sum("high").alias("high"), F.array_join(F.transform(F.array_sort(F.collect_set("remedy")), lambda r: F.concat(F.lit("- "), r)), "\n").alias("remedies"))
     counts = items.groupBy("server").agg(F.count("*").alias("items"))
-    rows = scans.select("server", "status", "status_detail").join(counts, "server", "left").join(lines, "server", "left")
+    rows = scans.select("server", "status", "status_detail").join(counts, "server", "left").join(totals, "server", "left").join(shown, "server", "left")
+    text = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    section = lambda title, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"\n\n## {title}\n"), F.col(c))).otherwise("")
     head = F.concat(F.lit("# Report for "), "server", F.lit("\n\nStatus: "), "status")
-    body = F.concat(F.lit("\n\nItems: "), F.coalesce("items", F.lit(0)).cast("string"), F.lit(", findings: "), F.coalesce("n", F.lit(0)).cast("string"), F.lit("\n\n"), F.coalesce("lines", F.lit("No findings.")))
+    body = F.concat(
+        F.lit("\n\nItems: "), text("items"), F.lit(", model issues: "), text("model_n"), F.lit(", rule detections: "), text("rule_n"), F.lit(", critical: "), text("critical"), F.lit(", high: "), text("high"),
+        section("Model issues", "model_lines"), section("Rule detections", "rule_lines"), section("Remediation", "remedies"),
+    )
     failed = F.concat(F.lit("\n\nError: "), F.trim(F.coalesce("status_detail", F.lit(""))))
     return rows.select("server", F.concat(head, F.when(F.col("status") == "Success", body).otherwise(failed)).alias("report"))
 
 
+def executive_summary(scans: DataFrame, items: DataFrame, findings: DataFrame) -> DataFrame:
+    """A10: one markdown text over all servers: how many were scanned, and findings by kind and severity. Counts only; one row."""
+    fleet = fleet_summary(scans, items, findings)
+    n = lambda kind, s: F.count_if((F.col("scan_type") == kind) & ((F.col("severity") == s) if s != "LOW" else (severity_rank(F.col("severity")) == 3))).alias(f"{kind}_{s}")
+    kinds = {"llm_analysis": "Model issues", "yara_rules": "Rule detections"}
+    levels = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
+    by = findings.agg(*[n(k, s) for k in kinds for s in levels])
+    shown = lambda c: F.col(c).cast("string")
+    lines = [F.concat(F.lit("# Executive summary\n\nServers: "), shown("servers"), F.lit(", succeeded: "), shown("succeeded"), F.lit(", failed: "), shown("failed"), F.lit(", with findings: "), shown("servers_with_warnings"))]
+    for k, title in kinds.items():
+        lines.append(F.concat(F.lit(f"{title}: "), F.concat_ws(", ", *[F.concat(F.lit(f"{s.lower()} "), shown(f"{k}_{s}")) for s in levels])))
+    return fleet.crossJoin(by).select(F.concat_ws("\n", *lines).alias("summary"))  # one row each
+
+
 def scan_coverage(items: DataFrame) -> DataFrame:
     """Assessment groups that ran per server, given the kinds of item it has."""
     has = items.groupBy("server").agg(*[F.bool_or(F.col("item_type") == t).alias(t) for t in ("tool", "prompt", "resource")])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditgrove.operators.catalog import CONDITIONS, PATTERNS, RULES, catalog_problems, condition_column, hit_column, rules_of
+from auditgrove.operators.catalog import BUILT_IN, RULES, Catalog, condition_column, hit_column, rules_of
 from auditgrove.operators.items import display_url, env_values
 
 #: Context sentence of a rule; ``{}`` is the kind of item.
@@ -30,58 +30,55 @@ RULE_FILES = {
 HAYSTACKS = {"full": "full_text", "name": "scan_text"}
 
 
-def with_hits(items: DataFrame, text: str, rules: list[str]) -> DataFrame:
-    """``hits``: ids ``rule.pattern`` of all patterns found in a text column.
+def bound(items: DataFrame, text: str, *columns: str) -> DataFrame:
+    """The columns kept, the text and its lower-case form, each computed once per row: the tests above refer to them."""
+    return items.select(*columns, F.col(text).alias("text_"), F.lower(text).alias("low_"))
 
-    The booleans are folded into one array in the scan's own projection, so the plan stays narrow behind it. Text and
-    lower-case text are bound once per row as a lambda variable; written as columns, the optimizer would copy their
-    expressions into each of the hundred tests.
-    """
 
-    def found(pair: Column) -> Column:
-        own, low = pair["text"], pair["low"]
-        return F.array_compact(F.array(*[F.when(hit_column(r, p, own, low), F.lit(f"{r}.{p}")) for r in rules for p in PATTERNS[r]]))
+def found_in(rule: str, pattern_id: str, catalog: Catalog) -> Column:
+    return hit_column(rule, pattern_id, F.col("text_"), F.col("low_"), catalog)
 
-    both = F.transform(F.array(F.col(text)), lambda t: F.struct(t.alias("text"), F.lower(t).alias("low")))
-    return items.withColumn("hits", F.transform(both, found)[0])
 
-
-def pattern_hits(items: DataFrame, phase: str = "pre", haystack: str = "full") -> DataFrame:
+def pattern_hits(items: DataFrame, phase: str = "pre", haystack: str = "full", catalog: Catalog = BUILT_IN) -> DataFrame:
     """A row per item and pattern found in it."""
-    hits = with_hits(items.select("server", "item_id", HAYSTACKS[haystack]), HAYSTACKS[haystack], rules_of(phase))
-    name = F.split("hit", r"\.")
-    return hits.select("server", "item_id", F.explode("hits").alias("hit")).select("server", "item_id", name[0].alias("rule_name"), name[1].alias("pattern_id"))
+    source = bound(items, HAYSTACKS[haystack], "server", "item_id")
+    hit = F.array_compact(F.array(*[F.when(found_in(r, p, catalog), F.struct(F.lit(r).alias("rule_name"), F.lit(p).alias("pattern_id"))) for r in rules_of(phase, catalog) for p in catalog.patterns[r]]))
+    return source.select("server", "item_id", F.inline(hit))
 
 
-def matched_rules(rules: list[str]) -> Column:
-    """Array of the rules whose condition holds on ``hits``."""
-    holds = [F.when(condition_column(CONDITIONS[r], lambda p, r=r: F.array_contains("hits", f"{r}.{p}")), F.lit(r)) for r in rules]
-    return F.array_compact(F.array(*holds))
+def matched_rules(rules: list[str], catalog: Catalog) -> Column:
+    """Array of the rules whose condition holds on the bound text. A condition stops at the first term that decides, so most
+    patterns never run; it is exploded where it is made, so that no filter on it repeats the tests."""
+    return F.array_compact(F.array(*[F.when(condition_column(catalog.conditions[r], lambda p, r=r: found_in(r, p, catalog)), F.lit(r)) for r in rules]))
 
 
-def rule_matches(items: DataFrame, phase: str = "pre", haystack: str = "full") -> DataFrame:
+def rule_matches(items: DataFrame, phase: str = "pre", haystack: str = "full", catalog: Catalog = BUILT_IN) -> DataFrame:
     """R2: a row per item and rule that matches it."""
-    rules = rules_of(phase)
-    hits = with_hits(items.select("server", "item_type", "item_id", "name", HAYSTACKS[haystack]), HAYSTACKS[haystack], rules).where(F.size("hits") > 0)
-    out = hits.select("server", F.col("item_type").alias("target_type"), "item_id", F.col("name").alias("target_name"), F.explode(matched_rules(rules)).alias("rule_name"))
+    source = bound(items, HAYSTACKS[haystack], "server", "item_type", "item_id", "name")
+    out = source.select("server", F.col("item_type").alias("target_type"), "item_id", F.col("name").alias("target_name"), F.explode(matched_rules(rules_of(phase, catalog), catalog)).alias("rule_name"))
     return out.withColumn("phase", F.lit(phase)).withColumn("status", F.lit("warning"))
 
 
-def annotate_findings(findings: DataFrame) -> DataFrame:
+def rule_files(catalog: Catalog) -> dict[str, str]:
+    """Rule file of each rule that shows one: of the built-in rules those listed above, of added rules all."""
+    return {r: v[0] for r, v in catalog.rules.items() if v[0] and r not in RULES} | RULE_FILES
+
+
+def annotate_findings(findings: DataFrame, catalog: Catalog = BUILT_IN) -> DataFrame:
     """Rule file, context sentence and rule metadata; the lookups are literals, bounded by the catalog."""
     lookup = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("rule_name")]
     template = lookup(CONTEXTS)
     fallback = F.concat(F.col("target_type"), F.lit(" matched by security rule "), F.col("rule_name"))
     context = F.coalesce(F.replace(template, F.lit("{}"), F.col("target_type")), fallback)
-    out = findings.withColumn("rule_file", lookup(RULE_FILES)).withColumn("context", context)
-    return out.withColumn("severity", lookup({r: v[5] for r, v in RULES.items()})).withColumn("tags", F.split(lookup({r: v[6] for r, v in RULES.items()}), ","))
+    out = findings.withColumn("rule_file", lookup(rule_files(catalog))).withColumn("context", context)
+    return out.withColumn("severity", lookup({r: v[5] for r, v in catalog.rules.items()})).withColumn("tags", F.split(lookup({r: v[6] for r, v in catalog.rules.items()}), ","))
 
 
-def phase_summary(items: DataFrame, findings: DataFrame, phase: str = "pre") -> DataFrame:
+def phase_summary(items: DataFrame, findings: DataFrame, phase: str = "pre", catalog: Catalog = BUILT_IN) -> DataFrame:
     """A row per server with items and matches counted, rules triggered, and passed or warning; clean servers count 0."""
-    files = F.array(*[F.lit(f"{f}:*") for f in sorted({RULES[r][0] for r in rules_of(phase)})])
+    files = F.array(*[F.lit(f"{f}:*") for f in sorted({catalog.rules[r][0] for r in rules_of(phase, catalog)})])
     totals = items.groupBy("server").agg(F.count("*").alias("total_items_scanned"))
-    rule_file = F.create_map(*[F.lit(x) for kv in RULE_FILES.items() for x in kv])[F.col("rule_name")]
+    rule_file = F.create_map(*[F.lit(x) for kv in rule_files(catalog).items() for x in kv])[F.col("rule_name")]
     label = F.coalesce(F.concat(rule_file, F.lit(":"), F.col("rule_name")), F.col("rule_name"))
     seen = findings.groupBy("server").agg(F.count("*").alias("total_matches"), F.array_sort(F.collect_set(label)).alias("security_issues_detected"))
     out = totals.join(seen, "server", "left").withColumn("total_matches", F.coalesce("total_matches", F.lit(0).cast("long")))
@@ -97,12 +94,12 @@ def config_text() -> Column:
     return F.concat(*[F.coalesce(p, F.lit("")) for p in parts])
 
 
-def config_rule_scan(configs: DataFrame) -> DataFrame:
+def config_rule_scan(configs: DataFrame, catalog: Catalog = BUILT_IN) -> DataFrame:
     """Findings of the pre-scan rules on server definitions."""
-    rules = rules_of("pre")
-    hits = with_hits(configs.select("server_id", F.coalesce("name", display_url()).alias("target_name"), config_text().alias("config_text")), "config_text", rules)
-    out = hits.select("server_id", "target_name", F.explode(matched_rules(rules)).alias("rule_name"))
-    return annotate_findings(out.withColumn("target_type", F.lit("server"))).withColumn("phase", F.lit("pre-config")).withColumn("status", F.lit("warning"))
+    named = configs.select("server_id", F.coalesce("name", display_url()).alias("target_name"), config_text().alias("config_text"))
+    source = bound(named, "config_text", "server_id", "target_name")
+    out = source.select("server_id", "target_name", F.explode(matched_rules(rules_of("pre", catalog), catalog)).alias("rule_name"))
+    return annotate_findings(out.withColumn("target_type", F.lit("server")), catalog).withColumn("phase", F.lit("pre-config")).withColumn("status", F.lit("warning"))
 
 
 def catalog_stats(rules: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -111,11 +108,6 @@ def catalog_stats(rules: DataFrame, patterns: DataFrame) -> DataFrame:
     return rules.join(sizes, "rule", "left").groupBy("phase").agg(F.count("*").alias("n_rules"), F.sum("n").alias("n_patterns"), F.array_join(F.array_sort(F.collect_list("rule")), ",").alias("rules"))
 
 
-def problems() -> list[tuple[str, str]]:
-    """What is wrong with the catalog, as (rule, problem)."""
-    return catalog_problems(PATTERNS, CONDITIONS)
-
-
 def run_chain(items: DataFrame, operators: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> tuple[DataFrame | None, list[tuple[str, str]]]:
     """Union of the findings of all operators, in order; one that cannot be planned is skipped and reported."""
     out, failed = None, []

@@ -28,7 +28,9 @@ def register(name: str, sql: str | None = None):
 URLS_SQL = ITEMS_SQL + r""", urls AS (
  SELECT server, item_type, item_id, name, 'uri' AS field, uri AS url FROM items WHERE regexp_matches(uri, '^(https?|wss?)://')
  UNION ALL SELECT server, item_type, item_id, name, 'description', description FROM items WHERE regexp_matches(description, '^(https?|wss?)://')
- UNION ALL SELECT server, item_type, item_id, name, 'input_schema', unnest(regexp_extract_all(input_schema, '"((?:https?|wss?)://[^"]*)"', 1)) FROM items)"""
+ UNION ALL SELECT server, item_type, item_id, name, 'input_schema', unnest(regexp_extract_all(input_schema, '"((?:https?|wss?)://[^"]*)"', 1)) FROM items
+ UNION ALL SELECT server, item_type, item_id, name, 'output_schema', unnest(regexp_extract_all(output_schema, '"((?:https?|wss?)://[^"]*)"', 1)) FROM items
+ UNION ALL SELECT server, item_type, item_id, name, 'parameters', unnest(regexp_extract_all(parameters, '"((?:https?|wss?)://[^"]*)"', 1)) FROM items)"""
 FACTS_SQL = URLS_SQL + r""", hosts AS (SELECT *, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:\s]*)', 1)) AS host FROM urls),
  facts AS (SELECT *, CASE WHEN host = 'localhost' OR regexp_matches(host, '^[0-9.]+$') OR NOT contains(host, '.') THEN host ELSE split_part(host, '.', -2) || '.' || split_part(host, '.', -1) END AS root_domain FROM hosts WHERE host <> ''),
  per AS (SELECT server, root_domain, count(*) AS uses FROM facts GROUP BY ALL)"""
@@ -153,27 +155,27 @@ def l5_normal_issues(spark, sf_dir):
 
 # ---- drift -------------------------------------------------------------------------------------------------------------
 
-OLD_EXPR = {"server": "source", "name": "'doc_' || doc_id", "description": "text", "input_schema": "'{\"lang\":\"' || lang || '\",\"n\":' || n_chars || '}'"}
-NEW_EXPR = OLD_EXPR | {"description": "CASE WHEN doc_id % 10 = 2 THEN text || ' changed' WHEN doc_id % 10 = 4 THEN NULL ELSE text END", "input_schema": "CASE WHEN doc_id % 10 = 3 THEN '{\"lang\":\"xx\",\"n\":' || n_chars || '}' WHEN doc_id % 10 = 5 THEN '{\"n\":' || n_chars || ',\"lang\":\"' || lang || '\"}' ELSE '{\"lang\":\"' || lang || '\",\"n\":' || n_chars || '}' END"}
+OLD_EXPR = {"server": "source", "name": "'doc_' || doc_id", "description": "text", "input_schema": "'{\"lang\":\"' || lang || '\",\"n\":' || n_chars || '}'", "deprecated": "false"}
+NEW_EXPR = OLD_EXPR | {"description": "CASE WHEN doc_id % 10 = 2 THEN text || ' changed' WHEN doc_id % 10 = 4 THEN NULL ELSE text END", "input_schema": "CASE WHEN doc_id % 10 = 3 THEN '{\"lang\":\"xx\",\"n\":' || n_chars || '}' WHEN doc_id % 10 = 5 THEN '{\"n\":' || n_chars || ',\"lang\":\"' || lang || '\"}' ELSE '{\"lang\":\"' || lang || '\",\"n\":' || n_chars || '}' END", "deprecated": "doc_id % 10 = 6"}
 
 
 def snapshots(spark, sf_dir):
     docs = v.table(spark, sf_dir, "documents")
-    old = docs.where("doc_id % 10 <> 0 and doc_id % 40 < 20 or doc_id % 20 = 19").selectExpr(*[f"{e} AS {c}" for c, e in OLD_EXPR.items()])
-    new = docs.where("doc_id % 10 <> 1 and doc_id % 40 < 20 or doc_id % 20 = 19").selectExpr(*[f"{e} AS {c}" for c, e in NEW_EXPR.items()])
+    old = docs.where("doc_id % 10 <> 0").selectExpr(*[f"{e} AS {c}" for c, e in OLD_EXPR.items()])
+    new = docs.where("doc_id % 10 <> 1").selectExpr(*[f"{e} AS {c}" for c, e in NEW_EXPR.items()])
     return old, new
 
 
 # keys in another order are the same JSON: the oracle writes both sides in one order
-SNAP_SQL = "old AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in OLD_EXPR.items()) + " FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 40 < 20 OR doc_id % 20 = 19), new AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in (NEW_EXPR | {"input_schema": "CASE WHEN doc_id % 10 = 3 THEN '{\"lang\":\"xx\",\"n\":' || n_chars || '}' ELSE '{\"lang\":\"' || lang || '\",\"n\":' || n_chars || '}' END"}).items()) + " FROM documents WHERE doc_id % 10 <> 1 AND doc_id % 40 < 20 OR doc_id % 20 = 19)"
-CHANGES_SQL = SNAP_SQL + """, pairs AS (SELECT coalesce(o.server, n.server) AS server, coalesce(o.name, n.name) AS name, o.name AS oname, n.name AS nname, o.description AS od, n.description AS nd, o.input_schema AS oi, n.input_schema AS ni FROM old o FULL JOIN new n ON o.server = n.server AND o.name = n.name),
+SNAP_SQL = "old AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in OLD_EXPR.items()) + " FROM documents WHERE doc_id % 10 <> 0), new AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in (NEW_EXPR | {"input_schema": "CASE WHEN doc_id % 10 = 3 THEN '{\"lang\":\"xx\",\"n\":' || n_chars || '}' ELSE '{\"lang\":\"' || lang || '\",\"n\":' || n_chars || '}' END"}).items()) + " FROM documents WHERE doc_id % 10 <> 1)"
+CHANGES_SQL = SNAP_SQL + """, pairs AS (SELECT coalesce(o.server, n.server) AS server, coalesce(o.name, n.name) AS name, o.name AS oname, n.name AS nname, o.description AS od, n.description AS nd, o.input_schema AS oi, n.input_schema AS ni, o.deprecated AS odep, n.deprecated AS ndep FROM old o FULL JOIN new n ON o.server = n.server AND o.name = n.name),
  changes AS (SELECT server, name, 'added' AS change_type, NULL AS field, NULL AS old_value, NULL AS new_value, NULL AS diff FROM pairs WHERE oname IS NULL
   UNION ALL SELECT server, name, 'removed', NULL, NULL, NULL, NULL FROM pairs WHERE nname IS NULL
   UNION ALL SELECT server, name, 'modified', 'description', od, nd, CASE WHEN od IS NULL THEN 'description added' WHEN nd IS NULL THEN 'description removed' ELSE 'description changed' END FROM pairs WHERE oname IS NOT NULL AND nname IS NOT NULL AND od IS DISTINCT FROM nd
   UNION ALL SELECT server, name, 'modified', 'input_schema', oi, ni, CASE WHEN oi IS NULL THEN 'input_schema added' WHEN ni IS NULL THEN 'input_schema removed' ELSE 'input_schema changed' END FROM pairs WHERE oname IS NOT NULL AND nname IS NOT NULL AND oi IS DISTINCT FROM ni)"""
 
 
-@register("d1_snapshot_changed", f"WITH {CHANGES_SQL}, c AS (SELECT DISTINCT server FROM changes) SELECT DISTINCT pairs.server, c.server IS NOT NULL AS changed FROM pairs LEFT JOIN c ON c.server = pairs.server")
+@register("d1_snapshot_changed", f"WITH {CHANGES_SQL}, c AS (SELECT server FROM changes UNION SELECT server FROM pairs WHERE odep IS DISTINCT FROM ndep) SELECT DISTINCT pairs.server, c.server IS NOT NULL AS changed FROM pairs LEFT JOIN c ON c.server = pairs.server")
 def d1_snapshot_changed(spark, sf_dir):
     return drift.snapshot_changed(*snapshots(spark, sf_dir))
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditgrove.operators import results
-from auditgrove.plans.audit_queries import ISSUES_SQL, issues
+from auditgrove.operators import model, results
+from auditgrove.plans.audit_queries import ISSUES_SQL, issues, replies
 from auditgrove.plans.rule_queries import FINDINGS_SQL, RANK_SQL, SCANS_SQL, all_items, findings, quote, scans
 
 QUERIES, ORACLE = {}, {}
@@ -42,10 +42,18 @@ def a2_top_findings(spark, sf_dir):
     return results.sort_by_severity(every(spark, sf_dir), 100).select("server", "item_id", "finding_type", "severity")
 
 
-@register("a3_embedded_results", f"WITH {EVERY_SQL}, f AS (SELECT item_id, count(*) AS n, string_agg(finding_type, ',' ORDER BY {RANK_SQL}, scan_type, finding_type, severity, message) AS types FROM every GROUP BY item_id) SELECT items.item_id, items.server, coalesce(n, 0) AS n_findings, coalesce(types, '') AS types FROM items LEFT JOIN f USING (item_id)")
+DETAILS_SQL = "details AS (SELECT 'p' || reply_id AS item_id, string_agg(details, chr(10) ORDER BY details) AS analysis FROM parsed WHERE kind = 'details' GROUP BY reply_id)"
+
+
+def details(spark, sf_dir):
+    """Analysis texts of the model's replies by item."""
+    return model.parse_responses(replies(spark, sf_dir)).where("kind = 'details'").select(F.concat(F.lit("p"), "reply_id").alias("item_id"), "details")
+
+
+@register("a3_embedded_results", f"WITH {EVERY_SQL}, {DETAILS_SQL}, f AS (SELECT item_id, count(*) AS n, string_agg(finding_type, ',' ORDER BY {RANK_SQL}, scan_type, finding_type, severity, message) AS types FROM every GROUP BY item_id) SELECT items.item_id, items.server, coalesce(n, 0) AS n_findings, coalesce(types, '') AS types, coalesce(analysis, '') AS analysis FROM items LEFT JOIN f USING (item_id) LEFT JOIN details USING (item_id)")
 def a3_embedded_results(spark, sf_dir):
-    got = results.embed_results(all_items(spark, sf_dir), every(spark, sf_dir))
-    return got.select("item_id", "server", F.size("findings").cast("long").alias("n_findings"), F.array_join(F.transform("findings", lambda f: f["finding_type"]), ",").alias("types"))
+    got = results.embed_results(all_items(spark, sf_dir).select("item_id", "server"), every(spark, sf_dir), details(spark, sf_dir))
+    return got.select("item_id", "server", F.size("findings").cast("long").alias("n_findings"), F.array_join(F.transform("findings", lambda f: f["finding_type"]), ",").alias("types"), F.coalesce("analysis", F.lit("")).alias("analysis"))
 
 
 @register("a4_security_summary", f"WITH {EVERY_SQL}, s AS (SELECT DISTINCT server FROM items), c AS (SELECT server, " + ", ".join(f"count(*) FILTER (scan_type = 'llm_analysis' AND target_type = '{t}') AS {t}_issues" for t in ("tool", "prompt", "resource")) + ", count(*) FILTER (scan_type = 'yara_rules') AS rule_issues, count(*) AS total_issues FROM every GROUP BY server) SELECT server, coalesce(tool_issues, 0) AS tool_issues, coalesce(prompt_issues, 0) AS prompt_issues, coalesce(resource_issues, 0) AS resource_issues, coalesce(rule_issues, 0) AS rule_issues, coalesce(total_issues, 0) AS total_issues FROM s LEFT JOIN c USING (server)")
@@ -96,17 +104,34 @@ def a9_enriched(spark, sf_dir):
     return results.enrich(every(spark, sf_dir)).select("item_id", "finding_type", "severity", "threat", "impact", "remedy", "exploitability")
 
 
+REMEDY_SQL = f"CASE WHEN scan_type = 'llm_analysis' THEN {THREAT_SQL[3]} ELSE coalesce({lookup_sql(results.RULE_REMEDIES)}, 'review the match and validate input') END"
 REPORT_SQL = f"""WITH {EVERY_SQL}, sv AS (SELECT DISTINCT server, CASE WHEN length(server) % 2 = 1 THEN 'Failed' ELSE 'Success' END AS status FROM items),
  c AS (SELECT server, count(*) AS items FROM items GROUP BY server),
- l AS (SELECT server, count(*) AS n, string_agg('- **' || severity || '** ' || finding_type || ' on ' || target_name || ': ' || message, chr(10) ORDER BY {RANK_SQL}, item_id, finding_type, '- **' || severity || '** ' || finding_type || ' on ' || target_name || ': ' || message) AS lines FROM every WHERE target_name IS NOT NULL GROUP BY server)
-SELECT server, '# Report for ' || server || chr(10) || chr(10) || 'Status: ' || status || CASE WHEN status = 'Success' THEN chr(10) || chr(10) || 'Items: ' || coalesce(items, 0) || ', findings: ' || coalesce(n, 0) || chr(10) || chr(10) || coalesce(lines, 'No findings.') ELSE chr(10) || chr(10) || 'Error: down' END AS report FROM sv LEFT JOIN c USING (server) LEFT JOIN l USING (server)"""
+ lined AS (SELECT server, scan_type, severity, {RANK_SQL} AS place, item_id, finding_type, {REMEDY_SQL} AS remedy, '- **' || severity || '** ' || finding_type || ' on ' || coalesce(target_name, item_id, '?') || ': ' || coalesce(message, '') AS line FROM every),
+ t AS (SELECT server, count(*) FILTER (scan_type = 'llm_analysis') AS model_n, count(*) FILTER (scan_type = 'yara_rules') AS rule_n, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, string_agg(DISTINCT '- ' || remedy, chr(10) ORDER BY '- ' || remedy) AS remedies FROM lined GROUP BY server),
+ top AS (SELECT *, row_number() OVER (PARTITION BY server, scan_type ORDER BY place, item_id, finding_type, line) AS n FROM lined QUALIFY n <= 100),
+ l AS (SELECT server, string_agg(line, chr(10) ORDER BY n) FILTER (scan_type = 'llm_analysis') AS model_lines, string_agg(line, chr(10) ORDER BY n) FILTER (scan_type = 'yara_rules') AS rule_lines FROM top GROUP BY server)
+SELECT server, '# Report for ' || server || chr(10) || chr(10) || 'Status: ' || status || chr(10) || chr(10) || CASE WHEN status = 'Success' THEN
+  'Items: ' || coalesce(items, 0) || ', model issues: ' || coalesce(model_n, 0) || ', rule detections: ' || coalesce(rule_n, 0) || ', critical: ' || coalesce(critical, 0) || ', high: ' || coalesce(high, 0)
+  || coalesce(chr(10) || chr(10) || '## Model issues' || chr(10) || model_lines, '') || coalesce(chr(10) || chr(10) || '## Rule detections' || chr(10) || rule_lines, '') || coalesce(chr(10) || chr(10) || '## Remediation' || chr(10) || remedies, '')
+ ELSE 'Error: down' END AS report FROM sv LEFT JOIN c USING (server) LEFT JOIN t USING (server) LEFT JOIN l USING (server)"""
 
 
 @register("a10_reports", REPORT_SQL)
 def a10_reports(spark, sf_dir):
     items = all_items(spark, sf_dir)
     status = items.select("server", F.when(F.length("server") % 2 == 1, "Failed").otherwise("Success").alias("status"), F.lit(" down ").alias("status_detail")).distinct()
-    return results.report_markdown(status, items, every(spark, sf_dir).where("target_name is not null"))
+    return results.report_markdown(status, items, every(spark, sf_dir))
+
+
+SUMMARY_PARTS = {k: ", ".join(f"count(*) FILTER (scan_type = '{k}' AND {c}) AS {k}_{n}" for n, c in (("c", "severity = 'CRITICAL'"), ("h", "severity = 'HIGH'"), ("m", "severity = 'MEDIUM'"), ("l", f"{RANK_SQL} = 3"))) for k in ("llm_analysis", "yara_rules")}
+
+
+@register("a10_summary", f"""WITH {EVERY_SQL}, {SCANS_SQL}, s AS (SELECT count(*) AS servers, count(*) FILTER (status = 'Success') AS ok, count(*) FILTER (status <> 'Success') AS bad FROM scans),
+ f AS (SELECT count(DISTINCT server) AS warned, {SUMMARY_PARTS['llm_analysis']}, {SUMMARY_PARTS['yara_rules']} FROM every)
+ SELECT '# Executive summary' || chr(10) || chr(10) || 'Servers: ' || servers || ', succeeded: ' || ok || ', failed: ' || bad || ', with findings: ' || warned || chr(10) || 'Model issues: critical ' || llm_analysis_c || ', high ' || llm_analysis_h || ', medium ' || llm_analysis_m || ', low ' || llm_analysis_l || chr(10) || 'Rule detections: critical ' || yara_rules_c || ', high ' || yara_rules_h || ', medium ' || yara_rules_m || ', low ' || yara_rules_l AS summary FROM s, f""")
+def a10_summary(spark, sf_dir):
+    return results.executive_summary(scans(spark, sf_dir), all_items(spark, sf_dir), every(spark, sf_dir))
 
 
 @register("a11_coverage", "SELECT source AS server, 'tool security' AS groups FROM documents GROUP BY source UNION ALL SELECT DISTINCT 'chat' || (conv_id % 10), 'input security' FROM conversations UNION ALL SELECT DISTINCT 'web' || (page_id % 10), 'resource security' FROM pages")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,31 @@ def hits_sql(text: str, rules_: list[str]) -> str:
     return "list_filter([" + ",\n".join(cases) + "], lambda x: x IS NOT NULL)"
 
 
+#: The conditions once more, written by hand in terms of the patterns found; the Spark plan is made from the catalog's own.
+CONDITION_SQL = {
+    "CommandInjection": """(shell_separators AND (file_dangerous OR process_dangerous OR network_dangerous)) OR file_manipulation OR process_control OR network_tools OR command_chaining
+      OR pipe_operators OR background_exec OR variable_substitution OR injection_patterns OR privilege_escalation OR data_exfil OR reverse_shell OR web_shell OR unsafe_file_ops
+      OR dangerous_permissions OR wildcard_patterns OR suspicious_combo
+      OR ((exec_functions OR python_exec OR node_exec OR php_exec OR java_exec) AND NOT legitimate_patterns) OR ((encoding_evasion OR obfuscation) AND shell_separators)""",
+    "SQLInjection": """union_injection OR union_columns OR time_injection OR delay_patterns OR error_injection OR error_functions OR stacked_queries OR multiple_statements OR auth_bypass
+      OR login_bypass OR sensitive_data OR (NOT legitimate_patterns AND (boolean_injection OR boolean_operators OR orm_bypass OR parameter_bypass OR blind_injection))
+      OR (sql_keywords AND (sql_comments OR inline_comments OR boolean_injection OR mysql_injection OR postgresql_injection OR mssql_injection OR oracle_injection OR encoding_evasion
+      OR hex_encoding OR unicode_encoding OR case_variation OR conditional_logic)) OR (data_exfil AND NOT safe_keywords)""",
+    "PathTraversalVulnerability": """dot_dot_slash OR dot_dot_backslash OR encoded_dot_dot OR double_encoded OR etc_path OR root_path OR var_path OR proc_path OR sys_path OR windows_system OR windows_users
+      OR ((file_read OR file_include) AND (dot_dot_slash OR dot_dot_backslash))""",
+    "CrossOriginEscalation": """(multi_domain_1 AND NOT (legitimate_cdn OR legitimate_backup OR legitimate_loadbalancer)) OR mixed_local_remote_1 OR mixed_local_remote_2 OR port_escalation OR mixed_schemes_1
+      OR mixed_schemes_2 OR mixed_ws_schemes OR subdomain_variations OR api_multi_domain OR proxy_patterns OR url_in_params OR service_domains OR tool_multi_origin OR url_array OR json_multi_origin""",
+    "MCPConfigRisk": "(cmd_exec AND (arg_flag OR arg_tokens)) OR calc_exec",
+    "SecretsLeakage": "assigned_secret OR access_key_id OR hosting_token OR bearer_header",
+    "SSHKeyExposure": "ssh_directory OR ssh_key_file OR ssh_public_key",
+    "PEMFileAccess": "pem_block OR pem_file",
+    "EnvironmentVariableLeakage": "assigned_variable OR env_file",
+}
+
+
 def matched_sql(rules_: list[str]) -> str:
-    cases = [f"CASE WHEN {catalog.condition_sql(catalog.CONDITIONS[r], lambda p, r=r: f'list_contains(hits, {quote(r + chr(46) + p)})')} THEN '{r}' END" for r in rules_]
+    found = lambda r: re.sub(r"\b[a-z]\w*\b", lambda m: f"list_contains(hits, '{r}.{m[0]}')", CONDITION_SQL[r])
+    cases = [f"CASE WHEN {found(r)} THEN '{r}' END" for r in rules_]
     return "list_filter([" + ",\n".join(cases) + "], lambda x: x IS NOT NULL)"
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditgrove.operators import catalog, rules
+from auditgrove.functions.storage import shared_folder
+from auditgrove.operators import catalog, items, rules
 from auditgrove.operators.configs import dedup_key
 from auditgrove.plans import views as v
 from auditgrove.plans.result_queries import EVERY_SQL, every
-from auditgrove.plans.rule_queries import ITEMS_SQL, MATCH_SQL, SEVERITY_SQL, all_items
+from auditgrove.plans.rule_queries import ITEMS_SQL, MATCH_SQL, SEVERITY_SQL, all_items, quote
 from auditgrove.sources import readers, writers
 from auditgrove.streaming import scan, state
 
@@ -25,14 +26,15 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
-@register("s1_manifests", f"WITH {v.TOOLS_SQL} SELECT server, name, coalesce(input_schema, '-') AS input_schema, NULL AS error FROM tools WHERE doc_id % 50 <> 7 UNION ALL SELECT server, NULL, '-', 'no tools array' FROM tools WHERE doc_id % 50 = 7")
+@register("s1_manifests", f"WITH {v.TOOLS_SQL} SELECT server, name, coalesce(input_schema, '-') AS input_schema, md5(description) AS description_md5, NULL AS error FROM tools WHERE doc_id % 50 <> 7 UNION ALL SELECT server, NULL, '-', NULL, 'no tools array' FROM tools WHERE doc_id % 50 = 7")
 def s1_manifests(spark, sf_dir):
     """List replies built from the tools, a reply each; some lack their array."""
     tools = v.tools(spark, sf_dir)
-    body = F.concat(F.lit('{"result":{"tools":[{"name":"'), "name", F.lit('","inputSchema":'), F.coalesce("input_schema", F.lit("null")), F.lit(',"description":"d"}]}}'))
+    quoted = F.to_json(F.array("description"))  # the whole text, escaped, in brackets
+    body = F.concat(F.lit('{"result":{"tools":[{"name":"'), "name", F.lit('","inputSchema":'), F.coalesce("input_schema", F.lit("null")), F.lit(',"description":'), F.substr(quoted, F.lit(2), F.length(quoted) - 2), F.lit("}]}}"))
     replies = tools.select("server", F.when(F.col("doc_id") % 50 == 7, '{"error":{"code":1}}').otherwise(body).alias("content"))
     got = readers.manifest_items(replies, "tools")
-    return got.select("server", "name", F.coalesce("input_schema", F.lit("-")).alias("input_schema"), "error")
+    return got.select("server", "name", F.coalesce("input_schema", F.lit("-")).alias("input_schema"), F.md5("description").alias("description_md5"), "error")
 
 
 FILES_EXPR = """CASE s_suppkey % 8
@@ -71,6 +73,37 @@ def s3_snapshots(spark, sf_dir):
     return readers.snapshot_rows(v.table(spark, sf_dir, "events").select(content.alias("content"))).select("url", "ts", "version_hash", "tool_count")
 
 
+#: A rule of a user, and three that cannot be used.
+ADDED = catalog.Catalog(
+    {"LongNumber": ("own_rules", "pre", "Long number", "1", "A number of six digits or more", "LOW", "numbers", None), "Orphan": ("own_rules", "pre", "Orphan", "1", "", "LOW", "x", None), "Broken": ("own_rules", "pre", "Broken", "1", "", "LOW", "x", None), "Empty": ("own_rules", "post", "Empty", "1", "", "LOW", "x", None)},
+    {"LongNumber": {"digits": (r"\b[0-9]{6,}\b", False)}, "Orphan": {"p": ("x", False)}, "Broken": {"p": ("(unclosed", False)}, "Empty": {"p": ("x", False)}},
+    {"LongNumber": ("any", "digits"), "Orphan": ("any", "p", "q"), "Broken": ("any", "p")},
+    {},
+)
+
+
+@register("s4_loaded_catalog", f"""WITH {MATCH_SQL} SELECT 'match' AS kind, item_id, rule_name, NULL AS problem FROM matches WHERE target_type = 'prompt'
+ UNION ALL SELECT 'match', item_id, 'LongNumber', NULL FROM items WHERE item_type = 'prompt' AND regexp_matches(full_text, {quote(ADDED.patterns['LongNumber']['digits'][0])})
+ UNION ALL SELECT 'problem', NULL, r, p FROM (VALUES ('Orphan', 'unknown pattern q'), ('Broken', 'pattern p does not compile'), ('Empty', 'no condition')) x(r, p)""")
+def s4_loaded_catalog(spark, sf_dir):
+    """The catalog and four more rules written as files, read again, and run on all prompts."""
+    folder = shared_folder(spark, "catalog")
+    both = catalog.Catalog(*[dict(a) | dict(b) for a, b in zip(catalog.BUILT_IN, ADDED)])
+    catalog.write_catalog(spark, both, folder)
+    loaded, problems = catalog.read_catalog(spark, folder)
+    found = rules.rule_matches(items.to_items(prompts=v.prompts(spark, sf_dir)), catalog=loaded)
+    none = F.lit(None).cast("string")
+    return found.select(F.lit("match").alias("kind"), "item_id", "rule_name", none.alias("problem")).unionByName(problems.select(F.lit("problem").alias("kind"), none.alias("item_id"), F.col("rule").alias("rule_name"), "problem"))
+
+
+@register("s5_stored_findings", f"WITH {MATCH_SQL} SELECT server, item_id, rule_name, {SEVERITY_SQL} AS severity, '2026-01-02' AS scan_date FROM matches")
+def s5_stored_findings(spark, sf_dir):
+    """All findings written by date and read again."""
+    folder = shared_folder(spark, "findings")
+    writers.write_findings(rules.annotate_findings(rules.rule_matches(all_items(spark, sf_dir))), folder, "2026-01-02")
+    return spark.read.parquet(folder).select("server", "item_id", "rule_name", "severity", F.col("scan_date").cast("string").alias("scan_date"))
+
+
 @register("r6_catalog_stats")
 def r6_catalog_stats(spark, sf_dir):
     """Catalog statistics next to what the corpus makes of each rule."""
@@ -89,6 +122,18 @@ def s6_nested_results(spark, sf_dir):
     return documents.select(parsed.alias("d")).select("d.server", F.size("d.items").cast("long").alias("items"), F.col("d.summary.total_issues").alias("findings"))
 
 
+@register("s6_wrapped_document", f"WITH {EVERY_SQL}, i AS (SELECT server, count(*) AS items FROM items GROUP BY server) SELECT server, items, (SELECT count(*) FROM i) AS total_servers FROM i")
+def s6_wrapped_document(spark, sf_dir):
+    """One document over all servers, written as text and read again line by line."""
+    folder = shared_folder(spark, "wrapped")
+    writers.write_wrapped(all_items(spark, sf_dir), every(spark, sf_dir), folder)
+    lines = spark.read.text(folder)
+    total = lines.where("value like '{\"scan_type\"%'").select(F.get_json_object(F.concat("value", F.lit("]}")), "$.total_servers").cast("long").alias("total_servers"))
+    parsed = F.from_json(F.regexp_replace("value", "^,", ""), "struct<server string, items array<struct<item_id string>>>")
+    documents = lines.where("value rlike '^,?[{]\"server\"'").select(parsed.alias("d")).select("d.server", F.size("d.items").cast("long").alias("items"))
+    return documents.crossJoin(F.broadcast(total))  # the head line
+
+
 RATE_SQL = """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS url, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
  f AS (SELECT url, rn, event_id, [us] AS log, true AS allowed FROM e WHERE rn = 1
   UNION ALL SELECT e.url, e.rn, e.event_id, CASE WHEN len(list_filter(f.log, lambda t: e.us - t < 21600000000)) >= 3 THEN list_filter(f.log, lambda t: e.us - t < 21600000000) ELSE list_append(list_filter(f.log, lambda t: e.us - t < 21600000000), e.us) END, len(list_filter(f.log, lambda t: e.us - t < 21600000000)) < 3 FROM f JOIN e ON e.url = f.url AND e.rn = f.rn + 1)
@@ -115,6 +160,13 @@ def t2_ttl_cache(spark, sf_dir):
     return state.ttl_cache(requests(spark, sf_dir), ttl_seconds=12 * 3600).select("url", "event_id", "hit")
 
 
+@register("t2_cache_stats", f"WITH x AS ({CACHE_SQL.replace('SELECT url, event_id, hit FROM f', 'SELECT url, max(stored) AS stored FROM f GROUP BY url').replace('WITH RECURSIVE ', 'WITH RECURSIVE ', 1)}), m AS (SELECT max(epoch_us(ts)) AS us FROM events) SELECT count(*) AS total, count(*) FILTER (us <= stored + 43200000000) AS active, count(*) FILTER (us > stored + 43200000000) AS expired FROM x, m")
+def t2_cache_stats(spark, sf_dir):
+    """Entries alive and expired at the time of the last lookup."""
+    last = v.table(spark, sf_dir, "events").agg(F.max("ts").alias("ts")).first()["ts"]
+    return state.cache_stats(state.ttl_cache(requests(spark, sf_dir), ttl_seconds=12 * 3600), last, ttl_seconds=12 * 3600)
+
+
 TIMED_SQL = f"{MATCH_SQL}, timed AS (SELECT *, {SEVERITY_SQL} AS severity, TIMESTAMP '2026-01-01' + to_minutes(CAST(7 * length(item_id) + ascii(substr(item_id, length(item_id))) AS BIGINT)) AS ts FROM matches)"
 
 

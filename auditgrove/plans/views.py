@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table dealt over the cores if it has fewer splits than those (a few large row groups); larger ones stay where they are."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if len(df.inputFiles()) < cores else df
+
+
 #: JSON schema of a tool, by doc_id; the same text in both engines.
 SCHEMA_SQL = """CASE doc_id % 6
  WHEN 0 THEN '{"type":"object","properties":{"endpoint":{"default":"https://api' || (doc_id % 3) || '.one.example/v1"},"q":{}}}'
@@ -19,26 +25,29 @@ SCHEMA_SQL = """CASE doc_id % 6
  WHEN 4 THEN NULL
  ELSE '{"properties":{"a":{"type":"string"},"b":{"enum":["wss://ws.one.example/s","see https://no.example"]},"https://key.one.example/k":1}}' END"""
 
+OUTPUT_SQL = """CASE doc_id % 5 WHEN 0 THEN '{"properties":{"link":{"default":"https://out' || (doc_id % 3) || '.three.example/o"}}}' WHEN 1 THEN '{"type":"string"}' END"""
+PARAMETERS_SQL = """CASE doc_id % 9 WHEN 1 THEN '{"api_url":"http://param.two' || (doc_id % 4) || '.example/p"}' END"""
+
 
 def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.selectExpr("doc_id", "source AS server", "'t' || doc_id AS item_id", "'doc_' || doc_id AS name", "CAST(NULL AS string) AS uri", "text AS description", f"{SCHEMA_SQL} AS input_schema", "CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS category", "array(lang, source) AS tags")
+    docs = spread(spark, sf_dir, "documents", "doc_id")
+    return docs.selectExpr("doc_id", "source AS server", "'t' || doc_id AS item_id", "'doc_' || doc_id AS name", "CAST(NULL AS string) AS uri", "text AS description", f"{SCHEMA_SQL} AS input_schema", f"{OUTPUT_SQL} AS output_schema", f"{PARAMETERS_SQL} AS parameters", "CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS category", "array(lang, source) AS tags")
 
 
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").selectExpr("page_id", "'web' || (page_id % 10) AS server", "'r' || page_id AS item_id", "'page_' || page_id AS name", "url AS uri", "CAST(NULL AS string) AS description")
+    return spread(spark, sf_dir, "pages", "page_id").selectExpr("page_id", "'web' || (page_id % 10) AS server", "'r' || page_id AS item_id", "'page_' || page_id AS name", "url AS uri", "CAST(NULL AS string) AS description")
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").selectExpr("'chat' || (conv_id % 10) AS server", "'p' || conv_id || '_' || turn AS item_id", "'c' || conv_id || '_t' || turn AS name", "text AS description")
+    return spread(spark, sf_dir, "conversations", "conv_id").selectExpr("'chat' || (conv_id % 10) AS server", "'p' || conv_id || '_' || turn AS item_id", "'c' || conv_id || '_t' || turn AS name", "text AS description")
 
 
-TOOLS_SQL = f"tools AS (SELECT doc_id, source AS server, 't' || doc_id AS item_id, 'doc_' || doc_id AS name, CAST(NULL AS VARCHAR) AS uri, text AS description, {SCHEMA_SQL} AS input_schema, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS category, [lang, source] AS tags FROM documents)"
+TOOLS_SQL = f"tools AS (SELECT doc_id, source AS server, 't' || doc_id AS item_id, 'doc_' || doc_id AS name, CAST(NULL AS VARCHAR) AS uri, text AS description, {SCHEMA_SQL} AS input_schema, {OUTPUT_SQL} AS output_schema, {PARAMETERS_SQL} AS parameters, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS category, [lang, source] AS tags FROM documents)"
 ITEMS_SQL = TOOLS_SQL + """,
 raw_items AS (
- SELECT 'tool' AS item_type, server, item_id, name, uri, description, input_schema FROM tools
- UNION ALL SELECT 'prompt', 'chat' || (conv_id % 10), 'p' || conv_id || '_' || turn, 'c' || conv_id || '_t' || turn, NULL, text, NULL FROM conversations
- UNION ALL SELECT 'resource', 'web' || (page_id % 10), 'r' || page_id, 'page_' || page_id, url, NULL, NULL FROM pages),
+ SELECT 'tool' AS item_type, server, item_id, name, uri, description, input_schema, output_schema, parameters FROM tools
+ UNION ALL SELECT 'prompt', 'chat' || (conv_id % 10), 'p' || conv_id || '_' || turn, 'c' || conv_id || '_t' || turn, NULL, text, NULL, NULL, NULL FROM conversations
+ UNION ALL SELECT 'resource', 'web' || (page_id % 10), 'r' || page_id, 'page_' || page_id, url, NULL, NULL, NULL, NULL FROM pages),
 items AS (SELECT *, item_type || 's' AS item_type_plural, upper(item_type) || ': ' || name AS scan_text, concat_ws(chr(10), upper(item_type) || ': ' || name, description, uri, input_schema) AS full_text FROM raw_items)"""
 
 #: Server definitions from suppliers; some are invalid on purpose.

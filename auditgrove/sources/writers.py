@@ -28,3 +28,22 @@ def nested_results(items: DataFrame, findings: DataFrame) -> DataFrame:
 def write_nested(items: DataFrame, findings: DataFrame, path: str, mode: str = "error") -> None:
     """The documents as text, one per line."""
     nested_results(items, findings).select("document").write.mode(mode).text(path)
+
+
+def wrapped_results(items: DataFrame, findings: DataFrame, scan_type: str = "multi") -> DataFrame:
+    """The lines of one JSON document over all servers, with ``place`` and ``server`` giving their order.
+
+    A head line with scan type and number of servers, a line per server, and a closing line; a comma leads all servers but the first.
+    """
+    documents = nested_results(items, findings)
+    edge = documents.agg(F.count("*").alias("n"), F.min("server").alias("first"))  # one row
+    head = edge.select(F.lit(0).alias("place"), F.lit("").alias("server"), F.concat(F.lit('{"scan_type":'), F.to_json(F.array(F.lit(scan_type))).substr(F.lit(2), F.length(F.to_json(F.array(F.lit(scan_type)))) - 2), F.lit(',"total_servers":'), F.col("n").cast("string"), F.lit(',"results":[')).alias("line"))
+    comma = F.when(F.col("server").eqNullSafe(F.col("first")), "").otherwise(",")
+    body = documents.crossJoin(F.broadcast(edge)).select(F.lit(1).alias("place"), "server", F.concat(comma, F.col("document")).alias("line"))
+    end = edge.select(F.lit(2).alias("place"), F.lit("").alias("server"), F.lit("]}").alias("line"))
+    return head.unionByName(body).unionByName(end)
+
+
+def write_wrapped(items: DataFrame, findings: DataFrame, path: str, scan_type: str = "multi", mode: str = "error") -> None:
+    """The document as text files; put together in order of their names they are one JSON document. No task holds more than one server."""
+    wrapped_results(items, findings, scan_type).orderBy("place", "server").select("line").write.mode(mode).text(path)

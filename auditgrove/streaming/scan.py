@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditgrove.operators.drift import fingerprint
-from auditgrove.operators.rules import HAYSTACKS, annotate_findings, matched_rules, rules_of, with_hits
+from auditgrove.operators.catalog import BUILT_IN, Catalog, rules_of
+from auditgrove.operators.rules import HAYSTACKS, annotate_findings, bound, matched_rules
 
 
-def stream_scan(items: DataFrame, phase: str = "pre", haystack: str = "full") -> DataFrame:
+def stream_scan(items: DataFrame, phase: str = "pre", haystack: str = "full", catalog: Catalog = BUILT_IN) -> DataFrame:
     """Findings of a stream of items that carry an event time ``ts``; stateless, works on a batch alike."""
-    rules, text = rules_of(phase), HAYSTACKS[haystack]
-    hits = with_hits(items.select("ts", "server", "item_type", "item_id", "name", text), text, rules).where(F.size("hits") > 0)
-    out = hits.select("ts", "server", F.col("item_type").alias("target_type"), "item_id", F.col("name").alias("target_name"), F.explode(matched_rules(rules)).alias("rule_name"))
-    return annotate_findings(out)
+    source = bound(items, HAYSTACKS[haystack], "ts", "server", "item_type", "item_id", "name")
+    out = source.select("ts", "server", F.col("item_type").alias("target_type"), "item_id", F.col("name").alias("target_name"), F.explode(matched_rules(rules_of(phase, catalog), catalog)).alias("rule_name"))
+    return annotate_findings(out, catalog)
 
 
 def severity_windows(findings: DataFrame, length: str = "1 hour", slide: str | None = None, gap: str | None = None, watermark: str = "1 hour") -> DataFrame:
@@ -28,21 +28,31 @@ def severity_windows(findings: DataFrame, length: str = "1 hour", slide: str | N
     return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "server", "severity", "n")
 
 
-def stream_drift(configs: DataFrame) -> DataFrame:
+def stream_drift(configs: DataFrame, idle_seconds: int | None = None, watermark: str = "1 hour") -> DataFrame:
     """T4: the first fingerprint of a key is its baseline; each later definition that differs from it emits a change.
 
-    The baseline stays, as in the batch form, so a changed definition is reported until it is back.
+    The baseline stays, as in the batch form, so a changed definition is reported until it is back. With ``idle_seconds`` a key
+    that is silent for so long behind the watermark is forgotten, which bounds the state; its next definition is a new baseline.
     """
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(parts)).sort_values(["ts", "fingerprint"])
         base = state.get[0] if state.exists else rows["fingerprint"].iloc[0]
         state.update((base,))
+        if idle_seconds is not None:
+            last = int(rows["ts"].max().value // 1_000_000)
+            state.setTimeoutTimestamp(max(last + idle_seconds * 1000, state.getCurrentWatermarkMs()) + 1)
         changed = rows[rows["fingerprint"] != base]
         yield pd.DataFrame({"dedup_key": [k[0]] * len(changed), "ts": changed["ts"], "fingerprint": changed["fingerprint"], "baseline": [base] * len(changed)})
 
     rows = configs.select("dedup_key", "ts", fingerprint().alias("fingerprint"))
-    return rows.groupBy("dedup_key").applyInPandasWithState(step, "dedup_key string, ts timestamp, fingerprint string, baseline string", "baseline string", "append", GroupStateTimeout.NoTimeout)
+    if idle_seconds is not None:
+        rows = rows.withWatermark("ts", watermark)
+    timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("dedup_key").applyInPandasWithState(step, "dedup_key string, ts timestamp, fingerprint string, baseline string", "baseline string", "append", timeout)
 
 
 def batch_drift(configs: DataFrame) -> DataFrame:

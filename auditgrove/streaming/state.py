@@ -95,15 +95,19 @@ def stream_rate_limit(requests: DataFrame, limit: int = 10, window_seconds: int
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, event_id long, ts timestamp, allowed boolean", "log array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_ttl_cache(lookups: DataFrame, ttl_seconds: int = 3600, key: str = "url") -> DataFrame:
-    """T2 on a stream."""
+def stream_ttl_cache(lookups: DataFrame, ttl_seconds: int = 3600, key: str = "url", watermark: str = "1 hour") -> DataFrame:
+    """T2 on a stream. An entry leaves the state when the watermark has passed its end, as every later lookup is a miss."""
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
         entry = list(state.get) if state.exists else []
         hits = [cached(entry, int(t.value // 1000), ttl_seconds * 1_000_000) for t in rows["ts"]]
         state.update(tuple(entry))
+        state.setTimeoutTimestamp(max(entry[0] // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({key: [k[0]] * len(rows), "event_id": rows["event_id"], "ts": rows["ts"], "hit": hits})
 
-    rows = lookups.select(F.col(key).cast("string").alias(key), F.col("event_id").cast("long"), F.col("ts").cast("timestamp").alias("ts"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, event_id long, ts timestamp, hit boolean", "cached_us long", "append", GroupStateTimeout.NoTimeout)
+    rows = lookups.select(F.col(key).cast("string").alias(key), F.col("event_id").cast("long"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", watermark)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, event_id long, ts timestamp, hit boolean", "cached_us long", "append", GroupStateTimeout.EventTimeTimeout)

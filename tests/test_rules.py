@@ -23,8 +23,8 @@ CASES = {
 def test_conditions_on_texts(spark):
     rows = [(f"{rule}:{kind}:{i}", t) for rule, (yes, no) in CASES.items() for kind, texts in (("yes", yes), ("no", no)) for i, t in enumerate(texts)]
     texts = spark.createDataFrame(rows, "item_id string, text string")
-    hits = rules.with_hits(texts, "text", list(CASES))
-    got = {r["item_id"]: set(r["m"]) for r in hits.select("item_id", rules.matched_rules(list(CASES)).alias("m")).collect()}
+    source = rules.bound(texts, "text", "item_id")
+    got = {r["item_id"]: set(r["m"]) for r in source.select("item_id", rules.matched_rules(list(CASES), catalog.BUILT_IN).alias("m")).collect()}
     wrong = [(k, sorted(m)) for k, m in got.items() if (k.split(":")[0] in m) != (k.split(":")[1] == "yes")]
     assert wrong == []
 
@@ -45,12 +45,22 @@ def test_gates_never_hide_a_match(spark):
 
 
 def test_catalog_is_sound(spark):
-    assert rules.problems() == [] and all(set(g) <= set(catalog.PATTERNS[r]) for r, g in catalog.GATES.items())
-    assert catalog.catalog_problems({"a": {"p": ("x", False)}, "b": {}}, {"a": ("any", "p", "q")}) == [("a", "unknown pattern q"), ("b", "no condition")]
+    assert catalog.catalog_problems(spark) == [] and all(set(g) <= set(catalog.PATTERNS[r]) for r, g in catalog.GATES.items())
+    bad = catalog.Catalog({"a": (), "b": (), "c": ()}, {"a": {"p": ("x", False)}, "b": {}, "c": {"p": ("(", False)}}, {"a": ("any", "p", "q"), "c": "p"}, {})
+    assert catalog.catalog_problems(spark, bad) == [("a", "unknown pattern q"), ("b", "no condition"), ("c", "pattern p does not compile")]
     table, patterns = catalog.rule_catalog(spark)
     assert rules.catalog_stats(table, patterns).first()["n_rules"] == len(catalog.RULES)
 
 
+def test_catalog_from_files(spark, tmp_path):
+    path = str(tmp_path / "catalog")
+    catalog.write_catalog(spark, catalog.BUILT_IN, path)
+    (tmp_path / "catalog" / "phase=pre" / "bad.json").write_text('{"rule": "X", "patterns": oops}\n{"rule":"Y","patterns":[{"pattern_id":"p","regex":"[","nocase":false,"gate":[]}],"condition":"\\"p\\""}\n')
+    loaded, problems = catalog.read_catalog(spark, path)
+    assert loaded.rules.keys() == catalog.RULES.keys() and all(loaded[i] == catalog.BUILT_IN[i] for i in (1, 2, 3))
+    assert sorted(r["problem"] for r in problems.collect()) == ["pattern p does not compile", "unreadable rule"]
+
+
 @pytest.fixture
 def items(spark):
     tools = spark.createDataFrame([("s", "t1", "clean", "plain"), ("s", "t2", "bad", "x; rm -rf /"), ("r", "t3", None, None)], "server string, item_id string, name string, description string")
