@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditgrove.llm.shared import alias_free, arrow_rows, emit
+from auditgrove.llm.shared import alias_free, bound_batches, emit
 
 BUDGET, HISTORY = 1024, 256
 CONTROL = re.compile(re.escape("<|") + "|" + "|".join(re.escape(c) for c in ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")))
-TURN = re.compile(r"<\|turn\|>((?:\\.|[^\\\n])*)\n((?:\\.|[^\\<]|<(?!\|))*)<\|end\|>\n", re.S)
+HEAD, TAIL = "<|turn|>", "<|end|>\n"
+#: Characters of a text whose words are counted at a time.
+COUNTED = 1 << 16
 ESCAPED = re.compile(r"\\(.)", re.S)
 WINDOWS = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("n_repeated", pa.int64()), ("text", pa.string()), ("loss_starts", pa.list_(pa.int64())), ("loss_ends", pa.list_(pa.int64()))])
 WINDOWS_DDL = "conv_id long, window long, n_repeated long, text string, loss_starts array<long>, loss_ends array<long>"
@@ -42,7 +44,7 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
-    return ESCAPED.sub(r"\1", text)
+    return ESCAPED.sub(r"\1", text) if "\\" in text else text
 
 
 def format_turn(role: str, text: str) -> tuple[str, int, int]:
@@ -53,8 +55,13 @@ def format_turn(role: str, text: str) -> tuple[str, int, int]:
 
 
 def turn_tokens(role: str, text: str) -> int:
-    """Tokens of a turn: its words and the four marks around them."""
-    return len(text.split()) + 4
+    """Tokens of a turn: its words and the four marks around them. A long text is counted piece by piece."""
+    n, inside = 4, False
+    for at in range(0, len(text), COUNTED):
+        part = text[at : at + COUNTED]
+        n += len(part.split()) - (inside and not part[0].isspace())
+        inside = not part[-1].isspace()
+    return n
 
 
 class Formatter:
@@ -104,7 +111,7 @@ class Formatter:
 
 def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, count=turn_tokens) -> DataFrame:
     """Windows of all conversations: conv_id, window, n_repeated (turns repeated at its head), text, loss spans."""
-    arrow_rows(turns.sparkSession)
+    bound_batches(turns.sparkSession)
     source = alias_free(turns, "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt = source.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
@@ -131,17 +138,26 @@ def parse_window(text: str, starts: list[int], ends: list[int]) -> tuple[list[tu
     """Turns (role, text) of a window and the texts under its loss mask, all unescaped."""
     turns, at = [], 0
     while at < len(text):
-        m = TURN.match(text, at)
-        if m is None:
+        line = at + len(HEAD)
+        while True:  # the role ends at the first newline that no backslash escapes
+            line = text.find("\n", line)
+            escapes = 0
+            while line > 0 and text[line - 1 - escapes] == "\\":
+                escapes += 1
+            if escapes % 2 == 0:
+                break
+            line += 1
+        end = text.find(TAIL, line + 1) if line >= 0 else -1  # no escaped text holds the mark
+        if end < 0 or not text.startswith(HEAD, at):
             raise ValueError("a window is not a run of whole turns")
-        turns.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
+        turns.append((unescape(text[at + len(HEAD) : line]), unescape(text[line + 1 : end])))
+        at = end + len(TAIL)
     return turns, [unescape(text[s:e]) for s, e in zip(starts, ends)]
 
 
 def read_back(windows: DataFrame) -> DataFrame:
     """One row per conversation, from the windows alone: what they hold and what the loss mask covers."""
-    arrow_rows(windows.sparkSession)
+    bound_batches(windows.sparkSession)
     dealt = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
 
     def run(batches):

@@ -6,23 +6,25 @@ cannot lie in an occurrence), the suffixes of that string are sorted, and the Bu
 windows are searched backward at once through wavelet ranks; occurrences are located by stepping to the nearest
 sampled suffix position, and overlapping occurrences are merged into removal spans.
 
-The benchmark is read in blocks of at most ``BENCH_BYTES`` of text, measured before anything is collected; each block
-is one pass over the documents, so neither driver nor tasks ever hold more than one block of windows.
+Spark cuts the items into distinct windows and deals these into blocks of about ``BENCH_BYTES`` of window text. One block at a time goes to the
+driver, is broadcast as packed arrays, searched in one pass over the documents and released, so neither driver nor tasks hold more than one block.
 
 Defined results: null and empty texts have no words and are never hit; items without words have no window; items with the same
-item_id are one item for reporting; repeated rows get equal results; an empty benchmark hits nothing; extra columns are ignored.
+item_id are one item for reporting; an item without item_id is found, but not named among the items; every row keeps its own spans, so repeated rows
+get equal results and rows that share a doc_id, or have none, do not mix; an empty benchmark hits nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditgrove.llm.shared import Scratch, alias_free, arrow_rows, blocks, emit, strings
+from auditgrove.llm.shared import Scratch, alias_free, blocks, bound_batches, emit, flat, strings
 
-WINDOW, SAMPLE, BENCH_BYTES = 10, 8, 16 << 20
+WINDOW, SAMPLE, BENCH_BYTES = 10, 8, 32 << 20
 #: Every byte that no word holds becomes a space, A-Z lower-cased; words are then split at spaces.
 BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 FOUND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
@@ -34,22 +36,29 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Windows:
-    """Vocabulary and distinct windows of one block of items."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item_id, text in items:
-            coded = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text or "")]
-            for i in range(max(1, len(coded) - WINDOW + 1) if coded else 0):
-                owners.setdefault(tuple(coded[i : i + WINDOW]), set()).add(str(item_id))
-        self.windows = list(owners)
-        self.owners = [sorted(owners[w]) for w in self.windows]
-        self.lengths = np.array([len(w) for w in self.windows], dtype=np.int64)
-        self.shortest = int(self.lengths.min()) if self.windows else 0
-        self.table = np.zeros((len(self.windows), WINDOW), dtype=np.int64)  # aligned to the right, 0 is no word
-        for row, w in enumerate(self.windows):
-            self.table[row, WINDOW - len(w) :] = w
+    """Vocabulary and windows of one block, as arrays: ``table`` holds word ids aligned to the right (0 is no word), ``owner`` the
+    item codes of all windows in turn, ``owner_ends`` where each window's end."""
+
+    def __init__(self, block: pa.Table):
+        words = pc.split_pattern(flat(block.column("window"), pa.string()), " ")
+        coded = words.flatten().dictionary_encode()
+        self.ids = {w.encode(): i + 1 for i, w in enumerate(coded.dictionary.to_pylist())}
+        self.lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.table = np.zeros((len(self.lengths), WINDOW), np.int32)
+        row = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        self.table[row, WINDOW - self.lengths[row] + place] = coded.indices.to_numpy(zero_copy_only=False) + 1
+        self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
+        items = flat(block.column("items"), pa.list_(pa.string()))
+        owners = items.flatten().dictionary_encode()
+        self.items = owners.dictionary.to_pylist()
+        self.owner = owners.indices.to_numpy(zero_copy_only=False)
+        self.owner_ends = np.cumsum(pc.list_value_length(items).to_numpy(zero_copy_only=False)).astype(np.int64)
+
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        first = np.where(windows > 0, self.owner_ends[windows - 1], 0)
+        codes = {c for lo, hi in zip(first.tolist(), self.owner_ends[windows].tolist()) for c in self.owner[lo:hi].tolist()}
+        return sorted(self.items[c] for c in codes)
 
 
 class FMIndex:
@@ -142,12 +151,12 @@ def shard_hits(texts: list[str], windows: Windows):
         counts.append(len(own))
         coded.append(np.fromiter((ids(w, 0) for w in own), dtype=np.int32, count=len(own)))
         coded.append(np.zeros(1, np.int32))
-    flat = np.concatenate(coded) if coded else np.zeros(0, np.int32)
+    symbols = np.concatenate(coded) if coded else np.zeros(0, np.int32)
     starts = np.concatenate(([0], np.cumsum(np.array(counts, dtype=np.int64) + 1)))
     none = np.empty(0, np.int64)
-    if not windows.windows or not len(flat):
+    if not len(windows.lengths) or not len(symbols):
         return counts, (none, none, none)
-    inside = np.concatenate(([False], flat > 0, [False]))
+    inside = np.concatenate(([False], symbols > 0, [False]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     first, last = edge[::2], edge[1::2]
     long = last - first >= windows.shortest
@@ -157,12 +166,12 @@ def shard_hits(texts: list[str], windows: Windows):
     sizes = last - first + 1  # with the separator behind each run
     new_start = np.cumsum(sizes) - sizes
     source = np.arange(sizes.sum()) - np.repeat(new_start - first, sizes)
-    text = flat[source].astype(np.int64)
+    text = symbols[source].astype(np.int64)
     text[new_start + sizes - 1] = 0
     run_start = np.zeros(len(text), bool)
     run_start[new_start] = True
     index = FMIndex(text, run_start)
-    lo, hi = index.search(windows.table)
+    lo, hi = index.search(windows.table.astype(np.int64))
     found = np.flatnonzero(hi > lo)
     n = (hi - lo)[found]
     rows = np.repeat(lo[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -181,31 +190,51 @@ def merge(first: np.ndarray, last: np.ndarray) -> tuple[list[int], list[int]]:
     return first[new].tolist(), ends.tolist()
 
 
-def benchmark_blocks(bench: DataFrame) -> list[Windows]:
-    """The benchmark's windows in blocks of bounded text."""
+def window_table(bench: DataFrame, scratch: Scratch, limit: int) -> tuple[DataFrame, int]:
+    """Distinct windows with the items that hold them and their block, written to scratch, and the number of blocks."""
     items = alias_free(bench, "item_id", "text").where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string"))
-    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = max(1, -(-total // BENCH_BYTES))
-    parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)] if n > 1 else [items]
-    return [Windows([(r["item_id"], r["text"]) for r in part.collect()]) for part in parts]
 
-
-def find_spans(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    def run(batches):
+        for table in blocks(batches, "text"):
+            ids, windows = [], []
+            for item_id, text in zip(table.column("item_id").to_pylist(), strings(table, "text").to_pylist()):
+                own = words_of(text)
+                for i in range(max(1, len(own) - WINDOW + 1) if own else 0):
+                    ids.append(item_id)
+                    windows.append(b" ".join(own[i : i + WINDOW]).decode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(windows, pa.string())], names=["item_id", "window"])
+
+    bound_batches(bench.sparkSession)
+    cut = items.mapInArrow(run, "item_id string, window string")
+    distinct = scratch.keep(cut.groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items")), "windows")
+    size = F.octet_length("window") + F.octet_length(F.array_join("items", ","))
+    total = distinct.agg(F.sum(size.cast("long")).alias("n")).first()["n"] or 0
+    n = max(1, -(-total // limit))
+    return distinct.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(n))), n
+
+
+def blocks_of_windows(bench: DataFrame, scratch: Scratch, limit: int):
+    """The blocks one after the other; the caller is done with one before the next is collected."""
+    table, n = window_table(bench, scratch, limit)
+    for i in range(n):
+        yield n, Windows(table.where(F.col("block") == i).select("window", "items").toArrow())
+
+
+def find_spans(docs: DataFrame, bench: DataFrame, limit: int | None = None) -> DataFrame:
     """doc_id, n_words, removal spans (first word, word after the last) and the items found, of every row."""
-    spark = docs.sparkSession
-    arrow_rows(spark)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontam")
+    bound_batches(spark)
     source = alias_free(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = benchmark_blocks(bench)
-    if len(parts) == 1:
-        return one_pass(source.withColumn("row", F.lit(0).cast("long")), parts[0], every=True).drop("row")
-    scratch = Scratch(spark, "decontam")
+    passes = blocks_of_windows(bench, scratch, limit or BENCH_BYTES)
+    n, first = next(passes)
+    if n == 1:
+        return one_pass(source.withColumn("row", F.lit(0).cast("long")), spark.sparkContext.broadcast(first), every=True).drop("row")
     keyed = scratch.keep(source.withColumn("row", F.monotonically_increasing_id()), "rows")
-    return spans_by_row(keyed, parts, scratch, every=True).drop("row")
+    return spans_by_row(keyed, first, passes, scratch, every=True).drop("row")
 
 
-def one_pass(rows: DataFrame, windows: Windows, every: bool) -> DataFrame:
+def one_pass(rows: DataFrame, shared, every: bool) -> DataFrame:
     """What one block finds in each row; without ``every`` only the rows with a hit."""
-    shared = rows.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches):
         for table in blocks(batches, "text"):
@@ -216,17 +245,25 @@ def one_pass(rows: DataFrame, windows: Windows, every: bool) -> DataFrame:
     return rows.select("row", "doc_id", "text").mapInArrow(run, FOUND_DDL)
 
 
-def spans_by_row(keyed: DataFrame, parts: list[Windows], scratch: Scratch, every: bool) -> DataFrame:
+def spans_by_row(keyed: DataFrame, first: Windows, rest, scratch: Scratch, every: bool) -> DataFrame:
     """The spans of all blocks, merged by the key ``row``, which was written with the rows and so is the same in each pass."""
-    found = [scratch.keep(one_pass(keyed, w, every and i == 0), "found") for i, w in enumerate(parts)]
-    union = found[0]
-    for f in found[1:]:
-        union = union.unionByName(f)
+    found, windows = None, first
+    while windows is not None:
+        shared = keyed.sparkSession.sparkContext.broadcast(windows)
+        own = scratch.keep(one_pass(keyed, shared, every and found is None), "found")
+        shared.destroy()  # this block is written: its windows are given up before the next is collected
+        found = own if found is None else found.unionByName(own)
+        windows = next(rest, (0, None))[1]
     lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")]
-    together = union.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *lists)
-    merged = F.udf(lambda s, e: merge(np.array(s), np.array(e)) if s else ([], []), "struct<starts:array<int>,ends:array<int>>")
-    together = together.withColumn("m", merged("starts", "ends"))
-    return together.select("row", "doc_id", "n_words", "m.starts", "m.ends", F.array_sort(F.array_distinct("items")).alias("items"))
+    together = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *lists)
+    together = together.withColumn("items", F.array_sort(F.array_distinct("items"))).select(*FOUND.names)
+
+    def run(batches):
+        for batch in batches:
+            spans = [merge(np.array(s), np.array(e)) if s else ([], []) for s, e in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist())]
+            yield emit({c: batch.column(c) for c in ("row", "doc_id", "n_words", "items")} | {"starts": [x[0] for x in spans], "ends": [x[1] for x in spans]}, FOUND)
+
+    return together.mapInArrow(run, FOUND_DDL)
 
 
 def spans_of(texts: list[str], windows: Windows) -> dict[str, list]:
@@ -237,13 +274,13 @@ def spans_of(texts: list[str], windows: Windows) -> dict[str, list]:
     for own in np.split(np.arange(len(doc)), np.flatnonzero(doc[1:] != doc[:-1]) + 1) if len(doc) else []:
         d = int(doc[own[0]])
         out["starts"][d], out["ends"][d] = merge(at[own], at[own] + windows.lengths[window[own]])
-        out["items"][d] = sorted({i for w in set(window[own].tolist()) for i in windows.owners[w]})
+        out["items"][d] = windows.items_of(np.unique(window[own]))
     return out
 
 
-def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, limit: int | None = None) -> DataFrame:
     """Report per document: words, words hit, items found and their digest."""
-    found = find_spans(docs, bench)
+    found = find_spans(docs, bench, limit)
     hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     items = F.array_join(F.array_sort("items"), ",")
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "starts", "ends")
@@ -263,26 +300,25 @@ def cut_spans(text: str, starts: list[int], ends: list[int]) -> str:
     return " ".join(p.decode("utf-8", "surrogatepass").strip() for p in parts).strip()
 
 
-def remove_spans(docs: DataFrame, bench: DataFrame) -> DataFrame:
+def remove_spans(docs: DataFrame, bench: DataFrame, limit: int | None = None) -> DataFrame:
     """The documents with every span removed from their texts and n_chars counted anew; unhit rows stay as they are.
 
     A document of which no word is left goes. With a benchmark of one block the spans are found and cut in the same
     task, without a shuffle; with more blocks the rows are written with a key each, the spans found block by block and
     joined by that key, so rows that share a doc_id, or have none, get their own.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark)
-    parts = benchmark_blocks(bench)
-    if len(parts) > 1:
-        scratch = Scratch(spark, "decontam")
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontam")
+    bound_batches(spark)
+    passes = blocks_of_windows(bench, scratch, limit or BENCH_BYTES)
+    n, first = next(passes)
+    shared = spark.sparkContext.broadcast(first if n == 1 else None)
+    source = docs
+    if n > 1:
         keyed = scratch.keep(docs.select(F.struct("*").alias("whole"), F.monotonically_increasing_id().alias("row")), "rows")
         slim = keyed.select("row", F.lit(None).cast("long").alias("doc_id"), F.col("whole.text").cast("string").alias("text"))
-        spans = scratch.keep(spans_by_row(slim, parts, scratch, every=False).select("row", "starts", "ends"), "spans")
+        spans = scratch.keep(spans_by_row(slim, first, passes, scratch, every=False).select("row", "starts", "ends"), "spans")
         free = "_" * max(len(c) for c in docs.columns)  # no column of the rows has these names
         source = keyed.join(spans, "row", "left").select("whole.*", F.col("starts").alias(f"starts{free}"), F.col("ends").alias(f"ends{free}"))
-    else:
-        source = docs
-    shared = spark.sparkContext.broadcast(parts[0] if len(parts) == 1 else None)
     schema = pa.schema([(f.name, kind) for f, kind in zip(docs.schema, arrow_types(docs))])
 
     def run(batches):

@@ -13,6 +13,9 @@ whose signatures are within the distance. In a bucket of at most ``SMALL`` class
 the smallest class is paired with the others; where such a bucket still joins several components afterwards, its classes are
 compared by a prefix filter over their full sets, which lists every pair that can be linked, so no link is lost to a cap.
 
+Hot keys: an index key, and a shingle, with more than a thousandth of its table's rows is found by counting (of such keys there are a thousand at most, so their list may
+be broadcast) and never gathers its rows: an index key's classes meet its smallest class where they are, a shingle's rows are dealt over as many salts as it needs.
+
 Defined results: a null or empty text has no shingles, is linked with nothing and is kept; fewer than five words make one
 shingle; repeated rows are copies with one doc_id and get the same row; a row without doc_id is a copy like others, but never
 names a component. Extra columns are ignored.
@@ -30,10 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditgrove.llm.components import connected_components
-from auditgrove.llm.shared import Scratch, alias_free, arrow_rows, blocks, emit, hash_strings, mix, rolling, split_words, strings
+from auditgrove.llm.shared import Scratch, alias_free, blocks, bound_batches, emit, hash_strings, mix, rolling, split_words, strings
 
 WIDTH = 5
 SYMBOLS, SMALL, SALTS = 64, 16, 32
+#: A key is hot with more than one row in HOT_SHARE; keys are counted on one class in KEY_SAMPLE, which decides how rows are dealt and nothing else.
+HOT_SHARE, KEY_SAMPLE = 1000, 16
+#: Rows of a shingle that meet in one group.
+SPLIT = 256
 MARK_BITS = 1 << 25
 
 
@@ -89,9 +96,9 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def document_sets(docs: DataFrame) -> DataFrame:
-    """Set size, class id and signature of every row; the last two are null for an empty set."""
-    arrow_rows(docs.sparkSession)
+def document_sets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Set size, class id and signature of every row (named by its ``key``); the last two are null for an empty set."""
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         for table in blocks(batches, "text"):
@@ -103,7 +110,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 node[i], signature[i] = node_of(sets[i]), signed[row].tobytes()
             yield emit({"doc_id": table.column("doc_id"), "n_shingles": [len(s) for s in sets], "node": node, "signature": signature}, SETS)
 
-    source = alias_free(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    source = alias_free(docs, key, "text").select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string"))
     return source.mapInArrow(run, "doc_id long, n_shingles long, node long, signature binary")
 
 
@@ -184,6 +191,26 @@ def bucket_pairs(keys: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, a long, b long")
 
 
+def hot_keys(keys: DataFrame, column: str, scratch: Scratch) -> DataFrame:
+    """The values of a column with more than one row in HOT_SHARE of the table: at most HOT_SHARE rows, whatever the table."""
+    counted = keys.groupBy(column).agg(F.count("*").alias("n"))
+    total = F.broadcast(keys.agg(F.count("*").alias("total")))  # one row
+    return scratch.keep(counted.where("n > 16").crossJoin(total).where(F.col("n") * HOT_SHARE > F.col("total")).select(column, "n"), "hot")
+
+
+def centre_pairs(keys: DataFrame) -> DataFrame:
+    """Of hot keys: every class with the smallest class of its key. Minima are taken before the shuffle; no row is dealt by its key."""
+    centres = keys.groupBy("key").agg(F.min("node").alias("a"))  # a row per hot key
+    return keys.join(F.broadcast(centres), "key").where("node <> a").select("key", "a", F.col("node").alias("b"))
+
+
+def met_in_buckets(classes: DataFrame, limit: Limit, scratch: Scratch) -> DataFrame:
+    keys = index_keys(classes, limit)
+    sample = index_keys(classes.where(F.pmod(F.xxhash64("node"), F.lit(KEY_SAMPLE)) == 0), limit)
+    hot = F.broadcast(hot_keys(sample, "key", scratch).select("key"))
+    return bucket_pairs(keys.join(hot, "key", "left_anti")).unionByName(centre_pairs(keys.join(hot, "key", "left_semi")))
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, of sorted distinct hashes."""
     few, many = (x, y) if len(x) < len(y) else (y, x)
@@ -245,19 +272,21 @@ def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def component_table(docs: DataFrame, limit: Limit = CONTRACT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs`` (columns doc_id and text)."""
+def component_table(docs: DataFrame, limit: Limit = CONTRACT, key: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs`` (columns doc_id and text).
+
+    With another ``key`` column, long and different in every row, the rows are named by it, in the columns called doc_id and component_id.
+    """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near-dup")
-    sets = scratch.keep(document_sets(docs), "sets")
+    sets = scratch.keep(document_sets(docs, key), "sets")
     named = sets.where("node is not null")
     classes = scratch.keep(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "classes")
-    arrow_rows(spark, 20_000)
-    met = scratch.keep(bucket_pairs(index_keys(classes.where("doc_id is not null"), limit)), "met")
+    bound_batches(spark)
+    met = scratch.keep(met_in_buckets(classes.where("doc_id is not null" if key == "doc_id" else "true"), limit, scratch), "met")
     candidates = scratch.keep(met.groupBy("a", "b").agg(F.count("*").alias("hits")), "candidates")
-    arrow_rows(spark)
     needed = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "doc_id"), "node")
     needed = scratch.keep(needed, "needed")
-    source = alias_free(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    source = alias_free(docs, key, "text").select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string"))
     texts = scratch.keep(only_marked(source, needed).join(needed, "doc_id").select("node", "text"), "texts")
 
     first = candidates.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a"))
@@ -332,7 +361,9 @@ def settle_large(large, candidates, classes, texts, links, comps, scratch, limit
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, sizes)), pa.array(flat)], names=["node", "shingle"])
 
     rows = scratch.keep(texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(explode_sets, "node long, shingle long").distinct(), "open-shingles")
-    counted = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("seen")), "shingle")
+    hot = F.broadcast(hot_keys(rows, "shingle", scratch))
+    cold = rows.join(hot.select("shingle"), "shingle", "left_anti")
+    counted = cold.join(cold.groupBy("shingle").agg(F.count("*").alias("seen")), "shingle").unionByName(rows.join(hot.withColumnRenamed("n", "seen"), "shingle"))
     ranked = counted.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("seen", "shingle"))).alias("s"))  # a document's set
     n = F.size("s")
     prefix = ranked.select("node", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), n - F.ceil(n * limit.percent / 100).cast("int") + 1)).alias("at", "s")).where("s.seen > 1")
@@ -340,15 +371,22 @@ def settle_large(large, candidates, classes, texts, links, comps, scratch, limit
     known = candidates
     for step in range(3):
         placed = prefix.join(comps, "node", "left").select("shingle", "node", "ahead", "n", F.coalesce("component", "node").alias("component"))
-        several = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-        some = scratch.keep(placed.join(several, "shingle", "left_semi"), "mixed")
-        x, y = some.toDF("shingle", "a", "ahead_a", "na", "ca"), some.toDF("shingle", "b", "ahead_b", "nb", "cb")
+        several = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
+        # a shingle with many rows is dealt over salts, by the class: one side's rows go to their salt, the other side's to all of them
+        parts = several.select("shingle", F.ceil(F.col("rows") / SPLIT).cast("int").alias("salts"))
+        spread = F.pmod(F.xxhash64("node"), F.col("salts").cast("long")).cast("int")
+        own = placed.withColumn("at", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(parts.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["shingle", "at"]).drop("at")
+        some = scratch.keep(own.withColumn("salt", spread), "mixed")
+        y = some.select("shingle", "salt", F.col("node").alias("b"), F.col("ahead").alias("ahead_b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+        x = some.select("shingle", "salts", F.col("node").alias("a"), F.col("ahead").alias("ahead_a"), F.col("n").alias("na"), F.col("component").alias("ca"))
         if step < 2:  # first only against the class with the fewest rare shingles, which joins most of a family
-            centre = x.groupBy("shingle").agg(F.max_by(F.struct("a", "ahead_a", "na", "ca"), F.struct(F.col("ahead_a") / F.col("na"), "na", "a")).alias("c"))
+            centre = x.groupBy("shingle").agg(F.max_by(F.struct("salts", "a", "ahead_a", "na", "ca"), F.struct(F.col("ahead_a") / F.col("na"), "na", "a")).alias("c"))
             x = centre.select("shingle", "c.*")
+        x = x.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
         enough = F.least("ahead_a", "ahead_b") * (100 + limit.percent) >= (F.col("na") + F.col("nb")) * limit.percent
-        near = enough & ((F.col("a") != F.col("b")) if step < 2 else (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb"))
-        met = x.join(y, ["shingle"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        alike = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * limit.percent) & enough
+        near = alike & ((F.col("a") != F.col("b")) if step < 2 else (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb"))
+        met = x.join(y, ["shingle", "salt"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = scratch.keep(met.join(known, ["a", "b"], "left_anti"), "fresh")
         known = known.unionByName(fresh)
         close = scratch.keep(within_distance(fresh, classes, limit), "close")
@@ -365,22 +403,31 @@ def marks_of(ids: DataFrame, spot) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, limit: Limit = CONTRACT) -> DataFrame:
-    """The documents that name their component, all columns unchanged.
+    """One row of each component, all columns unchanged: that with the smallest doc_id, rows without one last, and of equal ones the first row.
 
-    Only rows whose id may be a dropped one, by a bitmap of fixed size, are joined with the dropped ids; the texts of the others are
+    The rows are written once with a key of their own, by which they are judged, so rows that share a doc_id or have none are told apart.
+    Only rows whose key may be a dropped one, by a bitmap of fixed size, are joined with the dropped keys; the texts of the others are
     not shuffled. When the bitmap fills up at very large inputs, more rows take the join and the result is the same.
     """
     scratch = Scratch(docs.sparkSession, "near-dup-verdicts")
-    table = scratch.keep(component_table(docs, limit), "verdicts")
-    dropped = scratch.keep(table.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id"), "dropped")
-    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MARK_BITS))
-    marks = scratch.keep(marks_of(dropped, spot), "marks").withColumnRenamed("bucket", "mark_bucket")
-
-    at = F.col("at")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), spot.alias("at"))
-    rows = rows.join(F.broadcast(marks), F.bitmap_bucket_number(at) == F.col("mark_bucket"), "left")
+    free = "_" * (1 + max(len(c) for c in docs.columns))  # no column of the rows has these names
+    key = f"key{free}"
+    keyed = scratch.keep(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    table = scratch.keep(component_table(keyed, limit, key).select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")), "components")
+    own = alias_free(keyed, key, "doc_id").select(F.col(key).alias("key"), F.col("doc_id").cast("long"))
+    # a row that is alone in its component needs no verdict; the others are few and small
+    shared = table.where("key <> component").select("component").distinct()
+    grouped = table.join(shared, "component", "left_semi").join(own, "key")
+    best = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("best")).select(F.col("best.key").alias("key"))
+    dropped = scratch.keep(grouped.join(best, "key", "left_anti").select("key"), "dropped")
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(MARK_BITS))
+    marks = scratch.keep(marks_of(dropped, spot("key")), "marks").toDF(f"bucket{free}", f"bits{free}")
+
+    at = spot(key)
+    rows = keyed.join(F.broadcast(marks), F.bitmap_bucket_number(at) == F.col(f"bucket{free}"), "left")
     place = F.bitmap_bit_position(at).cast("int")
-    byte = F.conv(F.hex(F.substring("bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    marked = F.col("id").isNull() | F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8))) == 1, F.lit(False))
-    open_rows = rows.where(marked).select("row", "id").join(dropped, F.col("id").eqNullSafe(F.col("doc_id")), "left_anti")
-    return rows.where(~marked).select("row.*").unionAll(open_rows.select("row.*"))
+    byte = F.conv(F.hex(F.substring(f"bits{free}", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8))) == 1, F.lit(False))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    open_rows = rows.where(marked).join(dropped.withColumnRenamed("key", f"dropped{free}"), F.col(key) == F.col(f"dropped{free}"), "left_anti")
+    return rows.where(~marked).select(*columns).unionAll(open_rows.select(*columns))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditgrove.llm.shared import Scratch, alias_free, arrow_rows, blocks, emit, strings
+from auditgrove.llm.shared import Scratch, alias_free, bound_batches, blocks, emit, strings
 from auditgrove.llm.tokens import default_path, encoder
 
 CAPACITY, END_ID = 4096, 1
@@ -37,7 +37,7 @@ PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, bl
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece; ``local_rank`` counts the pieces of its length within the input block (task)."""
-    arrow_rows(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     schema = pa.schema(PIECE_FIELDS + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
 
     def run(batches):
@@ -56,6 +56,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END_
                     met[n] += 1
             if rows:
                 yield emit(rows, schema)
+        own.clear()  # the worker lives on, for other work
 
     source = alias_free(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return source.mapInArrow(run, PIECE_DDL + (", ids array<int>" if with_ids else ""))
@@ -125,7 +126,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     for rows in places.values():
         rows.sort()
     shared = spark.sparkContext.broadcast(dict(places))
-    ranked = found.join(base.drop("n"), ["block", "length"]).withColumn("rank", F.col("base") + F.col("local_rank"))
+    # `base` has a row per input block and length: it grows with the data and is merged, never broadcast
+    ranked = found.join(base.drop("n").hint("merge"), ["block", "length"]).withColumn("rank", F.col("base") + F.col("local_rank"))
 
     def place(batches):
         for batch in batches:

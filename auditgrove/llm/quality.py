@@ -1,12 +1,15 @@
 """Quality rules with risk-controlled cutoffs.
 
-Per stratum (language) and rule a cutoff is chosen from a fixed grid. Cutoffs are tried from lenient to strict on
-labelled good documents; one passes if the exact binomial probability of seeing so few false rejections, were the true
-rate ``alpha / rules``, is at most ``delta / (strata * rules)`` (Bonferroni over strata and rules; the grid needs no
-further share, as fixed-sequence testing stops at the first cutoff that fails). So with probability 1 - delta no
-stratum loses more than ``alpha`` of its good documents. Among the passing cutoffs the one with the largest gain
-(bad documents rejected minus ``GOOD_WEIGHT`` times good ones) is used, the most lenient on ties; a rule without a passing
-cutoff that gains is off.
+Every document has one score: the largest of its rule values, each divided by the value at which a text is doubtful
+(``SCALES``). Per stratum (language) one cutoff of the score is chosen from a fixed grid. Cutoffs are tried from lenient to strict on
+labelled good texts; one passes if the exact binomial probability of seeing so few false rejections, were the true
+rate ``alpha``, is at most ``delta / strata`` (Bonferroni over the strata; the grid needs no further share, as
+fixed-sequence testing stops at the first cutoff that fails). So with probability 1 - delta no stratum loses more than
+``alpha`` of its good texts. Among the passing cutoffs the one with the largest gain (bad texts rejected minus
+``GOOD_WEIGHT`` times good ones) is used, the most lenient on ties; a stratum without a passing cutoff that gains has none.
+
+Equal texts are one trial, good if any label calls them good, as copies fall together and would feign evidence. With four strata a cutoff needs 217 good
+texts at no false rejection.
 
 Defined results: a null or empty text has no words, fails the base rule and is rejected; a null language is a stratum
 of its own; without labels nothing but the base rule rejects; repeated rows are judged one by one; of the label
@@ -24,22 +27,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditgrove.llm.shared import Scratch, alias_free, arrow_rows, blocks, emit, hash_strings, rolling, split_words, strings
+from auditgrove.llm.shared import Scratch, alias_free, blocks, bound_batches, emit, hash_strings, rolling, split_words, strings
 
-#: Rule statistics; a document is rejected if its value is above the cutoff of its stratum.
-GRIDS = {
-    "symbol_ratio": [4.0, 3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1],
-    "repeat_ratio": [0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15],
-    "dup_line_ratio": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2],
-    "upper_ratio": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2],
-    "shout_ratio": [2.0, 1.5, 1.0, 0.8, 0.6, 0.4, 0.3, 0.2, 0.1],
-}
+#: Rule -> value at which a text is doubtful; the score is the largest quotient.
+SCALES = {"symbol_ratio": 0.4, "repeat_ratio": 0.4, "dup_line_ratio": 0.5, "upper_ratio": 0.5, "shout_ratio": 0.5}
+#: Cutoffs of the score, lenient first; a document above the cutoff of its stratum is rejected.
+GRID = [8.0, 6.0, 5.0, 4.0, 3.0, 2.5, 2.0, 1.75, 1.5, 1.25, 1.0, 0.9, 0.8, 0.7, 0.6, 0.5]
 ALPHA, DELTA, GOOD_WEIGHT = 0.02, 0.05, 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Cutoffs that one task can hold; a stratum has one only with over 200 labelled good texts, so this many need 200 million labels.
+MOST_CUTOFFS = 1_000_000
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-STATS = pa.schema([("doc_id", pa.int64()), ("stratum", pa.string()), *((c, pa.int64()) for c in COUNTS), ("base_failed", pa.bool_()), *((r, pa.float64()) for r in GRIDS)])
-STATS_DDL = "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, " + ", ".join(f"{r} double" for r in GRIDS)
+STATS = pa.schema([("doc_id", pa.int64()), ("stratum", pa.string()), *((c, pa.int64()) for c in COUNTS), ("base_failed", pa.bool_()), ("score", pa.float64()), ("text_hash", pa.int64())])
+STATS_DDL = "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, text_hash long"
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 SHOUTS = np.isin(np.arange(256), np.frombuffer(b"!?", np.uint8))
 UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
@@ -80,31 +81,38 @@ def repeated_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
-    """All counts and rule values of a block of texts."""
+    """All counts of a block of texts and their scores."""
     counts, codes, words = split_words(texts, lower=False)
     hashes = hash_strings(words)[codes] if len(codes) else np.empty(0, np.uint64)
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
 
+    sized = np.flatnonzero(np.diff(offsets) > 0)  # the others have no bytes between them
+    starts = offsets[sized] - offsets[0]
+
     def per_text(flags: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0], np.cumsum(flags[data], dtype=np.int64)))
-        return np.diff(total[offsets - offsets[0]])
+        total = np.zeros(len(texts), np.int64)
+        if len(sized):
+            total[sized] = np.add.reduceat(flags[data].view(np.uint8), starts, dtype=np.int64)
+        return total
 
     out = {"n_words": counts, "word_chars": per_text(CODE_POINT & ~SPACE), "n_symbols": per_text(SYMBOLS), "n_repeat_words": repeated_words(counts, hashes)}
     lines, out["n_dup_lines"] = repeated_lines(texts)
     out["base_failed"] = (counts < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * counts)
     n = np.maximum(counts, 1)
-    out |= {"symbol_ratio": out["n_symbols"] / n, "repeat_ratio": out["n_repeat_words"] / n, "dup_line_ratio": out["n_dup_lines"] / np.maximum(lines, 1)}
-    return out | {"upper_ratio": per_text(UPPER) / np.maximum(out["word_chars"], 1), "shout_ratio": per_text(SHOUTS) / n}
+    rules = {"symbol_ratio": out["n_symbols"] / n, "repeat_ratio": out["n_repeat_words"] / n, "dup_line_ratio": out["n_dup_lines"] / np.maximum(lines, 1)}
+    rules |= {"upper_ratio": per_text(UPPER) / np.maximum(out["word_chars"], 1), "shout_ratio": per_text(SHOUTS) / n}
+    return out | {"score": np.max([rules[r] / scale for r, scale in SCALES.items()], axis=0)}
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """One row of counts and rule values per document; only doc_id, text and lang are read."""
-    arrow_rows(docs.sparkSession)
+    """One row of counts, score and text hash per document; only doc_id, text and lang are read."""
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         for table in blocks(batches, "text"):
-            yield emit(statistics(strings(table, "text")) | {"doc_id": table.column("doc_id"), "stratum": pc.fill_null(table.column("lang"), "?")}, STATS)
+            texts = strings(table, "text")
+            yield emit(statistics(texts) | {"doc_id": table.column("doc_id"), "stratum": pc.fill_null(table.column("lang"), "?"), "text_hash": hash_strings(texts).view(np.int64)}, STATS)
 
     source = alias_free(docs, "doc_id", "text", "lang")
     return source.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, STATS_DDL)
@@ -129,70 +137,58 @@ def choose(rejected_good: list[int], rejected_bad: list[int], good: int, alpha:
 
 
 def fit_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Cutoffs per stratum: columns ``stratum`` and one nullable column ``cut_<rule>`` for each rule.
+    """``stratum`` and ``cutoff`` of every stratum that has a certified one.
 
-    Only counts per (stratum, rule, grid step) leave the documents; they are aggregated before any shuffle.
+    Only counts per (stratum, grid step) meet; equal texts and counts are aggregated before the shuffles.
     """
     labelled = alias_free(labels, "doc_id", "quality").where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    joined = stats.where(~F.col("base_failed")).join(labelled, "doc_id")
-    step = lambda r: sum(((F.col(r) > c).cast("int") for c in GRIDS[r]), F.lit(0))  # noqa: E731  grids fall, so the last `step` cutoffs reject
-    long = joined.select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), step(r).alias("step")) for r in GRIDS])).alias("s"))
-    tally = long.groupBy("stratum", "s.rule", "s.step").agg(F.count(F.when(F.col("quality") == 1, 1)).alias("good"), F.count(F.when(F.col("quality") == 0, 1)).alias("bad"))
+    joined = stats.where(~F.col("base_failed")).select("doc_id", "stratum", "text_hash", "score").join(labelled, "doc_id")
+    trials = joined.groupBy("stratum", "text_hash").agg(F.max("quality").alias("quality"), F.max("score").alias("score"))
+    step = sum(((F.col("score") > c).cast("int") for c in GRID), F.lit(0))  # the grid falls, so the last `step` cutoffs reject
+    tally = trials.groupBy("stratum", step.alias("step")).agg(F.count(F.when(F.col("quality") == 1, 1)).alias("good"), F.count(F.when(F.col("quality") == 0, 1)).alias("bad"))
     strata = tally.agg(F.count_distinct("stratum").alias("strata"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {"stratum": pdf["stratum"].iloc[0]}
-        for rule, cuts in GRIDS.items():
-            own, size = pdf[pdf["rule"] == rule], len(cuts)
-            count = lambda col: [int(own.loc[own["step"] >= size - i, col].sum()) for i in range(size)]  # noqa: E731,B023
-            at = choose(count("good"), count("bad"), int(own["good"].sum()), alpha / len(GRIDS), delta / (int(pdf["strata"].iloc[0]) * len(GRIDS)))
-            row[f"cut_{rule}"] = None if at is None else cuts[at]
-        return pd.DataFrame([row])
+        size = len(GRID)
+        count = lambda col: [int(pdf.loc[pdf["step"] >= size - i, col].sum()) for i in range(size)]
+        at = choose(count("good"), count("bad"), int(pdf["good"].sum()), alpha, delta / int(pdf["strata"].iloc[0]))
+        return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]], "cutoff": [None if at is None else GRID[at]]}).dropna()
 
-    ddl = "stratum string, " + ", ".join(f"cut_{r} double" for r in GRIDS)
-    return tally.crossJoin(F.broadcast(strata)).groupBy("stratum").applyInPandas(one, ddl)  # strata: one row
+    return tally.crossJoin(F.broadcast(strata)).groupBy("stratum").applyInPandas(one, "stratum string, cutoff double")  # strata: one row
 
 
 def judge(stats: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Statistics with ``kept``: false for the base rule or a value above the cutoff of its stratum."""
-    above = [F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False)) for r in GRIDS]
-    bad = F.col("base_failed")
-    for a in above:
-        bad = bad | a
-    return stats.join(cutoffs, "stratum", "left").withColumn("kept", ~bad)
+    """Statistics with ``cutoff`` and ``kept``: false for the base rule or a score above the cutoff of its stratum."""
+    above = F.coalesce(F.col("score") > F.col("cutoff"), F.lit(False))
+    return stats.join(cutoffs, "stratum", "left").withColumn("kept", ~(F.col("base_failed") | above))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per document with its counts, rule values, cutoffs and ``kept``."""
+    """One row per document with its counts, score, cutoff and ``kept``."""
     scratch = Scratch(docs.sparkSession, "quality")
     stats = scratch.keep(document_statistics(docs), "statistics")
     return judge(stats, scratch.keep(fit_cutoffs(stats, labels, alpha, delta), "cutoffs"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, max_strata: int = 10_000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The documents that pass, all columns unchanged and no row shuffled.
 
-    Texts are read twice (once to fit, once to filter) instead of being moved through a join. The cutoffs, a row per
-    stratum, go to the tasks in a closure while there are at most ``max_strata``; beyond that the verdicts are joined
-    by document.
+    Texts are read twice (once to fit, once to filter) instead of being moved through a join. The cutoffs, a row per stratum that has one, go to
+    the tasks in a broadcast; their number is bounded by the labels (``MOST_CUTOFFS``) and checked.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "quality")
     stats = scratch.keep(document_statistics(docs), "statistics")
     cutoffs = scratch.keep(fit_cutoffs(stats, labels, alpha, delta), "cutoffs")
-    rows = cutoffs.limit(max_strata + 1).collect()
-    if len(rows) > max_strata:
-        kept = judge(stats, cutoffs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("kept").select("doc_id")
-        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    table = {r["stratum"]: [math.inf if r[f"cut_{x}"] is None else r[f"cut_{x}"] for x in GRIDS] for r in rows}
-    arrow_rows(spark)
+    scratch.drop(stats)
+    if cutoffs.count() > MOST_CUTOFFS:
+        raise ValueError("more cutoffs than a task can hold: use quality_verdicts and join its rows")
+    table = spark.sparkContext.broadcast({r["stratum"]: r["cutoff"] for r in cutoffs.collect()})
+    bound_batches(spark)
 
     def run(batches):
         for block in blocks(batches, "text"):
             got = statistics(strings(block, "text"))
-            cuts = np.array([table.get(s, [math.inf] * len(GRIDS)) for s in pc.fill_null(block.column("lang"), "?").to_pylist()]).reshape(-1, len(GRIDS))
-            bad = got["base_failed"].copy()
-            for i, r in enumerate(GRIDS):
-                bad |= got[r] > cuts[:, i]
-            yield from block.filter(pa.array(~bad)).to_batches()
+            cuts = np.array([table.value.get(s, math.inf) for s in pc.fill_null(block.column("lang"), "?").to_pylist()])
+            yield from block.filter(pa.array(~(got["base_failed"] | (got["score"] > cuts)))).to_batches()
 
     return docs.mapInArrow(run, docs.schema)

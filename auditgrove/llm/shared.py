@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,27 +10,30 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from auditgrove.functions.storage import shared_folder
+
 #: Text held by one block inside a task; a longer single text forms a block of its own.
-BLOCK_BYTES = 8 << 20
-#: Rows per Arrow batch. Small, so that a batch of very long texts still fits a Python worker.
-ARROW_ROWS = 512
+BLOCK_BYTES = 4 << 20
+#: Bytes and rows that Spark hands to a Python worker at once; the row that passes the bytes is the batch's last.
+ARROW_BYTES, ARROW_ROWS = 4 << 20, 10_000
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows Spark hands to a Python worker at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what Spark hands to a Python worker at once, by bytes. Every operator sets the same values, so frames that are
+    built first and run later are bounded alike."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 class Scratch:
     """Tables written below ``spark.checkpoint.dir``: they cut lineage and survive lost executors.
 
-    The directory is read from the session; a local one is made only where the setting is unset.
+    The directory is read from the session; only a local session may do without it.
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auditgrove-")
         self.spark = spark
-        self.root = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+        self.root = shared_folder(spark, label)
         self.count = 0
 
     def path(self, name: str) -> str:

@@ -9,7 +9,8 @@ equal chunks wherever they stand. The store is a directory with three tables:
               the chunks of a document in order, its Merkle root, and the ids of all documents before it.
 ``manifest``  shard, first_start, n_documents, n_tokens, root: Merkle root over the recipe roots of each shard.
 
-Reading verifies every payload against its digest and every recipe against its root. ``read_documents`` rebuilds the
+Reading verifies every payload against its digest, every recipe against its root, and the recipes of every shard against the manifest, so
+a lost, doubled or changed row raises. ``read_documents`` rebuilds the
 id arrays; ``read_checksums`` rebuilds each document's CRC-32 from the chunks' own ones, combined in recipe
 order, so that no payload is shuffled.
 
@@ -21,16 +22,22 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditgrove.llm.shared import Scratch, alias_free, arrow_rows, blocks, emit, mix, strings
+from auditgrove.llm.shared import Scratch, alias_free, blocks, bound_batches, emit, mix, strings
 from auditgrove.llm.tokens import default_path, encoder
 
 WINDOW, LEAST, MASK, MOST, END_ID = 16, 64, 255, 2048, 2
+#: Digests that a task remembers so as to send each chunk once.
+KNOWN_DIGESTS = 300_000
+#: Multiplier of the rolling hash and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 ROWS = pa.schema([("kind", pa.string()), ("digest", pa.binary()), ("n_ids", pa.int64()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary()))])
 DDL = "kind string, digest binary, n_ids long, payload binary, doc_id long, n_tokens long, root binary, digests array<binary>"
 SALT = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
@@ -45,12 +52,47 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+class Merkle:
+    """Merkle root of leaves that come one by one; holds a node per level. The root is that of ``merkle_root``."""
+
+    def __init__(self):
+        self.nodes: list[tuple[int, bytes]] = []  # (level, hash), levels falling
+
+    def add(self, leaf: bytes) -> None:
+        level, node = 0, hashlib.sha256(b"\0" + leaf).digest()
+        while self.nodes and self.nodes[-1][0] == level:
+            level, node = level + 1, hashlib.sha256(b"\1" + self.nodes.pop()[1] + node).digest()
+        self.nodes.append((level, node))
+
+    def root(self) -> bytes:
+        if not self.nodes:
+            return hashlib.sha256(b"").digest()
+        node = self.nodes[-1][1]
+        for _, left in reversed(self.nodes[:-1]):
+            node = hashlib.sha256(b"\1" + left + node).digest()
+        return node
+
+
+@lru_cache(maxsize=1)
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i for i below size."""
+    up, down = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
 def boundaries(ids: np.ndarray) -> np.ndarray:
-    """Flags of the ids after which the rolling hash would cut."""
-    h = np.zeros(len(ids), np.uint64)
-    own = SALT[ids & 0xFFFF]
-    for j in range(WINDOW):
-        h[j:] += own[: max(0, len(ids) - j)] * np.uint64(pow(0x9E3779B97F4A7C15, j, 1 << 64))
+    """Flags of the ids after which the rolling hash would cut.
+
+    The hash of the WINDOW ids up to place i, sum of salt * BASE**distance, is BASE**i times a difference of prefix sums.
+    """
+    n = len(ids)
+    up, down = (p[:n] for p in powers(1 << max(16, (n - 1).bit_length() if n else 0)))
+    h = SALT[ids & 0xFFFF]
+    h *= down
+    np.cumsum(h, out=h)
+    h[WINDOW:] -= h[:-WINDOW].copy() if n > WINDOW else 0
+    h *= up
     return (h >> np.uint64(40)) & np.uint64(MASK) == 0
 
 
@@ -71,11 +113,12 @@ def cuts(candidates: np.ndarray, lo: int, hi: int) -> list[int]:
 
 
 def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """Chunk rows (each distinct chunk once per block of texts) and recipe rows."""
-    arrow_rows(docs.sparkSession)
+    """Chunk rows and recipe rows. A task sends each chunk once, as long as its memory of digests reaches, so a passage of many documents
+    comes at most about once from every task."""
+    bound_batches(docs.sparkSession)
 
     def run(batches):
-        own = encoder(path)
+        own, known = encoder(path), set()
         for table in blocks(batches, "text"):
             ids, first = own.encode(strings(table, "text"), end)
             wide = "<u2" if own.tokenizer.get_vocab_size() <= 1 << 16 and end < 1 << 16 else "<u4"
@@ -88,12 +131,16 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
                 for upto in cuts(inner, lo, hi):
                     payload = raw[at * size : upto * size]
                     digest = hashlib.sha256(payload).digest()
-                    chunks.setdefault(digest, (upto - at, payload))
+                    if digest not in known:
+                        known.add(digest)
+                        chunks[digest] = (upto - at, payload)
                     leaves.append(digest)
                     at = upto
                 recipes["digests"].append(leaves)
                 recipes["root"].append(merkle_root(leaves))
             n, m = len(chunks), len(recipes["root"])
+            if len(known) > KNOWN_DIGESTS:
+                known.clear()
             none = lambda k: [None] * k
             rows = {"kind": ["chunks"] * n + ["recipes"] * m, "digest": [*chunks, *none(m)], "n_ids": [c[0] for c in chunks.values()] + none(m), "payload": [c[1] for c in chunks.values()] + none(m)}
             yield emit(rows | {c: none(n) + v for c, v in recipes.items()}, ROWS)
@@ -123,36 +170,28 @@ def write_store(docs: DataFrame, root: str, path: str | None = None, end: int =
     every = spark.read.schema(rows.schema).parquet(raw)
     ordered = every.where("kind = 'recipes'").select("doc_id", "n_tokens", "root", "digests").repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")
     numbered = ordered.withColumn("shard", F.spark_partition_id().cast("long"))
+    fields = "doc_id long, n_tokens long, root binary, digests array<binary>, shard long, local_start long, n_documents long"
 
     def offsets(batches):
-        at = 0
+        """The recipes with the ids before them in their shard, then one row for the shard: documents, tokens, Merkle root."""
+        at, count, tree, last = 0, 0, Merkle(), None
         for batch in batches:
             n = batch.column("n_tokens").to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at + np.cumsum(n) - n, pa.int64())], names=[*batch.schema.names, "local_start"])
-            at += int(n.sum())
-
-    placed = scratch.keep(numbered.mapInArrow(offsets, "doc_id long, n_tokens long, root binary, digests array<binary>, shard long, local_start long"), "placed")
-
-    def shard_roots(batches):
-        shard, leaves, tokens = None, [], 0
-        for batch in batches:
-            for s, r, n in zip(batch.column("shard").to_pylist(), batch.column("root").to_pylist(), batch.column("n_tokens").to_pylist()):
-                if s != shard and leaves:
-                    yield shard_row(shard, leaves, tokens)
-                    leaves, tokens = [], 0
-                shard = s
-                leaves.append(r)
-                tokens += n
-        if leaves:
-            yield shard_row(shard, leaves, tokens)
-
-    # a shard is one range partition, so its rows fit a task as they did when it was sorted
-    sums = placed.select("shard", "local_start", "root", "n_tokens").repartition("shard").sortWithinPartitions("shard", "local_start", "root").mapInArrow(shard_roots, "shard long, n_documents long, n_tokens long, root binary")
-    sums = scratch.keep(sums, "sums")
-    before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # a row per shard
-    manifest = scratch.keep(sums.withColumn("first_start", F.coalesce(before, F.lit(0))), "manifest-rows")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at + np.cumsum(n) - n, pa.int64()), pa.nulls(batch.num_rows, pa.int64())], names=[*batch.schema.names, "local_start", "n_documents"])
+            at, count, last = at + int(n.sum()), count + batch.num_rows, batch if batch.num_rows else last
+            for root in batch.column("root").to_pylist():
+                tree.add(root)
+        if count:
+            row = {"doc_id": [None], "n_tokens": [at], "root": [tree.root()], "digests": [[]], "shard": last.column("shard").slice(0, 1), "local_start": [None], "n_documents": [count]}
+            whole = emit(row, pa.schema([*last.schema, ("local_start", pa.int64()), ("n_documents", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(whole.columns, names=whole.schema.names)
+
+    placed = scratch.keep(numbered.mapInArrow(offsets, fields), "placed")
+    before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    # a row per range partition: the number of shuffle partitions bounds it, whatever the corpus
+    manifest = scratch.keep(placed.where("n_documents is not null").select("shard", F.coalesce(before, F.lit(0)).alias("first_start"), "n_documents", "n_tokens", "root"), "manifest-rows")
     manifest.write.parquet(f"{root}/manifest")
-    recipes = placed.join(F.broadcast(manifest.select("shard", "first_start")), "shard")  # a row per range partition
+    recipes = placed.where("n_documents is null").join(F.broadcast(manifest.select("shard", "first_start")), "shard")
     recipes.select("shard", "doc_id", (F.col("first_start") + F.col("local_start")).alias("start"), "n_tokens", "root", "digests").write.option("compression", "zstd").parquet(f"{root}/recipes")
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
     source = jvm.Path(f"{raw}/kind=chunks")
@@ -164,8 +203,39 @@ def write_store(docs: DataFrame, root: str, path: str | None = None, end: int =
     scratch.drop(placed)
 
 
-def shard_row(shard: int, leaves: list[bytes], tokens: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(leaves)], pa.int64()), pa.array([tokens], pa.int64()), pa.array([merkle_root(leaves)], pa.binary())], names=["shard", "n_documents", "n_tokens", "root"])
+def check_manifest(spark: SparkSession, root: str) -> None:
+    """Recompute documents, tokens and Merkle root of every shard from its recipes; a difference from the manifest raises.
+
+    A shard is one range partition of the recipes, so its digests fit a task as they did when they were sorted.
+    """
+
+    def run(batches):
+        shard, tree, count, tokens = None, Merkle(), 0, 0
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([count], pa.int64()), pa.array([tokens], pa.int64()), pa.array([tree.root()], pa.binary())], names=["shard", "n_documents", "n_tokens", "root"])
+
+        for batch in batches:
+            for s, r, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "root", "n_tokens"))):
+                if s != shard:
+                    if count:
+                        yield row()
+                    shard, tree, count, tokens = s, Merkle(), 0, 0
+                tree.add(r)
+                count, tokens = count + 1, tokens + n
+        if count:
+            yield row()
+
+    bound_batches(spark)
+    names = ("n_documents", "n_tokens", "root")
+    dealt = _recipes(spark, root).select("shard", "start", "root", "n_tokens").repartition("shard").sortWithinPartitions("shard", "start")
+    found = dealt.mapInArrow(run, "shard long, n_documents long, n_tokens long, root binary").select("shard", *[F.col(c).alias(f"{c}_") for c in names])
+    manifest = spark.read.schema("shard long, first_start long, n_documents long, n_tokens long, root binary").parquet(f"{root}/manifest")
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    if manifest.join(found, "shard", "full_outer").where(~same).limit(1).count():
+        raise ValueError("the recipes do not match the manifest")
 
 
 def _chunks(spark: SparkSession, root: str) -> DataFrame:
@@ -181,8 +251,9 @@ def ids_of(payload: bytes, n_ids: int) -> np.ndarray:
 
 
 def read_checksums(spark: SparkSession, root: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from verified chunks; a broken chunk or recipe raises."""
-    arrow_rows(spark, 2000)
+    """doc_id, start, n_tokens and ids_crc32 of every document, from verified chunks; a broken chunk, recipe or manifest raises."""
+    check_manifest(spark, root)
+    bound_batches(spark)
 
     def check(batches):
         for batch in batches:
@@ -220,15 +291,16 @@ def read_checksums(spark: SparkSession, root: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
     """doc_id, start, and the ids of every document, rebuilt from its chunks and verified."""
-    parts = _recipes(spark, root).select("doc_id", "start", "n_tokens", F.posexplode("digests").alias("place", "digest"))
-    whole = parts.join(_chunks(spark, root), "digest").groupBy("doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("place", "digest", "n_ids", "payload"))).alias("parts"))
-    arrow_rows(spark, 256)
+    check_manifest(spark, root)
+    parts = _recipes(spark, root).select("doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("place", "digest"))
+    whole = parts.join(_chunks(spark, root), "digest").groupBy("doc_id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("place", "digest", "n_ids", "payload"))).alias("parts"))
+    bound_batches(spark)
 
     def rebuild(batches):
         for batch in batches:
             ids = []
-            for n, chunks in zip(batch.column("n_tokens").to_pylist(), batch.column("parts").to_pylist()):
-                if any(hashlib.sha256(c["payload"]).digest() != c["digest"] for c in chunks) or sum(c["n_ids"] for c in chunks) != n:
+            for n, of, chunks in zip(batch.column("n_tokens").to_pylist(), batch.column("root").to_pylist(), batch.column("parts").to_pylist()):
+                if merkle_root([c["digest"] for c in chunks]) != of or any(hashlib.sha256(c["payload"]).digest() != c["digest"] for c in chunks) or sum(c["n_ids"] for c in chunks) != n:
                     raise ValueError("a document does not match its recipe")
                 ids.append(np.concatenate([ids_of(c["payload"], c["n_ids"]) for c in chunks]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])

@@ -1,7 +1,7 @@
 """Token ids of whole texts with the tokenizers library, each distinct word encoded once per worker.
 
 The tokenizer of ``word_bpe_49k.json`` never merges across white space, so the ids of a text are the ids of its
-white-space words in order; a worker keeps the ids of the words it has met (at most ``CACHE_WORDS``, then it
+white-space words in order; a worker keeps the ids of the words it has met (up to about ``CACHE_BYTES``, then it
 starts anew). ``Encoder(path, by_word=False)`` encodes whole texts, for tokenizers without that property.
 """
 
@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 1_200_000
+#: Memory of the words kept, counting WORD_BYTES for each word beside its letters.
+CACHE_BYTES, WORD_BYTES = 96 << 20, 160
 #: A word that closes with punctuation behind a letter: a pre-token ends between the two, so they are encoded apart.
 CLOSED = r"^(?P<base>.*\p{L})(?P<tail>[.,;:!?|#$%&*()]+)$"
 LETTERS = re.compile("[a-z]+")
@@ -38,6 +39,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.held = 0
         self.ids, self.used = np.empty(1 << 16, np.int32), 0
         self.first, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32)
 
@@ -49,6 +51,7 @@ class Encoder:
         while self.used + total > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.index.update(zip(words, range(n, n + len(words))))
+        self.held += WORD_BYTES * len(words) + sum(map(len, words))
         self.size[n : n + len(words)] = sizes
         self.first[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
@@ -57,7 +60,7 @@ class Encoder:
     def learn(self, words: list[str]) -> np.ndarray:
         """Places of the words; those not met yet are encoded."""
         fresh = list(dict.fromkeys(w for w in words if w not in self.index))
-        if len(self.index) + len(fresh) > CACHE_WORDS and self.index:
+        if self.held + WORD_BYTES * len(fresh) > CACHE_BYTES and self.index:
             self.clear()
             fresh = list(dict.fromkeys(words))
         tokenize, letters = self.tokenizer.model.tokenize, LETTERS.fullmatch

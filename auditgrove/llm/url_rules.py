@@ -10,7 +10,7 @@ Nodes are URLs without scheme and fragment, host in lower case. Only DataFrame f
 expressions, so their number should stay in the hundreds.
 
 Defined results: null URLs and URLs without ``://`` have empty host and path, fit no rule and have no alias; links without
-``://`` are taken relative to the page's host if they start with ``/`` and ignored otherwise; repeated pages share a
+``://`` are taken relative to the page's host or folder, other schemes than those with ``://`` and bare queries are ignored; repeated pages share a
 node; null html has no links; extra columns are ignored.
 """
 
@@ -24,7 +24,7 @@ from auditgrove.llm.shared import Scratch, alias_free
 
 #: (verdict, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+LINK = r"(?is)<link\b[^>]*\brel\s*=\s*(?:\"[^\">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)[^>]*>"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 
 
@@ -63,6 +63,11 @@ def link_edges(pages: DataFrame) -> DataFrame:
     href = F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     target = F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
     link = F.when(href != "", href).otherwise(target)
+    for reference, character in (("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&")):  # what URLs in attributes need
+        link = F.replace(link, F.lit(reference), F.lit(character))
+    plain = (link != "") & ~F.contains(link, F.lit("://")) & ~link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~link.rlike("^[/?#]")
+    folder = F.regexp_extract(path_of(F.col("page")), r"(?s)^(.*/)", 1)
+    link = F.when(plain, F.concat(F.lit("http://"), host_of(F.col("page")), F.when(folder == "", "/").otherwise(folder), link)).otherwise(link)
     link = F.when(F.startswith(link, F.lit("//")), F.concat(F.lit("http:"), link)).when(F.startswith(link, F.lit("/")), F.concat(F.lit("http://"), host_of(F.col("page")), link)).otherwise(link)
     return found.select(node_of(F.col("page")).alias("a"), node_of(link).alias("b")).where("a is not null and b is not null")
 
@@ -80,7 +85,9 @@ def judge_pages(pages: DataFrame, redirects: DataFrame | None = None, rules=None
     member = F.concat(F.lit("x://"), F.col("node"))
     blocked = comps.withColumn("own", rule_column(host_of(member), path_of(member), rules)).groupBy("component").agg(F.coalesce(F.bool_or(F.col("own.verdict") == "block"), F.lit(False)).alias("blocked"))
     aliases = comps.join(blocked.where("blocked"), "component").select("node", F.lit("block").alias("alias_verdict"))
-    out = judged.withColumn("node", node_of(F.col("url"))).join(aliases, "node", "left")
+    known = judged.withColumn("node", node_of(F.col("url")))
+    # pages without a node, however many, take no part in the join
+    out = known.where("node is not null").join(aliases, "node", "left").unionByName(known.where("node is null").withColumn("alias_verdict", F.lit(None).cast("string")))
     return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "alias_verdict", F.lit("allow")).alias("verdict"))
 
 

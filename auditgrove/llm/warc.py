@@ -15,14 +15,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditgrove.llm.shared import Scratch, alias_free, arrow_rows, emit
+from auditgrove.llm.shared import Scratch, alias_free, bound_batches, emit
 
 LEAST_BYTES = 0
+#: Pages carry no time of their own; every record needs a WARC-Date.
+DATE = "1970-01-01T00:00:00Z"
+UNSAFE = re.compile(r"[\s\x00-\x1f\x7f]+")
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 DIGESTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("sha256", pa.binary()), ("sha1", pa.binary()), ("n_bytes", pa.int64())])
 INDEX = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("sha256", pa.binary())])
@@ -37,10 +41,13 @@ def page_of(value: str) -> int | None:
     return None if number == "null" else int(number)
 
 
-def header_bytes(page_id, url, sha1: bytes, n_bytes: int, owner, response: bool) -> bytes:
+def header_bytes(page_id, url, sha1: bytes, n_bytes: int, owner, response: bool, date: str = DATE) -> bytes:
     """Exact bytes of a record before its payload."""
     http = HTTP % n_bytes
-    fields = ["WARC/1.1", f"WARC-Type: {'response' if response else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Target-URI: {(url or '').encode('unicode_escape').decode()}", f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}"]
+    target = UNSAFE.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "")
+    fields = ["WARC/1.1", f"WARC-Type: {'response' if response else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}"]
+    if target != (url or ""):  # white space and control characters cannot stand in a header
+        fields.append(f"X-Original-URI: {(url or '').encode('unicode_escape').decode()}")
     if not response:
         fields += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(owner)}"]
     fields += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(http) + (n_bytes if response else 0)}"]
@@ -50,16 +57,16 @@ def header_bytes(page_id, url, sha1: bytes, n_bytes: int, owner, response: bool)
 def parse_header(raw: bytes) -> dict:
     """What the index tells of a record, from its stored header bytes."""
     warc, http = raw.split(b"\r\n\r\n", 1)
-    fields = dict(line.split(": ", 1) for line in warc.decode().split("\r\n")[1:])
+    fields = dict((line + " ").split(": ", 1) if line.endswith(":") else line.split(": ", 1) for line in warc.decode().split("\r\n")[1:])
     length = next(int(line.split(b": ")[1]) for line in http.split(b"\r\n") if line.startswith(b"Content-Length: "))
     owner = fields.get("WARC-Refers-To")
-    return {"page_id": page_of(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"].encode().decode("unicode_escape"), "payload_bytes": length, "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "record_type": fields["WARC-Type"], "refers_to": page_of(owner) if owner else None}
+    return {"page_id": page_of(fields["WARC-Record-ID"]), "url": fields["X-Original-URI"].encode().decode("unicode_escape") if "X-Original-URI" in fields else fields["WARC-Target-URI"], "payload_bytes": length, "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "record_type": fields["WARC-Type"], "refers_to": page_of(owner) if owner else None}
 
 
-def write_archive(pages: DataFrame, root: str, least: int = LEAST_BYTES) -> None:
-    """Write the archive of ``pages`` (page_id, url, html) below ``root``. The html is shuffled once."""
+def write_archive(pages: DataFrame, root: str, least: int = LEAST_BYTES, date: str = DATE) -> None:
+    """Write the archive of ``pages`` (page_id, url, html), fetched at ``date``, below ``root``. The html is shuffled once."""
     spark, scratch = pages.sparkSession, Scratch(pages.sparkSession, "warc")
-    arrow_rows(spark)
+    bound_batches(spark)
     source = alias_free(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
 
     def digests(batches):
@@ -78,7 +85,7 @@ def write_archive(pages: DataFrame, root: str, least: int = LEAST_BYTES) -> None
         for batch in batches:
             rows = batch.to_pylist()
             kinds = [r["n_bytes"] < least or r["page_id"] == r["owner"] for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([header_bytes(r["page_id"], r["url"], r["sha1"], r["n_bytes"], r["owner"], k) for r, k in zip(rows, kinds)], pa.binary()), batch.column("sha256"), pa.array(["response" if k else "revisit" for k in kinds])], names=["page_id", "record", "sha256", "record_type"])
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([header_bytes(r["page_id"], r["url"], r["sha1"], r["n_bytes"], r["owner"], k, date) for r, k in zip(rows, kinds)], pa.binary()), batch.column("sha256"), pa.array(["response" if k else "revisit" for k in kinds])], names=["page_id", "record", "sha256", "record_type"])
 
     joined.select("page_id", "url", "sha1", "n_bytes", "owner", "sha256").mapInArrow(headers, "page_id long, record binary, sha256 binary, record_type string").write.option("compression", "zstd").parquet(f"{root}/headers")
     scratch.drop(known)
@@ -94,7 +101,7 @@ def _payloads(spark: SparkSession, root: str) -> DataFrame:
 
 def read_index(spark: SparkSession, root: str) -> DataFrame:
     """One row per record, from the stored headers, checked against the digests and sizes of the stored payloads."""
-    arrow_rows(spark)
+    bound_batches(spark)
 
     def verify(batches):
         for batch in batches:

@@ -2,7 +2,10 @@
 
 import base64
 import hashlib
+import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from auditgrove.llm import chat, html_diff, url_rules, warc
@@ -21,27 +24,58 @@ def test_article_text(spark):
     assert got[5]["n_chars"] == 5 * 20000 - 1
 
 
-def test_shared_lines_go_without_an_article(spark):
-    page = "<body><div>Site title</div><div>Own text {}</div><div>Terms of use</div></body>"
-    pages = spark.createDataFrame([(i, f"http://h/x/{i}", page.format(i)) for i in range(4)], PAGES).coalesce(1)
-    got = {r["page_id"]: r["text"] for r in html_diff.extract(pages).collect()}
-    assert got == {i: f"Own text {i}" for i in range(4)} or sum(t.startswith("Own text") for t in got.values()) >= 3
-    assert html_diff.extract(spark.createDataFrame([], PAGES)).count() == 0
+def brute_texts(rows):
+    """Texts by the definition: in order of host, path and id, the nearest of the neighbours with other lines, and what it does not share."""
+    from html import unescape
+    from urllib.parse import urlsplit
+
+    pages = sorted((urlsplit(u).netloc, urlsplit(u).path, i, [unescape(x) for x in re.findall("<div>(.*?)</div>", h)]) for i, u, h in rows)
+    out = {}
+    for k, (host, path, i, lines) in enumerate(pages):
+        near = [next((p for p in side if p[0] != host or p[3] != lines), None) for side in (pages[:k][::-1], pages[k + 1 :])]
+        near = [p for p in near if p and p[0] == host]
+        other = max(near, key=lambda p: html_diff.nearness(p[1], path)) if near else None
+        shared = html_diff.shared_lines(lines, other[3]) if other else set()
+        out[i] = ("\n\n".join(x for j, x in enumerate(lines) if j not in shared), other and other[2])
+    return out
 
 
-def test_copies_without_an_article_keep_their_text(spark):
-    page = "<body><div>Site title</div><div>Own text {}</div><div>Terms of use</div></body>"
-    rows = [(i, f"http{'s' * (i % 2)}://h/x/1", page.format(1)) for i in range(5)] + [(i, "http://h/x/2", page.format(2)) for i in (5, 6)] + [(i, "http://alone/x", page.format(3)) for i in (7, 8)]
-    got = {r["page_id"]: r for r in html_diff.extract(spark.createDataFrame(rows, PAGES).coalesce(1)).collect()}
-    assert len(got) == 9 and all(f"Own text {1 if i < 5 else 2 if i < 7 else 3}" in r["text"] for i, r in got.items())
-    assert {got[i]["text"] for i in (7, 8)} == {"Site title\n\nOwn text 3\n\nTerms of use"}
-    one_task = spark.createDataFrame(rows, PAGES)
-    spark.conf.set("spark.sql.shuffle.partitions", 1)
+@pytest.mark.parametrize("partitions", [1, 8, 60])
+def test_pairing_does_not_depend_on_partitions(spark, partitions):
+    import random
+
+    rng = random.Random(4)
+    page = "<body><div>Site {h}</div><div>Own {k}</div><div>Terms &amp; more</div></body>"
+    rows = [(i, f"http://h{i % 3}/{rng.choice('ab')}/{rng.randrange(9)}", page.format(h=i % 3, k=rng.randrange(6))) for i in range(60)]
+    rows += [(100 + i, "http://copies/x", page.format(h=9, k=9)) for i in range(40)] + [(200, "http://copies/y", page.format(h=9, k=8)), (300, "http://alone/x", page.format(h=7, k=7))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = {r["page_id"]: r for r in html_diff.extract(one_task).collect()}
+        got = {r["page_id"]: (r["text"], r["partner"]) for r in html_diff.extract(spark.createDataFrame(rows, PAGES)).collect()}
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", 4)
-    assert {got[i]["text"] for i in range(7)} == {"Own text 1", "Own text 2"} and got[0]["partner"] == 5 and got[6]["partner"] == 4
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == brute_texts(rows)
+    assert got[100] == got[139] == ("Own 9", 200) and got[200] == ("Own 8", 139) and got[300][0].startswith("Site 7")
+
+
+def test_no_pages(spark):
+    assert html_diff.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_long_and_broken_markup_takes_one_pass():
+    began = time.time()
+    assert html_diff.text_lines("<a " * 1_700_000) == [(" ".join(["<a"] * 1_700_000), html_diff.PLAIN)]
+    assert len(html_diff.shared_lines(["x"] * 50_000, ["x"] * 50_000)) == 50_000
+    assert len(html_diff.shared_lines(["y"] + ["x", "z"] * 15_000, ["x"] * 30_000 + ["w"])) == 15_000
+    assert html_diff.text_lines("<a title='x > y'>one</a><p \"odd>two<!-- gone") == [("one", 1), ("two", 1)]
+    assert time.time() - began < 20
+
+
+def test_headline_and_body_classes_stay_in_an_article():
+    html = '<article><div class="entry-header"><h1>Title</h1></div><p>Body</p><p class="related work">rel</p><div class="comments"><p>c</p></div><div id="share">s</div></article>'
+    assert [t for t, z in html_diff.text_lines(html) if z == html_diff.CONTENT] == ["Title", "Body", "rel"]
 
 
 def test_longest_common_subsequence():
@@ -110,6 +144,7 @@ def test_warc_round_trip(spark):
             r = got[page]
             assert (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], r["url"]) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if response else "revisit", None if response else owner, url or "")
         records = {r["page_id"]: bytes(r["record"]) for r in warc.reconstruct(spark, root).collect()}
+        assert all(b"\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n" in r and b"\r\nWARC-Target-URI: http" in r or k == 3 for k, r in records.items())
         assert records[5].endswith(b"own " * 30000 + b"\r\n\r\n") and records[5].startswith(b"WARC/1.1\r\n")
         assert {(r["page_id"], bytes(r["payload"])) for r in warc.original_payloads(spark, root).collect()} == {(p, (h or "").encode()) for p, _, h in rows}
     empty = Scratch(spark, "warc").path("archive")
@@ -137,6 +172,20 @@ def test_chat_windows(spark):
     assert chat.read_back(chat.format_windows(turns.limit(0))).count() == 0
 
 
+def test_a_long_turn_is_read_in_slices():
+    text = "a\\<|b <x " * 300_000
+    piece, lo, hi = chat.format_turn("user", text)
+    assert chat.parse_window(piece + chat.format_turn("as\nis\\", "")[0], [lo], [hi]) == ([("user", text), ("as\nis\\", "")], [text])
+    assert chat.turn_tokens("user", text) == len(text.split()) + 4
+    assert all(chat.turn_tokens("", "x" * n + " y") == (1 if not n else 2) + 4 for n in (0, 1, chat.COUNTED - 1, chat.COUNTED, chat.COUNTED + 1))
+
+
+def test_links_as_they_are_written(spark):
+    rows = [(1, "http://a.org/d/x", '<link rel="alternate canonical" href="y?p=1&amp;q=2">'), (2, "http://a.org/d/y?p=1&q=2", '<link rel=canonical href="http://s.net/fr/1">'), (3, "http://b.org", "<link rel=canonical href='mailto:x'>")]
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}
+
+
 def test_escape_is_reversible():
     for text in ["\\", "\\\\<|", "<|<|", "<\\|", "[INST][/INST]", "a\\n\n"]:
         assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text) and "[INST]" not in chat.escape(text)
