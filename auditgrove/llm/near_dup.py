@@ -302,9 +302,12 @@ def component_table(docs: DataFrame, limit: Limit = CONTRACT, key: str = "doc_id
     if large.limit(1).count():
         links, comps = settle_large(large, candidates.select("a", "b"), classes, texts, links, comps, scratch, limit)
 
-    of_class = classes.select("node", "doc_id").join(comps, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    names = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = of_class.join(names, "component").select("node", "component_id")
+    # classes alone in their component name it themselves; the others fetch the name, over salts, as one component may hold a large share of them
+    named_class = classes.select("node", "doc_id")
+    linked = scratch.keep(named_class.join(comps, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")), "linked")
+    names = linked.groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    alone = named_class.join(comps.select("node"), "node", "left_anti").select("node", F.col("doc_id").alias("component_id"))
+    of_class = alone.unionByName(linked.join(names, ["component", "salt"]).select("node", "component_id"))
     out = sets.select("doc_id", "n_shingles", "node").join(of_class, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
@@ -416,8 +419,9 @@ def keep_one_of_each(docs: DataFrame, limit: Limit = CONTRACT) -> DataFrame:
     table = scratch.keep(component_table(keyed, limit, key).select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")), "components")
     own = alias_free(keyed, key, "doc_id").select(F.col(key).alias("key"), F.col("doc_id").cast("long"))
     # a row that is alone in its component needs no verdict; the others are few and small
-    shared = table.where("key <> component").select("component").distinct()
-    grouped = table.join(shared, "component", "left_semi").join(own, "key")
+    others = table.where("key <> component")
+    roots = others.select("component").distinct().select(F.col("component").alias("key"), "component")  # a component bears the key of one of its rows
+    grouped = others.unionByName(roots).join(own, "key")
     best = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("best")).select(F.col("best.key").alias("key"))
     dropped = scratch.keep(grouped.join(best, "key", "left_anti").select("key"), "dropped")
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(MARK_BITS))

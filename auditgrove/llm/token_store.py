@@ -33,6 +33,8 @@ from auditgrove.llm.shared import Scratch, alias_free, blocks, bound_batches, em
 from auditgrove.llm.tokens import default_path, encoder
 
 WINDOW, LEAST, MASK, MOST, END_ID = 16, 64, 255, 2048, 2
+#: Text encoded at a time: a longer block repeats fewer words.
+ENCODE_BYTES = 8 << 20
 #: Digests that a task remembers so as to send each chunk once.
 KNOWN_DIGESTS = 300_000
 #: Multiplier of the rolling hash and its inverse modulo 2**64.
@@ -119,7 +121,7 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
 
     def run(batches):
         own, known = encoder(path), set()
-        for table in blocks(batches, "text"):
+        for table in blocks(batches, "text", ENCODE_BYTES):
             ids, first = own.encode(strings(table, "text"), end)
             wide = "<u2" if own.tokenizer.get_vocab_size() <= 1 << 16 and end < 1 << 16 else "<u4"
             marks = np.flatnonzero(boundaries(ids)) + 1
