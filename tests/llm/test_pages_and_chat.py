@@ -60,6 +60,13 @@ def test_pairing_does_not_depend_on_partitions(spark, partitions):
     assert got[100] == got[139] == ("Own 9", 200) and got[200] == ("Own 8", 139) and got[300][0].startswith("Site 7")
 
 
+def test_rows_of_one_id_keep_their_own_texts(spark):
+    page = "<body><div>Site</div><div>{}</div></body>"
+    rows = [(1, "http://h/a", page.format("one")), (1, "http://h/a", page.format("two")), (1, "http://h/a", page.format("two")), (None, None, page.format("three")), (None, None, None), (2, "http://h/b", "<main>" + page.format("Site") + "</main>")]
+    got = sorted((r["text"], r["n_lines"]) for r in html_diff.extract(spark.createDataFrame(rows, PAGES)).collect())
+    assert got == [("", 0), ("Site\n\nSite", 2), ("Site\n\nthree", 2), ("one", 2), ("two", 2), ("two", 2)]
+
+
 def test_no_pages(spark):
     assert html_diff.extract(spark.createDataFrame([], PAGES)).count() == 0
 
