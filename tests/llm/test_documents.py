@@ -447,6 +447,8 @@ def brute_model(train):
         counts[2].update(zip(own[1:], own[2:]))
         counts[3].update(list(zip(own, own[1:], own[2:]))[1:])
     n, v = sum(counts[1].values()), len(counts[1])
+    repeated = [sum(c for c in counts[k].values() if c >= lm_bloom.LEAST) for k in (2, 3)]
+    weight2, weight3 = min(lm_bloom.MOST_WEIGHT, repeated[0] / n), min(lm_bloom.MOST_WEIGHT, repeated[1] / max(repeated[0], 1))
     mean = lambda c: 1.5 * 2 ** math.floor(math.log2(c)) - 0.5 if c >= lm_bloom.LEAST else 0.0
 
     def score(text):
@@ -454,9 +456,9 @@ def brute_model(train):
         for i in range(2, len(own)):
             c, history = counts[1][own[i]], len(train) if i == 2 else counts[1][own[i - 1]]
             pair = min(mean(counts[2][own[i - 1], own[i]]), c, history)
-            p = (pair + lm_bloom.MU * (c + 1) / (n + v + 1)) / (history + lm_bloom.MU)
-            if i > 2:
-                p = (min(mean(counts[3][own[i - 2], own[i - 1], own[i]]), pair, before) + lm_bloom.MU * p) / (before + lm_bloom.MU)
+            p = (1 - weight2) * (c + 1) / (n + v + 1) + weight2 * pair / max(history, 1)
+            if i > 2 and before:
+                p = (1 - weight3) * p + weight3 * min(mean(counts[3][own[i - 2], own[i - 1], own[i]]), pair, before) / before
             total, before = total + math.log10(p), pair
         return total
 
@@ -475,6 +477,18 @@ def test_passages_seen_twice_score_higher(spark):
     assert both and min(per[d] for d in both) > max(x for d, x in per.items() if 20 <= d < 200)
 
 
+def test_held_out_texts_without_structure_score_no_worse_than_words(spark):
+    """Words drawn independently: no history helps, and it must cost little, also after frequent words whose bigrams are mostly seen once."""
+    import random
+
+    rng = random.Random(3)
+    vocabulary = ["the"] * 400 + [f"v{i}" for i in range(4000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(vocabulary, k=150))) for i in range(150)], "doc_id long, text string")
+    held = lm_bloom.score_texts(docs).where("held_out").collect()
+    tokens = sum(r["n_tokens"] for r in held)
+    assert len(held) > 5 and sum(r["score"] for r in held) > sum(r["base_score"] for r in held) - 0.15 * tokens
+
+
 def test_bloom_levels_only_err_upwards():
     hashes = lm_bloom.mix(np.arange(1, 5001, dtype=np.uint64)) & lm_bloom.BITS_48
     levels = np.repeat([1, 2, 3, 4, 5], 1000)
