@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditgrove.llm import chat, decontam, filter_audit, html_diff, lm_bloom, near_dup, packing, quality, substring_dedup, token_store, url_rules, warc
+from auditgrove.llm import chat, collocations, decontam, filter_audit, html_diff, lm_bloom, near_dup, packing, quality, substring_dedup, token_store, url_rules, warc
 from auditgrove.llm.shared import Scratch
 
 
@@ -62,6 +62,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,6 +74,6 @@ def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_html_text, op4_near_duplicates, op5_lm_scores, op6_url_rules, op7_warc, op8_chat_windows, op9_quality_rules, op10_packing, op12_filter_audit, op13_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_html_text, op4_near_duplicates, op5_lm_scores, op6_url_rules, op7_warc, op8_chat_windows, op9_quality_rules, op10_packing, op11_collocations, op12_filter_audit, op13_substring_dedup)}
 
-ORACLE_SQL: dict[str, str] = {"op6_url_rules": url_rules.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL, "op13_substring_dedup": substring_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_url_rules": url_rules.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL, "op13_substring_dedup": substring_dedup.ORACLE_SQL}

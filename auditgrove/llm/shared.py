@@ -124,6 +124,35 @@ def emit(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) if not isinstance(rows[f.name], (pa.Array, pa.ChunkedArray)) else flat(rows[f.name], f.type) for f in schema], schema=schema)
 
 
+class Bitmap:
+    """A set of 64-bit hashes by their bits after the sign; absent members may be reported, present ones always are."""
+
+    def __init__(self, bits: int, cells: np.ndarray | None = None):
+        self.bits, self.cells = bits, np.zeros(1 << (bits - 3), np.uint8) if cells is None else cells
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = (hashes << np.uint64(1)) >> np.uint64(64 - self.bits)
+        return (self.cells[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def bitmap_bits(n: int, least: int, most: int) -> int:
+    """Bits (as a power of two) of a bitmap of n members: eight a member and more, within the bounds."""
+    return min(most, max(least, int(n * 8).bit_length()))
+
+
+def bitmap_of(hashes: DataFrame, n: int, most: int) -> Bitmap:
+    """Bitmap of the long column ``h`` with about n members. The driver gets its cells of 32 bits, at most 2 ** (most - 5) rows, whatever n is."""
+    from pyspark.sql import functions as F
+
+    bits = bitmap_bits(n, 20, most)
+    at = F.shiftrightunsigned(F.shiftleft("h", 1), 64 - bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int"))
+    cells = hashes.groupBy(F.shiftright(at, 5).alias("cell")).agg(F.bit_or(one).alias("set")).toArrow()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[cells["cell"].to_numpy()] = cells["set"].to_numpy().astype(np.uint32)
+    return Bitmap(bits, out.view(np.uint8))
+
+
 def flat(column: pa.Array | pa.ChunkedArray, kind: pa.DataType) -> pa.Array:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
