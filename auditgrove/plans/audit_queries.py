@@ -50,6 +50,38 @@ def x2_url_facts(spark, sf_dir):
     return facts(spark, sf_dir).select("item_id", "field", "url", "scheme", "host", "root_domain")
 
 
+#: A manifest of every document: its text, nested links with escapes, links as keys; the same text in both engines.
+MANIFEST_SQL = r"""concat('{"text":"', replace(replace(replace(coalesce(text, ''), chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), '","links":[{"plain":"https://p', doc_id % 7, '.one.example/a"},[{"deep":{"er":["https:', chr(92), '/', chr(92), '/e', doc_id % 5, '.two.example', chr(92), '/b"]}}]],"',
+ chr(92), 'u0068ttp://key', doc_id % 3, '.three.example":null,"quoted":"', chr(92), '"https://no.example', chr(92), '"","tail":"', chr(92), chr(92), '","ws":"wss://w', doc_id % 2, '.one.example","broken":', CASE WHEN doc_id % 11 = 0 THEN '' ELSE '0' END, '}')"""
+
+
+@register("x1_json_walk", f"""WITH m AS (SELECT source AS server, 't' || doc_id AS item_id, {MANIFEST_SQL} AS j FROM documents),
+ n AS (SELECT server, item_id, t.key, t.type, t.atom FROM m, json_tree(m.j) t WHERE json_valid(m.j)),
+ s AS (SELECT server, item_id, atom ->> '$' AS url FROM n WHERE type = 'VARCHAR' UNION ALL SELECT server, item_id, key FROM n WHERE key IS NOT NULL)
+ SELECT server, item_id, 'raw_json' AS field, url FROM s WHERE regexp_matches(url, '^(https?|wss?)://')""")
+def x1_json_walk(spark, sf_dir):
+    docs = v.spread(spark, sf_dir, "documents", "doc_id").selectExpr("source AS server", "'tool' AS item_type", "'t' || doc_id AS item_id", "'doc_' || doc_id AS name", f"{MANIFEST_SQL.replace('chr(92)', 'char(92)').replace('chr(10)', 'char(10)')} AS raw_json")
+    return origins.extract_urls(docs).select("server", "item_id", "field", "url")
+
+
+@register("x1_urls_anywhere", """SELECT 'web' || (page_id % 10) AS server, 'r' || page_id AS item_id, 'body' AS field, unnest(regexp_extract_all(url || ' ' || html, '((?:https?|wss?)://[^ \t\n\x0B\f\r"''<>]+)', 1)) AS url FROM pages""")
+def x1_urls_anywhere(spark, sf_dir):
+    pages = v.spread(spark, sf_dir, "pages", "page_id").selectExpr("'web' || (page_id % 10) AS server", "'resource' AS item_type", "'r' || page_id AS item_id", "'page_' || page_id AS name", "url || ' ' || html AS body")
+    return origins.extract_urls(pages, "anywhere", fields=("body",)).select("server", "item_id", "field", "url")
+
+
+#: A table of public suffixes, as a user would bring one.
+SUFFIXES = ("example", "one.example", "two.example", "org", "co.example")
+
+
+@register("x2_suffix_roots", f"""WITH {FACTS_SQL}, s AS (SELECT unnest({list(SUFFIXES)}) AS suffix), h AS (SELECT DISTINCT host FROM facts),
+ l AS (SELECT host, max_by(suffix, length(suffix)) AS suffix FROM h JOIN s ON host = suffix OR ends_with(host, '.' || suffix) WHERE NOT regexp_matches(host, '^[0-9.]+$') GROUP BY host)
+ SELECT item_id, field, url, host, CASE WHEN suffix IS NULL THEN root_domain WHEN host = suffix THEN host ELSE split_part(host[:length(host) - length(suffix) - 1], '.', -1) || '.' || suffix END AS root_domain FROM facts LEFT JOIN l USING (host)""")
+def x2_suffix_roots(spark, sf_dir):
+    suffixes = spark.createDataFrame([(s,) for s in SUFFIXES], "suffix string")
+    return origins.url_facts(origins.extract_urls(all_items(spark, sf_dir)), suffixes).select("item_id", "field", "url", "host", "root_domain")
+
+
 @register("x3_domain_distribution", f"WITH {FACTS_SQL} SELECT server, root_domain, count(*) AS uses, string_agg(DISTINCT item_type || ':' || name, ',' ORDER BY item_type || ':' || name) AS users FROM facts GROUP BY server, root_domain")
 def x3_domain_distribution(spark, sf_dir):
     return origins.domain_distribution(facts(spark, sf_dir)).withColumn("users", F.array_join("users", ","))
