@@ -32,7 +32,9 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 NESTED_PERCENT, SCALE = 80, 2_000_000
 #: Ranked words or phrases of one length; UTF-8 bytes of a ranked word with its lang; side of a tile; the part of a tile's cells that must be met for the dense count.
 HEAD, HEAD_BYTES, TILE, DENSE = 1 << 18, 64, 256, 8
-BLOCK, MOST_BITS = 12 << 20, 27
+BLOCK, MOST_BITS = 6 << 20, 27
+#: Rows that a task hands to Spark at once.
+SENT_ROWS = 1 << 16
 #: Parts of a language that are ranked apart before the best of each meet.
 SALTS = 128
 WORD, SPACE, BREAK = 0, 1, 2
@@ -160,8 +162,9 @@ def count_phrases(length: int, lexicon, shorter: list) -> Callable:
                 at = np.flatnonzero(live[: 1 - m] & live[1 : len(live) - m + 2] & (p.piece[: 1 - m] == p.piece[m - 1 :])) if len(live) >= m else np.empty(0, np.int64)
                 if m == length:
                     left, right, n = tiled_counts(unit[at], p.codes[at + m - 1], rank, np.maximum(ids, -1))
-                    both = np.column_stack((words[left], ids[right]))
-                    yield pa.RecordBatch.from_arrays([*[pa.array(both[:, k]) for k in range(length)], pa.array(n, pa.int64())], names=[*[f"w{k + 1}" for k in range(length)], "n"])
+                    for lo in range(0, len(n), SENT_ROWS):
+                        first, last = words[left[lo : lo + SENT_ROWS]], ids[right[lo : lo + SENT_ROWS]]
+                        yield pa.RecordBatch.from_arrays([*[pa.array(first[:, k]) for k in range(length - 1)], pa.array(last), pa.array(n[lo : lo + SENT_ROWS], pa.int64())], names=[*[f"w{k + 1}" for k in range(length)], "n"])
                     break
                 met, inverse = np.unique(unit[at] * len(ids) + p.codes[at + m - 1], return_inverse=True)
                 left, right = np.divmod(met, max(len(ids), 1))
