@@ -173,9 +173,10 @@ def quantise(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1
 
 
-def mean_count(levels: np.ndarray) -> np.ndarray:
-    """Mean of the counts that a level stands for; 0 of level 0."""
-    return np.where(levels > 0, 1.5 * np.exp2(levels - 1) - 0.5, 0.0)
+def count_bounds(levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest count that a level stands for. The filter holds nothing below the level of ``LEAST``: a lower answer is a false one and means absent."""
+    held = levels >= quantise(np.array([LEAST]))[0]
+    return np.where(held, np.exp2(levels - 1), 0.0), np.where(held, np.exp2(levels) - 1, 0.0)
 
 
 def level_hash(hashes: np.ndarray, level: int) -> np.ndarray:
@@ -289,12 +290,12 @@ class Model:
         pair_hash, triple_hash, inner = own.grams()
         history = own.earlier(count, self.n_texts)
         p1 = (count + 1) / (self.n + self.v + 1)
-        # a level stands for a mean; no n-gram is more frequent than what it is made of
-        pair = np.minimum(mean_count(self.grams.levels(pair_hash)), np.minimum(count, history))
+        # no n-gram is more frequent than what it is made of; the smallest count above and the largest below keep the sum over all words within 1
+        pair, pair_most = (np.minimum(c, np.minimum(count, history)) for c in count_bounds(self.grams.levels(pair_hash)))
         p = (1 - self.weight2) * p1 + self.weight2 * pair / np.maximum(history, 1)
         at = np.flatnonzero(inner)
-        before = own.earlier(pair, 0.0)[at]
-        triple = np.minimum(mean_count(self.grams.levels(triple_hash[at])), np.minimum(pair[at], before))
+        before = own.earlier(pair_most, 0.0)[at]
+        triple = np.minimum(count_bounds(self.grams.levels(triple_hash[at]))[0], np.minimum(pair_most[at], before))
         weight = np.where(before > 0, self.weight3, 0.0)
         p[at] = (1 - weight) * p[at] + weight * triple / np.maximum(before, 1)
         return count, p1, p

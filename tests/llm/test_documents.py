@@ -449,22 +449,45 @@ def brute_model(train):
     n, v = sum(counts[1].values()), len(counts[1])
     repeated = [sum(c for c in counts[k].values() if c >= lm_bloom.LEAST) for k in (2, 3)]
     weight2, weight3 = min(lm_bloom.MOST_WEIGHT, repeated[0] / n), min(lm_bloom.MOST_WEIGHT, repeated[1] / max(repeated[0], 1))
-    mean = lambda c: 1.5 * 2 ** math.floor(math.log2(c)) - 0.5 if c >= lm_bloom.LEAST else 0.0
+    least = lambda c: 2 ** math.floor(math.log2(c)) if c >= lm_bloom.LEAST else 0
+    most = lambda c: 2 * least(c) - 1 if c >= lm_bloom.LEAST else 0
 
     def score(text):
         own, total, before = ["<s>", "<s>", *words(text), None], 0.0, 0.0
         for i in range(2, len(own)):
             c, history = counts[1][own[i]], len(train) if i == 2 else counts[1][own[i - 1]]
-            pair = min(mean(counts[2][own[i - 1], own[i]]), c, history)
+            pair, upper = (min(f(counts[2][own[i - 1], own[i]]), c, history) for f in (least, most))
             p = (1 - weight2) * (c + 1) / (n + v + 1) + weight2 * pair / max(history, 1)
             if i > 2 and before:
-                p = (1 - weight3) * p + weight3 * min(mean(counts[3][own[i - 2], own[i - 1], own[i]]), pair, before) / before
-            total, before = total + math.log10(p), pair
+                p = (1 - weight3) * p + weight3 * min(least(counts[3][own[i - 2], own[i - 1], own[i]]), upper, before) / before
+            total, before = total + math.log10(p), upper
         return total
 
     return score
 
 
+def test_probabilities_of_a_history_sum_to_one_at_most():
+    """50,000 words, most of them never seen behind the histories: false answers of the filter must not add up."""
+    rng = np.random.default_rng(5)
+    vocabulary = 50_000
+    stream = rng.zipf(1.3, 400_000) % vocabulary
+    hashes = lm_bloom.mix(np.arange(1, vocabulary + 1, dtype=np.uint64))
+    unigrams = np.bincount(stream, minlength=vocabulary)
+    pairs, pair_n = np.unique(stream[:-1] * vocabulary + stream[1:], return_counts=True)
+    join = lambda a, b: lm_bloom.mix(hashes[a] * lm_bloom.STEP + hashes[b]) & lm_bloom.BITS_48
+    own = join(pairs // vocabulary, pairs % vocabulary)[pair_n >= lm_bloom.LEAST]
+    levels = lm_bloom.quantise(pair_n[pair_n >= lm_bloom.LEAST])
+    bits = lm_bloom.build_bits(own, levels)
+    held = lm_bloom.Filter(1, [(0, max(64, int(levels.sum()) * lm_bloom.BITS_PER_ENTRY), bits.tobytes())], len(bits))
+    every = np.arange(vocabulary)
+    for n in (2, 5, 20, 500):
+        for v in np.flatnonzero(unigrams == unigrams[np.abs(unigrams - n).argmin()])[:3]:
+            lower, upper = lm_bloom.count_bounds(held.levels(join(np.full(vocabulary, v), every)))
+            true = np.bincount(stream[1:][stream[:-1] == v], minlength=vocabulary)
+            assert np.minimum(lower, np.minimum(unigrams, unigrams[v])).sum() <= 1.05 * unigrams[v]
+            assert ((lower <= true) & (true <= upper) | (true < lm_bloom.LEAST)).all()
+
+
 def test_passages_seen_twice_score_higher(spark):
     import random
 
@@ -518,4 +541,4 @@ def test_pipeline_end_to_end(spark, tmp_path):
     for i, text in [*enumerate(clean), (16, f"{other} after")]:
         ids = tokenizer.encode(text, add_special_tokens=False).ids + [1]
         own = [r for r in got if r["doc_id"] == i * 3]
-        assert [(r["piece"], r["length"], r["ids_crc32"]) for r in own] == [(0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))]
+        assert [(r["piece"], r["length"], r["ids_crc32"], r["ids"]) for r in own] == [(0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids)]

@@ -24,6 +24,21 @@ def test_article_text(spark):
     assert got[5]["n_chars"] == 5 * 20000 - 1
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<article><p>main</p></article><aside><article>Teaser</article></aside>", "main"),
+    ("<article><p>main</p></article><footer><article>small print</article></footer>", "main"),
+    ('<article><p>main</p></article><section class="comments"><article>nice post</article></section>', "main"),
+    ('<article><p>main</p></article><ol id="comments"><li><article id="c1">me too</article></li></ol>', "main"),
+    ('<body class="right-sidebar"><article><p>main</p></article></body>', "main"),
+    ('<div class="header-wrap"><main><p>main</p></main></div><p hidden>gone</p><div style="display: none">gone</div><p aria-hidden="true">gone</p>', "main"),
+    ('<article><p>main</p><p class="hidden-gem">stays</p><p hidden>gone</p></article>', "main\n\nstays"),
+])
+def test_chrome_stays_chrome(html, text):
+    lines = html_diff.text_lines(html)
+    kept = [t for t, z in lines if z == html_diff.CONTENT] or [t for t, z in lines if z == html_diff.PLAIN]
+    assert "\n\n".join(kept) == text
+
+
 def brute_texts(rows):
     """Texts by the definition: in order of host, path and id, the nearest of the neighbours with other lines, and what it does not share."""
     from html import unescape
