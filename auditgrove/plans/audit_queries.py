@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auditgrove.functions.storage import shared_folder
 from auditgrove.operators import configs as cfg
 from auditgrove.operators import drift, model, origins
 from auditgrove.plans import views as v
 from auditgrove.plans.rule_queries import all_items, quote
 from auditgrove.plans.views import CONFIGS_SQL, ITEMS_SQL
+from auditgrove.sources.baselines import BaselineStore
 
 QUERIES, ORACLE = {}, {}
 
@@ -253,6 +255,17 @@ def d5_baseline_upsert(spark, sf_dir):
     return after.join(same, "dedup_key", "left").select("dedup_key", (F.col("fingerprint").eqNullSafe(F.col("before"))).alias("known"))
 
 
+@register("d5_baseline_store", f"WITH {DRIFT_SQL}, v AS (SELECT DISTINCT dedup_key, 1 AS since FROM base UNION ALL SELECT DISTINCT dedup_key, 2 FROM now ANTI JOIN base USING (dedup_key)) SELECT dedup_key, since, 2 AS versions FROM v")
+def d5_baseline_store(spark, sf_dir):
+    """The baseline published, the definitions added as a second version, and both read again: the version from which each key is known."""
+    store = BaselineStore(spark, shared_folder(spark, "baseline"))
+    store.publish(baseline(spark, sf_dir), 0)
+    store.upsert(cfg.dedup_key(v.configs(spark, sf_dir)))
+    first = store.read(1).select("dedup_key", F.col("fingerprint").alias("before"))
+    since = F.when(F.col("fingerprint").eqNullSafe(F.col("before")), 1).otherwise(2)
+    return store.read().join(first, "dedup_key", "left").select("dedup_key", since.alias("since"), F.lit(store.version()).alias("versions"))
+
+
 @register("d6_version_history", "WITH s AS (SELECT 'u' || (user_id % 40) AS url, ts, md5(event_type) AS version_hash FROM events), w AS (SELECT *, lag(version_hash) OVER o AS prev, row_number() OVER o AS rn FROM s WINDOW o AS (PARTITION BY url ORDER BY ts, version_hash)) SELECT url, count(*) AS n_snapshots, count(*) FILTER (rn = 1 OR prev <> version_hash) AS total_versions, arg_max(version_hash, rn) AS latest_hash, max(ts) AS last_updated FROM w GROUP BY url")
 def d6_version_history(spark, sf_dir):
     events = v.table(spark, sf_dir, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("url"), "ts", F.md5("event_type").alias("version_hash"))

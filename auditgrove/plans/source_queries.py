@@ -11,6 +11,7 @@ from auditgrove.plans import views as v
 from auditgrove.plans.result_queries import EVERY_SQL, every
 from auditgrove.plans.rule_queries import ITEMS_SQL, MATCH_SQL, SEVERITY_SQL, all_items, quote
 from auditgrove.sources import readers, writers
+from auditgrove.sources.baselines import BaselineStore
 from auditgrove.streaming import scan, state
 
 QUERIES, ORACLE = {}, {}
@@ -64,6 +65,31 @@ def s2_client_configs(spark, sf_dir):
     return got.select(F.col("file").alias("k"), "name", "url", "command", F.coalesce(F.array_join("args", ","), F.lit("")).alias("args"), "format")
 
 
+#: Command objects with other keys, key orders and brackets inside, file and server options, and a file that is no JSON.
+TYPED_EXPR = """CASE s_suppkey % 7
+ WHEN 0 THEN '{"context_servers":[{"' || s_name || '":{"command":{"args":["a]b","' || s_suppkey || '"],"env":{"K":"v"},"path":"zed cmd"},"env":{"E":"1"}}}]}'
+ WHEN 1 THEN '{"context_servers":[{"' || s_name || '":{"command":{"path":"p","settings":{"args":["no"]}}}},{"second":{"command":"plain"}}]}'
+ WHEN 2 THEN '{"global":{"timeout":' || s_suppkey || ',"format":"json","detailed":true},"servers":{"' || s_name || '":{"command":"ws","options":{"timeout":5}},"other":{"url":"http://o"}}}'
+ WHEN 3 THEN '{"servers":[{"name":"' || s_name || '","url":"http://a"}],"options":{"http_timeout":' || (s_suppkey % 90) || '}}'
+ WHEN 4 THEN '{"mcpServers":{"' || s_name || '":{"command":{"path":"obj","args":[]}}}}'
+ WHEN 5 THEN '{"command":"zen","args":["{' || char(92) || '"path' || char(92) || '":1}"]}'
+ ELSE 'not json' END"""
+
+
+@register("s2_typed_layouts", """WITH f AS (SELECT s_suppkey AS k, s_suppkey % 7 AS m, s_name AS n FROM supplier)
+SELECT k, n AS name, NULL AS url, 'zed cmd' AS command, 'a]b|' || k AS args, 'nested' AS format, 'Command: zed cmd a]b ' || k AS description, NULL::BIGINT AS timeout, NULL::BIGINT AS http_timeout, NULL AS output_format, NULL::BOOLEAN AS detailed FROM f WHERE m = 0
+UNION ALL SELECT k, n, NULL, 'p', '', 'nested', 'Command: p ', NULL, NULL, NULL, NULL FROM f WHERE m = 1
+UNION ALL SELECT k, 'second', NULL, 'plain', '', 'nested', NULL, NULL, NULL, NULL, NULL FROM f WHERE m = 1
+UNION ALL SELECT k, n, NULL, 'ws', '', 'map', NULL, 5, NULL, 'json', true FROM f WHERE m = 2
+UNION ALL SELECT k, 'other', 'http://o', NULL, '', 'map', NULL, k, NULL, 'json', true FROM f WHERE m = 2
+UNION ALL SELECT k, n, 'http://a', NULL, '', 'array', NULL, NULL, k % 90, NULL, NULL FROM f WHERE m = 3
+UNION ALL SELECT k, n, NULL, 'obj', '', 'named', 'Command: obj ', NULL, NULL, NULL, NULL FROM f WHERE m = 4
+UNION ALL SELECT k, 'zencoder', NULL, 'zen', '{"path":1}', 'single', 'Zencoder MCP server', NULL, NULL, NULL, NULL FROM f WHERE m = 5""")
+def s2_typed_layouts(spark, sf_dir):
+    got = readers.client_servers(v.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS file", f"{TYPED_EXPR} AS content"))
+    return got.select(F.col("file").alias("k"), "name", "url", "command", F.coalesce(F.array_join("args", "|"), F.lit("")).alias("args"), "format", "description", "timeout", "http_timeout", "output_format", "detailed")
+
+
 @register("s3_snapshots", "SELECT 'https://u' || user_id AS url, ts, CASE WHEN event_id % 3 = 0 THEN sha256('') WHEN event_id % 3 = 1 THEN 'h' || event_id ELSE sha256('[{\"name\":\"t' || event_id || '\"}]') END AS version_hash, CASE WHEN event_id % 3 = 2 THEN 1 ELSE 0 END AS tool_count FROM events")
 def s3_snapshots(spark, sf_dir):
     id_ = F.col("event_id").cast("string")
@@ -164,7 +190,19 @@ def t2_ttl_cache(spark, sf_dir):
 def t2_cache_stats(spark, sf_dir):
     """Entries alive and expired at the time of the last lookup."""
     last = v.table(spark, sf_dir, "events").agg(F.max("ts").alias("ts")).first()["ts"]
-    return state.cache_stats(state.ttl_cache(requests(spark, sf_dir), ttl_seconds=12 * 3600), last, ttl_seconds=12 * 3600)
+    return state.cache_stats(state.ttl_cache(requests(spark, sf_dir), ttl_seconds=12 * 3600), last, ttl_seconds=12 * 3600).drop("tools")
+
+
+TOOLED_SQL = CACHE_SQL.replace("epoch_us(ts) AS us,", "epoch_us(ts) AS us, event_id % 5 AS offered,").replace("us AS stored, false AS hit", "us AS stored, offered AS tools, false AS hit").replace(" ELSE e.us END, e.us <=", " ELSE e.us END, CASE WHEN e.us <= f.stored + 43200000000 THEN f.tools ELSE e.offered END, e.us <=")
+
+
+@register("t2_cached_tools", f"WITH x AS ({TOOLED_SQL.replace('SELECT url, event_id, hit FROM f', 'SELECT url, max(stored) AS stored, arg_max(tools, stored) AS tools FROM f GROUP BY url')}), m AS (SELECT max(epoch_us(ts)) AS us FROM events) SELECT count(*) AS total, count(*) FILTER (us <= stored + 43200000000) AS active, count(*) FILTER (us > stored + 43200000000) AS expired, sum(tools)::BIGINT AS tools FROM x, m")
+def t2_cached_tools(spark, sf_dir):
+    """Statistics of a cache whose entries say how many tools they hold, at the time of the last lookup."""
+    events = v.table(spark, sf_dir, "events")
+    last = events.agg(F.max("ts").alias("ts")).first()["ts"]
+    lookups = requests(spark, sf_dir).withColumn("tools", F.col("event_id") % 5)
+    return state.cache_stats(state.ttl_cache(lookups, ttl_seconds=12 * 3600), last, ttl_seconds=12 * 3600)
 
 
 TIMED_SQL = f"{MATCH_SQL}, timed AS (SELECT *, {SEVERITY_SQL} AS severity, TIMESTAMP '2026-01-01' + to_minutes(CAST(7 * length(item_id) + ascii(substr(item_id, length(item_id))) AS BIGINT)) AS ts FROM matches)"
@@ -182,6 +220,20 @@ DRIFT_KEYS_SQL = "SELECT 'http:http://u' || (user_id % 50) AS dedup_key, ts, CAS
 
 @register("t4_drift_events", f"WITH k AS ({DRIFT_KEYS_SQL}), b AS (SELECT dedup_key, ts, d, first_value(d) OVER (PARTITION BY dedup_key ORDER BY ts) AS base FROM k) SELECT dedup_key, ts FROM b WHERE d <> base")
 def t4_drift_events(spark, sf_dir):
+    return scan.batch_drift(dedup_key(definitions(spark, sf_dir))).select("dedup_key", "ts")
+
+
+def definitions(spark, sf_dir):
     events = v.table(spark, sf_dir, "events")
-    configs = events.select(F.concat(F.lit("http://u"), (F.col("user_id") % 50).cast("string")).alias("url"), "ts", F.lit(None).cast("string").alias("command"), F.lit(None).cast("array<string>").alias("args"), F.lit(None).cast("map<string,string>").alias("env"), F.when(F.col("event_type") == "click", "a").otherwise(F.col("event_type")).alias("name"))
-    return scan.batch_drift(dedup_key(configs)).select("dedup_key", "ts")
+    return events.select(F.concat(F.lit("http://u"), (F.col("user_id") % 50).cast("string")).alias("url"), "ts", F.lit(None).cast("string").alias("command"), F.lit(None).cast("array<string>").alias("args"), F.lit(None).cast("map<string,string>").alias("env"), F.when(F.col("event_type") == "click", "a").otherwise(F.col("event_type")).alias("name"))
+
+
+@register("t4_from_baseline", f"WITH k AS ({DRIFT_KEYS_SQL}), s AS (SELECT dedup_key, min(d) AS base FROM k WHERE CAST(substr(dedup_key, 14) AS INT) % 2 = 0 GROUP BY dedup_key), b AS (SELECT k.*, coalesce(s.base, first_value(d) OVER (PARTITION BY k.dedup_key ORDER BY ts)) AS base FROM k LEFT JOIN s ON s.dedup_key = k.dedup_key) SELECT dedup_key, ts FROM b WHERE d <> base")
+def t4_from_baseline(spark, sf_dir):
+    """Drift from a stored baseline that knows half of the keys; the others start with their first definition."""
+    configs = definitions(spark, sf_dir)
+    known = configs.where("cast(substr(url, 9) as int) % 2 = 0").groupBy("url").agg(F.min("name").alias("name"))
+    known = known.select("url", "name", F.lit(None).cast("string").alias("command"), F.lit(None).cast("array<string>").alias("args"), F.lit(None).cast("map<string,string>").alias("env"))
+    store = BaselineStore(spark, shared_folder(spark, "drift"))
+    store.upsert(dedup_key(known))
+    return scan.batch_drift(dedup_key(configs), store.read()).select("dedup_key", "ts")
