@@ -25,9 +25,13 @@ def comparable(df: DataFrame, fields) -> DataFrame:
 
 
 def paired(old: DataFrame, new: DataFrame, fields) -> DataFrame:
-    """Full outer join of two snapshots; ``o`` and ``n`` hold the sides, null if absent."""
-    side = lambda df, c: comparable(df, fields).select("server", "name", F.struct(*fields).alias(c))
-    return side(old, "o").join(side(new, "n"), ["server", "name"], "full_outer")
+    """Full outer join of two snapshots; ``o`` and ``n`` hold the sides, null if absent.
+
+    Of items that share a name in one snapshot the one with the smallest fields stands for the name, so a snapshot never differs from itself."""
+    side = lambda df, c: comparable(df, fields).groupBy("server", "name").agg(F.min(F.struct(*fields)).alias(c))
+    before, after = side(old, "o"), side(new, "n").select(F.col("server").alias("server_"), F.col("name").alias("name_"), "n")
+    same = F.col("server").eqNullSafe(F.col("server_")) & F.col("name").eqNullSafe(F.col("name_"))
+    return before.join(after, same, "full_outer").select(F.coalesce("server", "server_").alias("server"), F.coalesce("name", "name_").alias("name"), "o", "n")
 
 
 def snapshot_changed(old: DataFrame, new: DataFrame, fields=COMPARED) -> DataFrame:

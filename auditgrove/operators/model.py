@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -66,31 +68,51 @@ def prompt_batches(cards: DataFrame, size: int = BATCH_SIZE, order: str = "item_
     return out.withColumn("request_body", F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))).alias("messages")))).drop("rows")
 
 
-def score_batches(batches: DataFrame, scorer: Callable[[str], str] | None, workers: int | None = None) -> DataFrame:
-    """L3: replies of a scorer to the batches. Without a scorer the result is empty; a failing batch gives an error row.
+def call(client: Callable[[str], str], prompt: str, attempts: int, wait: float, most_wait: float) -> tuple[str | None, str | None, int]:
+    """Reply, error and the number of attempts; the wait doubles between them."""
+    for n in range(1, attempts + 1):
+        try:
+            return client(prompt), None, n
+        except Exception as e:  # noqa: BLE001  the client is the user's
+            error = str(e)
+        if n < attempts:
+            time.sleep(min(wait * 2 ** (n - 1), most_wait))
+    return None, error, attempts
+
+
+def score_with_clients(batches: DataFrame, factory: Callable[[], Callable[[str], str]], workers: int | None = None, at_once: int = 4, attempts: int = 5, wait: float = 0.1, most_wait: float = 1.0) -> DataFrame:
+    """L3: replies of a model service to the batches, with ``error`` and ``attempts``; a batch that fails every time gives an error row.
 
-    ``scorer`` maps a prompt to a reply and is shipped to the tasks; ``workers`` bounds how many call it at a time.
+    ``factory`` is called once in each task that has rows and returns the client, a function from prompt to reply; if it has a ``close`` method, that is called at the end. A task keeps
+    ``at_once`` requests under way; ``workers`` bounds the tasks, so ``workers`` times ``at_once`` requests at most are open at a time. Time limits are the client's.
+    A task that is run again asks again.
     """
-    schema = "server string, item_type string, batch_index long, reply string, error string"
     rows = batches.select("server", "item_type", "batch_index", "prompt")
-    if scorer is None:
-        return rows.where(F.lit(False)).select("server", "item_type", "batch_index", F.lit(None).cast("string").alias("reply"), F.lit(None).cast("string").alias("error"))
     if workers:
         rows = rows.repartition(workers)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            replies, errors = [], []
-            for prompt in part["prompt"]:
-                try:
-                    replies.append(scorer(prompt))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001  the scorer is the user's
-                    replies.append(None)
-                    errors.append(str(e))
-            yield part.drop(columns="prompt").assign(reply=replies, error=errors)
-
-    return rows.mapInPandas(run, schema)
+        client = None
+        with ThreadPoolExecutor(at_once) as pool:
+            try:
+                for part in parts:
+                    if client is None and len(part):
+                        client = factory()
+                    replies, errors, tries = zip(*pool.map(lambda p: call(client, p, attempts, wait, most_wait), part["prompt"])) if len(part) else ((), (), ())
+                    yield part.drop(columns="prompt").assign(reply=list(replies), error=list(errors), attempts=list(tries))
+            finally:
+                if hasattr(client, "close"):
+                    client.close()
+
+    return rows.mapInPandas(run, "server string, item_type string, batch_index long, reply string, error string, attempts int")
+
+
+def score_batches(batches: DataFrame, scorer: Callable[[str], str] | None, workers: int | None = None) -> DataFrame:
+    """L3: replies of a scorer, a function from prompt to reply that needs no client of its own, to the batches. Each is asked once;
+    without a scorer the result is empty."""
+    if scorer is None:
+        return batches.where(F.lit(False)).select("server", "item_type", "batch_index", F.lit(None).cast("string").alias("reply"), F.lit(None).cast("string").alias("error"))
+    return score_with_clients(batches, lambda: scorer, workers, at_once=1, attempts=1).drop("attempts")
 
 
 def reply_array(text: Column) -> Column:

@@ -121,26 +121,56 @@ def enrich(findings: DataFrame) -> DataFrame:
     )
 
 
-REPORT_LINES = 100
-
-
 def remedy_column() -> Column:
     """The remedy of a finding: of its rule for rule detections, of its issue type for model issues."""
     pairs = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("finding_type")]
     return F.when(F.col("scan_type") == "yara_rules", F.coalesce(pairs(RULE_REMEDIES), F.lit("review the match and validate input"))).otherwise(pairs({k: t[3] for k, t in THREATS.items()}))
 
 
-def report_markdown(scans: DataFrame, items: DataFrame, findings: DataFrame, lines: int = REPORT_LINES) -> DataFrame:
-    """A10: one markdown text per server; a failed server's report ends after its error.
+def report_lines(scans: DataFrame, items: DataFrame, findings: DataFrame) -> DataFrame:
+    """A10: every report as lines, with ``server``, ``place``, ``rank``, ``item_id``, ``finding_type`` and ``line`` giving their order.
 
-    A report counts all findings, shows the ``lines`` most severe model issues and as many rule detections, and lists every remedy once. The
-    top lines are chosen per partition before they meet, so a server with very many findings stays a small row. ``scans`` has one row per server.
+    All findings have their line, the most severe first; a failed server's report ends after its error. No row holds more than one finding or
+    one server's counts, so a report may be larger than a row or a task. ``scans`` has one row per server.
     """
+    kinds = {"llm_analysis": ("Model issues", 6), "yara_rules": ("Rule detections", 9)}
+    found = findings.join(scans.where("status = 'Success'").select("server"), "server")
+    lined = found.select("server", F.element_at(F.create_map(*[F.lit(x) for k, (_, p) in kinds.items() for x in (k, p + 2)]), F.col("scan_type")).alias("place"), severity_rank(F.col("severity")).alias("rank"), "item_id", "finding_type", finding_line().alias("line"))
+    remedies = found.select("server", F.lit(14).alias("place"), F.concat(F.lit("- "), remedy_column()).alias("line")).where("line is not null").distinct()
+    n = lambda c: F.coalesce(F.count(F.when(c, 1)), F.lit(0))
+    totals = findings.groupBy("server").agg(*[n(F.col("scan_type") == k).alias(k) for k in kinds], n(F.col("severity") == "CRITICAL").alias("critical"), n(F.col("severity") == "HIGH").alias("high"))
+    remedied = remedies.select("server").distinct().withColumn("remedied", F.lit(True))
+    counts = items.groupBy("server").agg(F.count("*").alias("items"))
+    rows = scans.select("server", "status", "status_detail").join(counts, "server", "left").join(totals, "server", "left").join(remedied, "server", "left")
+    good, text = F.col("status") == "Success", lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    row = lambda place, line: F.struct(F.lit(place).alias("place"), line.alias("line"))
+    blank = F.lit("")
+    summary = F.concat(F.lit("Items: "), text("items"), F.lit(", model issues: "), text("llm_analysis"), F.lit(", rule detections: "), text("yara_rules"), F.lit(", critical: "), text("critical"), F.lit(", high: "), text("high"))
+    head = [row(0, F.concat(F.lit("# Report for "), F.col("server"))), row(1, blank), row(2, F.concat(F.lit("Status: "), F.col("status"))), row(3, blank)]
+    head.append(row(4, F.when(good, summary).otherwise(F.concat(F.lit("Error: "), F.trim(F.coalesce("status_detail", blank))))))
+    for k, (title, place) in kinds.items():
+        head += [F.when(good & (F.col(k) > 0), row(place, blank)), F.when(good & (F.col(k) > 0), row(place + 1, F.lit(f"## {title}")))]
+    head += [F.when(F.col("remedied"), row(12, blank)), F.when(F.col("remedied"), row(13, F.lit("## Remediation")))]
+    heads = rows.select("server", F.inline(F.array_compact(F.array(*head))))
+    return lined.unionByName(heads, allowMissingColumns=True).unionByName(remedies, allowMissingColumns=True)
+
+
+def finding_line() -> Column:
     name = F.coalesce("target_name", "item_id", F.lit("?"))
-    line = F.concat(F.lit("- **"), F.coalesce("severity", F.lit("LOW")), F.lit("** "), "finding_type", F.lit(" on "), name, F.lit(": "), F.coalesce("message", F.lit("")))
-    rank = severity_rank(F.col("severity"))
+    return F.concat(F.lit("- **"), F.coalesce("severity", F.lit("LOW")), F.lit("** "), "finding_type", F.lit(" on "), name, F.lit(": "), F.coalesce("message", F.lit("")))
+
+
+def report_markdown(scans: DataFrame, items: DataFrame, findings: DataFrame, lines: int | None = None) -> DataFrame:
+    """A10: one markdown text per server; a failed server's report ends after its error.
+
+    A report counts and shows all findings, the most severe first, and lists every remedy once. With ``lines`` it shows that many model issues and as many rule
+    detections at most; the top lines are then chosen per partition before they meet. A text is one row; reports of servers with very many findings are written
+    line by line (``report_lines``). ``scans`` has one row per server.
+    """
+    line, rank = finding_line(), severity_rank(F.col("severity"))
     first = F.row_number().over(Window.partitionBy("server", "scan_type").orderBy("rank", "item_id", "finding_type", "line"))
-    top = findings.select("server", "scan_type", "item_id", "finding_type", rank.alias("rank"), line.alias("line")).withColumn("n", first).where(F.col("n") <= lines)
+    top = findings.select("server", "scan_type", "item_id", "finding_type", rank.alias("rank"), line.alias("line")).withColumn("n", first)
+    top = top if lines is None else top.where(F.col("n") <= lines)
     part = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("scan_type") == kind, F.struct("n", "line")))), lambda s: s["line"]), "\n")
     shown = top.groupBy("server").agg(part("llm_analysis").alias("model_lines"), part("yara_rules").alias("rule_lines"))
     n = lambda c: F.count(F.when(c, 1))

@@ -121,7 +121,28 @@ SELECT server, '# Report for ' || server || chr(10) || chr(10) || 'Status: ' ||
 def a10_reports(spark, sf_dir):
     items = all_items(spark, sf_dir)
     status = items.select("server", F.when(F.length("server") % 2 == 1, "Failed").otherwise("Success").alias("status"), F.lit(" down ").alias("status_detail")).distinct()
-    return results.report_markdown(status, items, every(spark, sf_dir))
+    return results.report_markdown(status, items, every(spark, sf_dir), lines=100)
+
+
+LINES_SQL = f"""WITH {EVERY_SQL}, sv AS (SELECT DISTINCT server, CASE WHEN length(server) % 2 = 1 THEN 'Failed' ELSE 'Success' END AS status FROM items),
+ c AS (SELECT server, count(*) AS items FROM items GROUP BY server),
+ x AS (SELECT e.*, {REMEDY_SQL} AS remedy FROM every e),
+ t AS (SELECT server, count(*) FILTER (scan_type = 'llm_analysis') AS m, count(*) FILTER (scan_type = 'yara_rules') AS r, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(remedy) AS remedies FROM x GROUP BY server),
+ g AS (SELECT server, status, items, coalesce(m, 0) AS m, coalesce(r, 0) AS r, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(remedies, 0) AS remedies FROM sv LEFT JOIN c USING (server) LEFT JOIN t USING (server)),
+ h AS (SELECT server, 0 AS place, '# Report for ' || server AS line FROM g UNION ALL SELECT server, 1, '' FROM g UNION ALL SELECT server, 2, 'Status: ' || status FROM g UNION ALL SELECT server, 3, '' FROM g
+  UNION ALL SELECT server, 4, CASE WHEN status = 'Success' THEN 'Items: ' || items || ', model issues: ' || m || ', rule detections: ' || r || ', critical: ' || critical || ', high: ' || high ELSE 'Error: down' END FROM g
+  UNION ALL SELECT server, unnest([6, 7]), unnest(['', '## Model issues']) FROM g WHERE status = 'Success' AND m > 0 UNION ALL SELECT server, unnest([9, 10]), unnest(['', '## Rule detections']) FROM g WHERE status = 'Success' AND r > 0
+  UNION ALL SELECT server, unnest([12, 13]), unnest(['', '## Remediation']) FROM g WHERE status = 'Success' AND remedies > 0),
+ b AS (SELECT x.server, CASE WHEN scan_type = 'llm_analysis' THEN 8 ELSE 11 END AS place, '- **' || severity || '** ' || finding_type || ' on ' || coalesce(target_name, item_id, '?') || ': ' || coalesce(message, '') AS line, remedy FROM x JOIN sv ON sv.server = x.server AND status = 'Success')
+SELECT server, place, line FROM h UNION ALL SELECT server, place, line FROM b UNION ALL SELECT DISTINCT server, 14, '- ' || remedy FROM b WHERE remedy IS NOT NULL"""
+
+
+@register("a10_report_lines", LINES_SQL)
+def a10_report_lines(spark, sf_dir):
+    """All lines of all reports."""
+    items = all_items(spark, sf_dir)
+    status = items.select("server", F.when(F.length("server") % 2 == 1, "Failed").otherwise("Success").alias("status"), F.lit(" down ").alias("status_detail")).distinct()
+    return results.report_lines(status, items, every(spark, sf_dir)).select("server", "place", "line")
 
 
 SUMMARY_PARTS = {k: ", ".join(f"count(*) FILTER (scan_type = '{k}' AND {c}) AS {k}_{n}" for n, c in (("c", "severity = 'CRITICAL'"), ("h", "severity = 'HIGH'"), ("m", "severity = 'MEDIUM'"), ("l", f"{RANK_SQL} = 3"))) for k in ("llm_analysis", "yara_rules")}

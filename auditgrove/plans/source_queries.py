@@ -148,6 +148,15 @@ def s6_nested_results(spark, sf_dir):
     return documents.select(parsed.alias("d")).select("d.server", F.size("d.items").cast("long").alias("items"), F.col("d.summary.total_issues").alias("findings"))
 
 
+@register("s6_document_lines", f"WITH {EVERY_SQL}, i AS (SELECT server, count(*) AS items FROM items GROUP BY server), f AS (SELECT server, count(*) AS findings FROM every JOIN (SELECT DISTINCT item_id, server AS s FROM items) USING (item_id) GROUP BY server) SELECT server, items, coalesce(findings, 0) AS findings, true AS valid FROM i LEFT JOIN f USING (server)")
+def s6_document_lines(spark, sf_dir):
+    """Documents written line by line over many files; put together again per server they are valid JSON."""
+    lines = writers.nested_lines(all_items(spark, sf_dir), every(spark, sf_dir))
+    whole = lines.groupBy("server").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "item_type", "item_id", "line"))), lambda r: r["line"]), "\n").alias("document"))
+    parsed = F.from_json("document", "struct<server string, summary struct<total_issues long>, items array<struct<item_id string>>>")
+    return whole.select("server", parsed.alias("d"), F.try_parse_json("document").isNotNull().alias("valid")).select("server", F.size("d.items").cast("long").alias("items"), F.col("d.summary.total_issues").alias("findings"), "valid")
+
+
 @register("s6_wrapped_document", f"WITH {EVERY_SQL}, i AS (SELECT server, count(*) AS items FROM items GROUP BY server) SELECT server, items, (SELECT count(*) FROM i) AS total_servers FROM i")
 def s6_wrapped_document(spark, sf_dir):
     """One document over all servers, written as text and read again line by line."""

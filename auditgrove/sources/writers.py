@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditgrove.operators.results import embed_results, security_summary
+from auditgrove.operators.results import embed_results, report_lines, security_summary
+
 
+def write_findings(findings: DataFrame, path: str, scan_date: str, mode: str = "overwrite") -> None:
+    """Findings as Parquet, a directory per scan date.
 
-def write_findings(findings: DataFrame, path: str, scan_date: str, mode: str = "append") -> None:
-    """Findings as Parquet, a directory per scan date."""
-    findings.withColumn("scan_date", F.lit(scan_date)).write.mode(mode).partitionBy("scan_date").parquet(path)
+    Writing a date again replaces its rows, also by none, and leaves other dates as they are; a run that fails on the way leaves the date empty until it is repeated.
+    ``mode="append"`` adds to a date instead.
+    """
+    findings.drop("scan_date").write.mode(mode).parquet(f"{path.rstrip('/')}/scan_date={quote(scan_date, safe='-_. ')}")
 
 
 def nested_results(items: DataFrame, findings: DataFrame) -> DataFrame:
@@ -47,3 +53,34 @@ def wrapped_results(items: DataFrame, findings: DataFrame, scan_type: str = "mul
 def write_wrapped(items: DataFrame, findings: DataFrame, path: str, scan_type: str = "multi", mode: str = "error") -> None:
     """The document as text files; put together in order of their names they are one JSON document. No task holds more than one server."""
     wrapped_results(items, findings, scan_type).orderBy("place", "server").select("line").write.mode(mode).text(path)
+
+
+def nested_lines(items: DataFrame, findings: DataFrame) -> DataFrame:
+    """The documents of ``nested_results`` as lines, with ``server``, ``place``, ``item_type``, ``item_id`` and ``line`` giving their order.
+
+    A head line with the summary, a line per item with its findings, and a closing line; a comma leads all items of a server but the first. No row
+    holds more than one item (equal rows of one item share a line), so a document may be larger than a row or a task.
+    """
+    embedded = embed_results(items.select("server", "item_type", "item_id", "name"), findings)
+    text = F.to_json(F.struct("item_type", "item_id", "name", "findings"))
+    body = embedded.select("server", "item_type", "item_id", text.alias("text")).groupBy("server", "item_type", "item_id", "text").agg(F.count("*").cast("int").alias("copies"))
+    first = body.groupBy("server").agg(F.min(F.struct("item_type", "item_id", "text")).alias("first"))
+    comma = F.when(F.struct("item_type", "item_id", "text").eqNullSafe(F.col("first")), "").otherwise(",")
+    told = F.concat(comma, F.col("text"), F.repeat(F.concat(F.lit(","), "text"), F.col("copies") - 1))
+    middle = body.join(first, "server").select("server", F.lit(1).alias("place"), "item_type", "item_id", told.alias("line"))
+    none = F.lit(None).cast("string")
+    per = security_summary(items, findings)
+    opened = F.to_json(F.struct("server", F.struct("tool_issues", "prompt_issues", "resource_issues", "rule_issues", "total_issues").alias("summary")))
+    head = per.select("server", F.lit(0).alias("place"), none.alias("item_type"), none.alias("item_id"), F.concat(F.substr(opened, F.lit(1), F.length(opened) - 1), F.lit(',"items":[')).alias("line"))
+    end = per.select("server", F.lit(2).alias("place"), none.alias("item_type"), none.alias("item_id"), F.lit("]}").alias("line"))
+    return head.unionByName(middle).unionByName(end)
+
+
+def write_nested_lines(items: DataFrame, findings: DataFrame, path: str, mode: str = "error") -> None:
+    """The documents line by line as text files, which in order of their names hold one document after the other. A server may fill several files."""
+    nested_lines(items, findings).orderBy("server", "place", "item_type", "item_id", "line").select("line").write.mode(mode).text(path)
+
+
+def write_reports(scans: DataFrame, items: DataFrame, findings: DataFrame, path: str, mode: str = "error") -> None:
+    """A10: the reports with every line as text files, which in order of their names hold one report after the other. A server may fill several files."""
+    report_lines(scans, items, findings).orderBy("server", "place", "rank", "item_id", "finding_type", "line").select("line").write.mode(mode).text(path)

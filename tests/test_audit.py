@@ -24,6 +24,42 @@ def test_urls_in_all_fields(spark):
     assert "http://no.com" in {r["url"] for r in origins.extract_urls(df, mode="anywhere").collect()}
 
 
+def test_urls_in_escaped_and_nested_json(spark):
+    cases = {
+        r'{"a":"https:\/\/esc.example\/v1"}': {"https://esc.example/v1"},
+        r'[[[{"x":[{"y":"\u0068ttp://u.example"}]}]]]': {"http://u.example"},
+        r'{"http:\/\/key.example":null}': {"http://key.example"},
+        r'{"a":"tail\\","b":"http://b.example"}': {"http://b.example"},
+        r'{"a":"say \"http://quoted.example\""}': set(),
+        r'{"a":"\\\"http://quoted.example"}': set(),
+        '"https://alone.example"': {"https://alone.example"},
+        '{"a":"http://broken.example"': set(),
+        '{"n":1,"t":true}': set(), "": set(), None: set(),
+        '{"a":"' + r"\n\t\"" * 20_000 + '","b":"wss://long.example"}': {"wss://long.example"},
+    }
+    df = spark.createDataFrame([("s", "tool", str(i), "t", j) for i, j in enumerate(cases)], "server string, item_type string, item_id string, name string, raw_json string")
+    got = {}
+    for r in origins.extract_urls(df).collect():
+        got.setdefault(int(r["item_id"]), set()).add(r["url"])
+    assert [got.get(i, set()) for i in range(len(cases))] == list(cases.values())
+    inside = origins.extract_urls(df, "anywhere").where("item_id = '4'").first()
+    assert inside["url"] == "http://quoted.example"
+
+
+def test_public_suffixes(spark):
+    urls = spark.createDataFrame([(f"http://{h}/x",) for h in ("a.co.uk", "x.b.co.uk", "co.uk", "c.org.zz", "localhost", "10.0.0.1", "d.e.com")], "url string")
+    roots = lambda *given: {r["host"]: r["root_domain"] for r in origins.url_facts(urls, *given).collect()}
+    suffixes = spark.createDataFrame([("uk",), ("co.uk",), (".Com",), (None,), ("co.uk",)], "suffix string")
+    assert roots(suffixes) == {"a.co.uk": "a.co.uk", "x.b.co.uk": "b.co.uk", "co.uk": "co.uk", "c.org.zz": "org.zz", "localhost": "localhost", "10.0.0.1": "10.0.0.1", "d.e.com": "e.com"}
+    assert roots()["a.co.uk"] == roots()["x.b.co.uk"] == "co.uk"
+
+
+def test_a_snapshot_never_differs_from_itself(spark):
+    twice = snapshot(spark, [("s", "a", "one", None), ("s", "a", "two", None), ("s", "b", None, "{}"), (None, None, None, None), (None, None, "x", None)])
+    assert drift.snapshot_changes(twice, twice).count() == 0
+    assert not any(r["changed"] for r in drift.snapshot_changed(twice, twice).collect())
+
+
 def snapshot(spark, rows):
     return spark.createDataFrame(rows, "server string, name string, description string, input_schema string")
 
@@ -88,6 +124,84 @@ def test_no_scorer_no_rows(spark):
     assert model.score_batches(batches, fail, workers=2).first()["error"] == "down"
 
 
+def test_one_client_per_task_and_retries(spark, tmp_path):
+    """Clients and attempts are counted in files, as tasks share no memory with the test."""
+    folder, batches = str(tmp_path), spark.range(40).selectExpr("'s' AS server", "'tool' AS item_type", "id AS batch_index", "concat('p', id) AS prompt").repartition(8)
+
+    class Client:
+        def __init__(self):
+            import uuid
+
+            self.name = uuid.uuid4().hex
+            open(f"{folder}/client-{self.name}", "w").close()
+
+        def __call__(self, prompt):
+            with open(f"{folder}/asked-{prompt}", "a") as f:
+                f.write("x")
+            with open(f"{folder}/asked-{prompt}") as f:
+                n = len(f.read())
+            if prompt == "p7" or n < 1 + int(prompt[1:]) % 3:
+                raise RuntimeError(f"busy {n}")
+            return prompt.upper()
+
+        def close(self):
+            open(f"{folder}/closed-{self.name}", "w").close()
+
+    got = {r["batch_index"]: r for r in model.score_with_clients(batches, Client, workers=2, attempts=3, wait=0.01).collect()}
+    assert len(got) == 40 and got[7]["reply"] is None and got[7]["error"] == "busy 3"
+    assert all(r["reply"] == f"P{i}" and r["error"] is None and r["attempts"] == 1 + i % 3 for i, r in got.items() if i != 7)
+    names = [f.name for f in tmp_path.iterdir()]
+    assert sum(n.startswith("client-") for n in names) == sum(n.startswith("closed-") for n in names) == 2
+
+
+def test_command_objects_and_options(spark):
+    files = [
+        '{"context_servers":[{"a":{"command":{"args":["x"],"extra":[1],"path":"p"}}}]}', '{"context_servers":[{"b":{"command":{"path":"p","args":["a]b","\\"]"]}}}]}',
+        '{"context_servers":[{"c":{"command":{"path":"p","env":{"K":"v"}}}},{"c2":{"command":"plain","args":["q"]}}]}', '{"global":{"timeout":9},"servers":{"d":{"command":"w","options":{"detailed":true}}}}',
+        '{"context_servers":[{"e":{"command":{"args":["no path"]}}}]}', "[]", "", None, "null", '{"command":{"path":"solo"}}',
+    ]
+    got = {r["name"]: r for r in readers.client_servers(spark.createDataFrame([(str(i), c) for i, c in enumerate(files)], "file string, content string")).collect()}
+    assert {n: (r["command"], r["args"]) for n, r in got.items()} == {"a": ("p", ["x"]), "b": ("p", ["a]b", '"]']), "c": ("p", None), "c2": ("plain", ["q"]), "d": ("w", None), "zencoder": ("solo", None)}
+    assert (got["d"]["timeout"], got["d"]["detailed"], got["a"]["timeout"]) == (9, True, None)
+    assert got["a"]["description"] == "Command: p x"
+
+
+def test_documents_and_reports_larger_than_a_row(spark, tmp_path):
+    import json
+
+    table = spark.range(3000).selectExpr("'s' AS server", "'tool' AS item_type", "concat('t', id div 2) AS item_id", "'n' AS name").unionByName(spark.createDataFrame([("e", "tool", "x", "n"), ("f", "tool", "y", "n")], "server string, item_type string, item_id string, name string"))
+    found = spark.range(700).selectExpr("'s' AS server", "'yara_rules' AS scan_type", "'tool' AS target_type", "concat('t', id) AS item_id", "'n' AS target_name", "'X' AS finding_type", "if(id % 2 = 0, 'HIGH', 'LOW') AS severity", "concat('m', id) AS message")
+    writers.write_nested_lines(table, found, str(tmp_path / "nested"))
+    written = lambda name: "\n".join(f.read_text() for f in sorted((tmp_path / name).glob("part-*")) if f.stat().st_size)
+    decoder, text, documents = json.JSONDecoder(), written("nested"), []
+    while text.strip():
+        document, end = decoder.raw_decode(text.lstrip())
+        documents, text = documents + [document], text.lstrip()[end:]
+    assert [(d["server"], len(d["items"]), d["summary"]["total_issues"]) for d in documents] == [("e", 1, 0), ("f", 1, 0), ("s", 3000, 700)]
+    scans = spark.createDataFrame([("e", "Failed", " down "), ("f", "Success", None), ("s", "Success", None)], "server string, status string, status_detail string")
+    writers.write_reports(scans, table, found, str(tmp_path / "reports"))
+    reports = "\n".join(x for x in written("reports").split("\n"))
+    whole = {r["server"]: r["report"] for r in results.report_markdown(scans, table, found).collect()}
+    squeezed = lambda t: [x for x in t.split("\n") if x]
+    assert squeezed(reports) == [x for s in "efs" for x in squeezed(whole[s])]
+    assert whole["s"].count("- **") == 700
+    assert results.report_markdown(scans, table, found, lines=100).where("server = 's'").first()["report"].count("- **") == 100
+
+
+def test_a_date_is_written_again(spark, tmp_path):
+    rows = lambda *s: spark.createDataFrame([("s", x) for x in s], "server string, severity string")
+    path = str(tmp_path / "dated")
+    held = lambda: sorted((str(r["scan_date"]), r["severity"]) for r in spark.read.parquet(path).collect())
+    writers.write_findings(rows("A", "B"), path, "2026-01-01")
+    writers.write_findings(rows("C"), path, "2026-01-02")
+    writers.write_findings(rows("A", "D"), path, "2026-01-01")
+    assert held() == [("2026-01-01", "A"), ("2026-01-01", "D"), ("2026-01-02", "C")]
+    writers.write_findings(rows("A").limit(0), path, "2026-01-01")
+    assert held() == [("2026-01-02", "C")]
+    writers.write_findings(rows("E"), path, "2026-01-02", mode="append")
+    assert held() == [("2026-01-02", "C"), ("2026-01-02", "E")]
+
+
 def test_files_in_and_out(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"result":{"tools":[{"name":"x","inputSchema":{"a":1}},{"description":"d"}]}}')
     (tmp_path / "b.json").write_text("not json")
