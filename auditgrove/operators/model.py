@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditgrove.functions.storage import shared_folder
+
 BATCH_SIZE = 10
 
 #: Issue type -> (default severity, default sentence).
@@ -46,16 +48,29 @@ def format_items(items: DataFrame) -> DataFrame:
     return items.withColumn("card", F.when(F.col("item_type") == "tool", tool).when(F.col("item_type") == "prompt", prompt).otherwise(resource))
 
 
+def number_ids(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """``before``, the copies of smaller ids within the group of the first two keys, for every row of counted ids; the keys are named with a line behind."""
+    spark = counted.sparkSession
+    folder = shared_folder(spark, "ids")
+    counted.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()).write.parquet(folder)
+    dealt = spark.read.parquet(folder)  # written, so that both uses below see the same partitions
+    group, earlier = keys[:2], (Window.unboundedPreceding, -1)
+    within = F.sum("copies").over(Window.partitionBy("part", *group).orderBy(keys[2]).rowsBetween(*earlier))
+    parts = dealt.groupBy("part", *group).agg(F.sum("copies").alias("copies"))  # a row per partition that a group lies in
+    start = parts.select("part", *[F.col(k).alias(f"{k}_") for k in group], F.sum("copies").over(Window.partitionBy(*group).orderBy("part").rowsBetween(*earlier)).alias("start"))
+    placed = dealt.withColumn("within", within).join(start.withColumnRenamed("part", "part_"), (F.col("part") == F.col("part_")) & F.col(group[0]).eqNullSafe(F.col(f"{group[0]}_")) & F.col(group[1]).eqNullSafe(F.col(f"{group[1]}_")))
+    return placed.select(*[F.col(k).alias(f"{k}_") for k in keys[2:]], *[F.col(f"{k}_") for k in group], (F.coalesce("within", F.lit(0)) + F.coalesce("start", F.lit(0))).alias("before"))
+
+
 def prompt_batches(cards: DataFrame, size: int = BATCH_SIZE, order: str = "item_id") -> DataFrame:
     """L2: per (server, type) batches of ``size`` items: names, text of the request, and its JSON body.
 
-    Items are numbered by id alone, counted before the shuffle; the cards then move by (server, type, id), so a server with many items never
-    gathers its texts. Items with one id are ordered by name and card. The batches meet by their number.
+    Items are numbered by id alone, and the cards then move by (server, type, id), so a server with many items never gathers its texts. The ids are range-sorted and
+    written once; numbers run within a partition and the partitions' counts are added up, so no task holds the ids of a server. Items with one id are
+    ordered by name and card. The batches meet by their number.
     """
     keys = ["server", "item_type", order]
-    counted = cards.groupBy(*keys).agg(F.count("*").alias("copies"))
-    before = F.sum("copies").over(Window.partitionBy("server", "item_type").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    numbered = counted.select(*[F.col(k).alias(f"{k}_") for k in keys], F.coalesce(before, F.lit(0)).alias("before"))
+    numbered = number_ids(cards.groupBy(*keys).agg(F.count("*").alias("copies")), keys)
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))

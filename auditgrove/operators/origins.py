@@ -90,8 +90,13 @@ def url_facts(urls: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     return facts.join(listed, "host", "left").withColumn("root_domain", F.coalesce("listed_root", root_domain(F.col("host")))).drop("listed_root").select(*facts.columns, "root_domain")
 
 
+def domain_users(facts: DataFrame) -> DataFrame:
+    """Who uses each root domain of a server, and how often; a row per user, so that no row grows with its server."""
+    return facts.groupBy("server", "root_domain", F.concat("item_type", F.lit(":"), "name").alias("user")).agg(F.count("*").alias("uses"))
+
+
 def domain_distribution(facts: DataFrame) -> DataFrame:
-    """Uses of each root domain per server, and who uses it."""
+    """Uses of each root domain per server, and all its users in one array, as a report shows them; ``domain_users`` gives them as rows."""
     user = F.concat("item_type", F.lit(":"), "name")
     return facts.groupBy("server", "root_domain").agg(F.count("*").alias("uses"), F.array_sort(F.collect_set(user)).alias("users"))
 

@@ -89,6 +89,11 @@ def x3_domain_distribution(spark, sf_dir):
     return origins.domain_distribution(facts(spark, sf_dir)).withColumn("users", F.array_join("users", ","))
 
 
+@register("x3_domain_users", f"""WITH {FACTS_SQL} SELECT server, root_domain, item_type || ':' || name AS "user", count(*) AS uses FROM facts GROUP BY ALL""")
+def x3_domain_users(spark, sf_dir):
+    return origins.domain_users(facts(spark, sf_dir))
+
+
 @register("x4_cross_domain", f"WITH {FACTS_SQL}, c AS (SELECT server, count(*) AS n_domains, string_agg(root_domain, ', ' ORDER BY root_domain) AS domains, CAST(sum(uses) AS BIGINT) AS total_uses FROM per GROUP BY server) SELECT *, 'CrossDomainContamination' AS rule_name, 'HIGH' AS severity, 'Cross-domain contamination detected across ' || n_domains || ' domains: ' || domains AS matched_text FROM c WHERE n_domains > 1")
 def x4_cross_domain(spark, sf_dir):
     return origins.cross_domain_findings(facts(spark, sf_dir))

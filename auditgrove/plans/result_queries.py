@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from auditgrove.operators import model, results
 from auditgrove.plans.audit_queries import ISSUES_SQL, issues, replies
 from auditgrove.plans.rule_queries import FINDINGS_SQL, RANK_SQL, SCANS_SQL, all_items, findings, quote, scans
+from auditgrove.sources import writers
 
 QUERIES, ORACLE = {}, {}
 
@@ -27,9 +28,10 @@ EVERY_SQL = FINDINGS_SQL + ", " + ISSUES_SQL + """, every AS (
 
 
 def every(spark, sf_dir):
+    """All findings, stored once by the query that asks."""
     conv = F.split("reply_id", "_")[0].cast("long")
     model = issues(spark, sf_dir).withColumn("server", F.concat(F.lit("chat"), (conv % 10).cast("string"))).withColumn("target_type", F.lit("prompt")).withColumn("item_id", F.concat(F.lit("p"), "reply_id"))
-    return results.all_findings(model, findings(spark, sf_dir))
+    return writers.stored(results.all_findings(model, findings(spark, sf_dir)))
 
 
 @register("a1_all_findings", f"WITH {EVERY_SQL} SELECT * FROM every")

@@ -148,6 +148,17 @@ def r2_rule_matches(spark, sf_dir):
     return rules.rule_matches(all_items(spark, sf_dir))
 
 
+BODIES_SQL = f"""bodies AS (SELECT 'web' || (page_id % 10) AS server, 'resource' AS item_type, 'r' || page_id AS item_id, 'page_' || page_id AS name, concat_ws(chr(10), 'RESOURCE: page_' || page_id, html, url) AS full_text FROM pages),
+ hits AS (SELECT server, item_type, item_id, name, {hits_sql('full_text', PRE)} AS hits FROM bodies)"""
+
+
+@register("r2_page_bodies", f"WITH {BODIES_SQL} SELECT server, item_id, unnest({matched_sql(PRE)}) AS rule_name FROM hits")
+def r2_page_bodies(spark, sf_dir):
+    """The rules on resources that bring their body."""
+    pages = v.spread(spark, sf_dir, "pages", "page_id").selectExpr("'web' || (page_id % 10) AS server", "'r' || page_id AS item_id", "'page_' || page_id AS name", "url AS uri", "html AS description")
+    return rules.rule_matches(items.to_items(resources=pages)).select("server", "item_id", "rule_name")
+
+
 @register("r3_annotated_findings", f"WITH {FINDINGS_SQL} SELECT target_type, item_id, rule_name, rule_file, context, severity FROM findings")
 def r3_annotated_findings(spark, sf_dir):
     return findings(spark, sf_dir).select("target_type", "item_id", "rule_name", "rule_file", "context", "severity")

@@ -7,6 +7,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditgrove.functions.storage import shared_folder
 from auditgrove.operators.results import embed_results, report_lines, security_summary
 
 
@@ -19,6 +20,13 @@ def write_findings(findings: DataFrame, path: str, scan_date: str, mode: str = "
     findings.drop("scan_date").write.mode(mode).parquet(f"{path.rstrip('/')}/scan_date={quote(scan_date, safe='-_. ')}")
 
 
+def stored(findings: DataFrame) -> DataFrame:
+    """The findings written once below ``spark.checkpoint.dir`` and reread. What is read more than once (results, summaries, reports) then scans its items once."""
+    folder = shared_folder(findings.sparkSession, "findings")
+    findings.write.parquet(folder)
+    return findings.sparkSession.read.schema(findings.schema).parquet(folder)
+
+
 def nested_results(items: DataFrame, findings: DataFrame) -> DataFrame:
     """One JSON document per server: its summary and its items with their findings.
 
