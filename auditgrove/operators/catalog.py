@@ -2,7 +2,7 @@
 
 ``RULES`` and ``PATTERNS`` below are fixed values: the pattern texts decide which findings appear. A condition is a nested tuple
 ``("any" | "all" | "not", term, ...)`` over pattern ids. ``GATES`` names literals, in lower case, one of which every match of the
-pattern contains; they are looked for before the regular expression runs.
+pattern contains; one pass over a text finds all of them, and a regular expression runs only where one of its own was met.
 """
 
 from __future__ import annotations
@@ -187,28 +187,28 @@ CONDITIONS = {
     "EnvironmentVariableLeakage": ("any", "assigned_variable", "env_file"),
 }
 
-#: Literals (lower case) of which a text must hold one before the pattern can match.
+#: Literals (lower case; a blank stands for any white space) of which a text must hold one before the pattern can match.
 GATES = {
     "CommandInjection": {
         "shell_separators": (";", "&", "|", "`", "$", "(", ")", "{", "}"), "command_chaining": (")",), "pipe_operators": ("|",), "background_exec": ("&",),
-        "file_dangerous": ("rm", "del", "format", "dd", "mkfs", "fdisk", "wipefs"), "file_manipulation": ("chmod", "chown", "chgrp", "touch", "echo"),
-        "process_dangerous": ("kill", "shutdown", "reboot", "halt"), "process_control": ("ps", "top", "pgrep", "pidof"),
-        "network_dangerous": ("nc", "net", "ssh", "wget", "curl", "ftp"), "network_tools": ("nmap", "nslookup", "dig", "ping", "route"),
+        "file_dangerous": ("rm ", "del ", "format ", "dd ", "mkfs", "fdisk", "wipefs"), "file_manipulation": ("chmod ", "chown ", "chgrp ", "touch ", "echo "),
+        "process_dangerous": ("kill ", "killall", "pkill", "shutdown ", "reboot", "halt"), "process_control": ("ps ", "top", "pstree", "pgrep", "pidof"),
+        "network_dangerous": ("nc ", "netcat", "telnet", "ssh ", "wget ", "curl ", "ftp "), "network_tools": ("nmap", "nslookup", "dig", "ping ", "traceroute", "route "),
         "exec_functions": ("system", "exec", "popen", "spawn", "eval", "passthru", "proc_open"), "python_exec": ("os.system", "subprocess.", "exec(", "eval(", "compile(", "execfile(", "input("),
         "node_exec": ("child_process.", "exec(", "spawn(", "sync(", "require(", "eval("), "php_exec": ("exec", "system", "passthru", "popen", "proc_open", "eval", "assert", "create_function"),
-        "java_exec": ("runtime.", "processbuilder", "scriptengine", "eval(", "exec("), "encoding_evasion": ("base64", "echo", "printf", "xxd"), "obfuscation": ("eval",),
-        "variable_substitution": ("${", "$("), "injection_patterns": ("$", "`"), "privilege_escalation": ("su", "chmod", "set"), "data_exfil": ("cat", "grep", "find"),
-        "reverse_shell": ("bash", "nc", "telnet", "/bin/sh"), "web_shell": ("php", "python", "perl", "ruby", "node"), "suspicious_combo": ("&&",), "unsafe_file_ops": ("rm", "dd", "format", "del"),
-        "dangerous_permissions": ("chmod", "chown", "sudo"), "wildcard_patterns": ("*",), "legitimate_patterns": ("_file", "push_files", "git_", "file_", "add_comment", "list_commits"),
+        "java_exec": ("runtime.", "processbuilder", "scriptengine", "eval(", "exec("), "encoding_evasion": ("base64 ", "echo ", "printf ", "xxd "), "obfuscation": ("eval ",),
+        "variable_substitution": ("${", "$("), "injection_patterns": ("${", "$(", "`", "eval ", "exec ", "system "), "privilege_escalation": ("sudo ", "su ", "chmod ", "setuid", "setgid"), "data_exfil": ("cat ", "grep ", "find "),
+        "reverse_shell": ("bash ", "nc ", "telnet", "/bin/sh "), "web_shell": ("php ", "python ", "perl ", "ruby ", "node "), "suspicious_combo": ("&&",), "unsafe_file_ops": ("rm ", "dd ", "format ", "del ", "rmdir "),
+        "dangerous_permissions": ("chmod ", "chown ", "sudo "), "wildcard_patterns": ("*",), "legitimate_patterns": ("_file", "push_files", "git_", "file_", "add_comment", "list_commits"),
     },
     "SQLInjection": {
-        "sql_comments": ("--", "#", "/*", "*/"), "inline_comments": ("--", "#", "/*", "*/"), "union_injection": ("union",), "union_columns": ("union",), "boolean_injection": ("1", "true"),
-        "boolean_operators": ("=",), "time_injection": ("sleep", "benchmark", "waitfor", "dbms_pipe"), "delay_patterns": ("sleep", "benchmark", "waitfor"),
+        "sql_comments": ("--", "#", "/*", "*/"), "inline_comments": ("--", "#", "/*", "*/"), "union_injection": ("union ",), "union_columns": ("union ",), "boolean_injection": (" 1", " '", " true"),
+        "boolean_operators": ("=",), "time_injection": ("sleep", "benchmark", "waitfor ", "dbms_pipe"), "delay_patterns": ("sleep", "benchmark", "waitfor "),
         "error_injection": ("updatexml", "extractvalue", "floor", "convert", "cast", "concat"), "error_functions": ("updatexml", "extractvalue", "floor", "convert", "cast", "concat"),
         "stacked_queries": (";",), "multiple_statements": (";",), "mysql_injection": ("information_schema", "mysql.", "@@"), "postgresql_injection": ("pg_", "information_schema", "current_", "session_user", "version"),
-        "mssql_injection": ("sys", "@@"), "oracle_injection": ("all_", "user_", "v$", "dba_"), "encoding_evasion": ("%",), "hex_encoding": ("0x", "\\x", "\\u"), "unicode_encoding": ("\\u",),
-        "case_variation": ("select", "insert", "update", "delete"), "orm_bypass": ("1", "true"), "parameter_bypass": ("=",), "auth_bypass": ("--",), "login_bypass": ("'",), "data_exfil": ("select",),
-        "sensitive_data": ("select",), "blind_injection": ("1", "true"), "conditional_logic": ("(", "case", "then", "else", "end"), "legitimate_patterns": ("_tool", "sql_client", "query_builder"), "safe_keywords": ("tool",),
+        "mssql_injection": ("sys.", "sysobjects", "syscolumns", "sysdatabases", "@@"), "oracle_injection": ("all_", "user_", "v$", "dba_"), "encoding_evasion": ("%",), "hex_encoding": ("0x", "\\x", "\\u"), "unicode_encoding": ("\\u",),
+        "case_variation": ("select", "insert", "update", "delete"), "orm_bypass": (" 1", " '", " true"), "parameter_bypass": ("=",), "auth_bypass": ("--",), "login_bypass": ("'",), "data_exfil": ("select ",),
+        "sensitive_data": ("select ",), "blind_injection": (" 1", " '", " true"), "conditional_logic": ("if(", "if ", "case ", "when ", "else", "end "), "legitimate_patterns": ("_tool", "sql_client", "query_builder"), "safe_keywords": (" tool",),
     },
     "PathTraversalVulnerability": {
         "dot_dot_slash": ("../",), "dot_dot_backslash": ("..\\",), "encoded_dot_dot": ("%2e",), "double_encoded": ("%252e",), "etc_path": ("/etc/",), "root_path": ("/root/",), "var_path": ("/var/",),
@@ -239,6 +239,8 @@ META = ("rule_file", "phase", "name", "version", "description", "severity", "cat
 STORED = "rule string, " + ", ".join(f"{m} string" for m in META) + ", patterns array<struct<pattern_id:string,regex:string,nocase:boolean,gate:array<string>>>, condition string"
 
 WORD = "[0-9A-Za-z_]"
+#: White space other than the blank, which stands for all of it in gate literals.
+WHITE = "\t\n\x0b\x0c\r"
 BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
 
@@ -251,12 +253,51 @@ def rules_of(phase: str | None = None, catalog: Catalog = BUILT_IN) -> list[str]
     return [r for r, v in catalog.rules.items() if phase is None or v[1] == phase]
 
 
-def hit_column(rule: str, pattern_id: str, text: Column, low: Column, catalog: Catalog = BUILT_IN) -> Column:
-    """Whether a pattern is found; its gate literals are looked for first, and the regular expression runs only behind them."""
+def gate_literals(catalog: Catalog = BUILT_IN, rules: list[str] | None = None) -> list[str]:
+    """All literals of the gates of some rules (of all, if none are named)."""
+    return sorted({blank(g) for r in (catalog.rules if rules is None else rules) for gate in catalog.gates.get(r, {}).values() for g in gate if g})
+
+
+def blank(literal: str) -> str:
+    return literal.translate({ord(ch): " " for ch in WHITE})
+
+
+def prefix_tree(words: list[str]) -> str:
+    """One regular expression that finds the longest of the words at a place, a branch per next character."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def text(node: dict) -> str:
+        parts = [(ch if ch.isalnum() or ch == " " else "\\" + ch) + text(below) for ch, below in sorted(node.items()) if ch]
+        if not parts:
+            return ""
+        return f"(?:{'|'.join(parts)})" + "?" * ("" in node)
+
+    return text(root)
+
+
+def met_literals(text: Column, catalog: Catalog = BUILT_IN, rules: list[str] | None = None) -> Column:
+    """The gate literals that stand in a text, found in one pass: at every place the longest, which tells of its beginnings too."""
+    literals = gate_literals(catalog, rules)
+    if not literals:
+        return F.array().cast("array<string>")
+    plain = F.translate(F.lower(text), WHITE, " " * len(WHITE))
+    return F.array_distinct(F.regexp_extract_all(plain, F.lit(f"(?s)(?=({prefix_tree(literals)}))."), 1))
+
+
+def hit_column(rule: str, pattern_id: str, text: Column, met: Column, catalog: Catalog = BUILT_IN, literals: list[str] | None = None) -> Column:
+    """Whether a pattern is found. ``met``: the literals of the text (``met_literals``); a gated pattern runs only where one of its own is among them."""
     pattern, nocase = catalog.patterns[rule][pattern_id]
     found = text.rlike(java_regex(pattern, nocase))
     gate = catalog.gates.get(rule, {}).get(pattern_id)
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(g)) for g in gate]) & found if gate else found
+    if not gate or "" in gate:
+        return found
+    longer = [x for x in (gate_literals(catalog) if literals is None else literals) if x.startswith(tuple(map(blank, gate)))]
+    return F.arrays_overlap(met, F.array(*[F.lit(x) for x in longer])) & found
 
 
 def condition_column(condition, hit) -> Column:

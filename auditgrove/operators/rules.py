@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditgrove.operators.catalog import BUILT_IN, RULES, Catalog, condition_column, hit_column, rules_of
+from auditgrove.operators.catalog import BUILT_IN, RULES, Catalog, condition_column, hit_column, met_literals, rules_of
 from auditgrove.operators.items import display_url, env_values
 
 #: Context sentence of a rule; ``{}`` is the kind of item.
@@ -30,18 +30,18 @@ RULE_FILES = {
 HAYSTACKS = {"full": "full_text", "name": "scan_text"}
 
 
-def bound(items: DataFrame, text: str, *columns: str) -> DataFrame:
-    """The columns kept, the text and its lower-case form, each computed once per row: the tests above refer to them."""
-    return items.select(*columns, F.col(text).alias("text_"), F.lower(text).alias("low_"))
+def bound(items: DataFrame, text: str, *columns: str, catalog: Catalog = BUILT_IN, phase: str | None = None) -> DataFrame:
+    """The columns kept, the text and the gate literals that stand in it, each computed once per row: the tests above refer to them."""
+    return items.select(*columns, F.col(text).alias("text_"), met_literals(F.col(text), catalog, rules_of(phase, catalog)).alias("met_"))
 
 
 def found_in(rule: str, pattern_id: str, catalog: Catalog) -> Column:
-    return hit_column(rule, pattern_id, F.col("text_"), F.col("low_"), catalog)
+    return hit_column(rule, pattern_id, F.col("text_"), F.col("met_"), catalog)
 
 
 def pattern_hits(items: DataFrame, phase: str = "pre", haystack: str = "full", catalog: Catalog = BUILT_IN) -> DataFrame:
     """A row per item and pattern found in it."""
-    source = bound(items, HAYSTACKS[haystack], "server", "item_id")
+    source = bound(items, HAYSTACKS[haystack], "server", "item_id", catalog=catalog, phase=phase)
     hit = F.array_compact(F.array(*[F.when(found_in(r, p, catalog), F.struct(F.lit(r).alias("rule_name"), F.lit(p).alias("pattern_id"))) for r in rules_of(phase, catalog) for p in catalog.patterns[r]]))
     return source.select("server", "item_id", F.inline(hit))
 
@@ -54,7 +54,7 @@ def matched_rules(rules: list[str], catalog: Catalog) -> Column:
 
 def rule_matches(items: DataFrame, phase: str = "pre", haystack: str = "full", catalog: Catalog = BUILT_IN) -> DataFrame:
     """R2: a row per item and rule that matches it."""
-    source = bound(items, HAYSTACKS[haystack], "server", "item_type", "item_id", "name")
+    source = bound(items, HAYSTACKS[haystack], "server", "item_type", "item_id", "name", catalog=catalog, phase=phase)
     out = source.select("server", F.col("item_type").alias("target_type"), "item_id", F.col("name").alias("target_name"), F.explode(matched_rules(rules_of(phase, catalog), catalog)).alias("rule_name"))
     return out.withColumn("phase", F.lit(phase)).withColumn("status", F.lit("warning"))
 
@@ -97,7 +97,7 @@ def config_text() -> Column:
 def config_rule_scan(configs: DataFrame, catalog: Catalog = BUILT_IN) -> DataFrame:
     """Findings of the pre-scan rules on server definitions."""
     named = configs.select("server_id", F.coalesce("name", display_url()).alias("target_name"), config_text().alias("config_text"))
-    source = bound(named, "config_text", "server_id", "target_name")
+    source = bound(named, "config_text", "server_id", "target_name", catalog=catalog, phase="pre")
     out = source.select("server_id", "target_name", F.explode(matched_rules(rules_of("pre", catalog), catalog)).alias("rule_name"))
     return annotate_findings(out.withColumn("target_type", F.lit("server")), catalog).withColumn("phase", F.lit("pre-config")).withColumn("status", F.lit("warning"))
 

@@ -17,7 +17,7 @@ from auditgrove.streaming.state import micros, stateful
 
 def stream_scan(items: DataFrame, phase: str = "pre", haystack: str = "full", catalog: Catalog = BUILT_IN) -> DataFrame:
     """Findings of a stream of items that carry an event time ``ts``; stateless, works on a batch alike."""
-    source = bound(items, HAYSTACKS[haystack], "ts", "server", "item_type", "item_id", "name")
+    source = bound(items, HAYSTACKS[haystack], "ts", "server", "item_type", "item_id", "name", catalog=catalog, phase=phase)
     out = source.select("ts", "server", F.col("item_type").alias("target_type"), "item_id", F.col("name").alias("target_name"), F.explode(matched_rules(rules_of(phase, catalog), catalog)).alias("rule_name"))
     return annotate_findings(out, catalog)
 
