@@ -10,10 +10,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes per core up to which a table is dealt anew; a larger one has row groups enough, and is not shuffled.
+SPREAD_BYTES = 128 << 20
+
+
 def spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table dealt over the cores if it has fewer splits than those (a few large row groups); larger ones stay where they are."""
+    """A small table in fewer files than there are cores is dealt over the cores; one of more than ``SPREAD_BYTES`` a core stays where it is, whatever its files."""
     df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return df.repartition(2 * cores, key) if len(df.inputFiles()) < cores else df
+    files = df.inputFiles()
+    if len(files) >= cores:
+        return df
+    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    size = sum((p := path(f)).getFileSystem(conf).getFileStatus(p).getLen() for f in files)
+    return df.repartition(2 * cores, key) if size <= cores * SPREAD_BYTES else df
 
 
 #: JSON schema of a tool, by doc_id; the same text in both engines.
