@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from auditgrove.llm.shared import Scratch
 
+#: Edges of one task of a step: a graph that has become small is not dealt over all shuffle partitions again and again.
+TASK_EDGES = 50_000
+
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``node`` and ``component`` (smallest node reachable) of every node that has an edge to another.
@@ -26,9 +29,10 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.keep(large, "large")
+        tasks = -(-int(state["n"]) // TASK_EDGES)  # coalescing never makes more than there are
+        large = scratch.keep(large.coalesce(tasks), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = scratch.keep(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        after = scratch.keep(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks), "edges")
         scratch.drop(now, large)
         now = after

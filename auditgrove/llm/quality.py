@@ -4,8 +4,8 @@ Every document has one score: the largest of its rule values, each divided by th
 (``SCALES``). Per stratum (language) one cutoff of the score is chosen from a fixed grid. Cutoffs are tried from lenient to strict on
 labelled good texts; one passes if the exact binomial probability of seeing so few false rejections, were the true
 rate ``alpha``, is at most ``delta / strata`` (Bonferroni over the strata; the grid needs no further share, as
-fixed-sequence testing stops at the first cutoff that fails). So with probability 1 - delta no stratum loses more than
-``alpha`` of its good texts. Among the passing cutoffs the one with the largest gain (bad texts rejected minus
+fixed-sequence testing stops at the first cutoff that fails). So with probability 1 - delta no stratum loses by its cutoff more than
+``alpha`` of its good texts that pass the base rule; what the fixed base rule rejects (for one, good texts of under 50 words) is beyond that bound. Among the passing cutoffs the one with the largest gain (bad texts rejected minus
 ``GOOD_WEIGHT`` times good ones) is used, the most lenient on ties; a stratum without a passing cutoff that gains has none.
 
 Equal texts are one trial, good if any label calls them good, as copies fall together and would feign evidence. With four strata a cutoff needs 217 good
