@@ -26,40 +26,38 @@ class BaselineStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark.sparkContext._jvm
-        self.at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        self.at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         self.fs = self.at("versions").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def versions(self) -> dict[int, str]:
-        """Published versions and their folders. A file without its closing line feed is one that is still being written, or never was."""
+    def numbers(self) -> list[int]:
+        """Versions that have a file, the latest first."""
         if not self.fs.exists(self.at("versions")):
-            return {}
-        found = {}
-        for s in self.fs.listStatus(self.at("versions")):
-            name = s.getPath().getName()
-            if name.isdigit() and s.getLen() > 0:
-                stream = self.fs.open(s.getPath())
-                text = "".join(chr(stream.read()) for _ in range(s.getLen()))
-                stream.close()
-                if text.endswith("\n"):
-                    found[int(name)] = text.strip()
-        return found
+            return []
+        names = [s.getPath().getName() for s in self.fs.listStatus(self.at("versions"))]
+        return sorted((int(n) for n in names if n.isdigit()), reverse=True)
+
+    def folder(self, version: int) -> str | None:
+        """The folder that a version names; None of a file without its closing line feed, which is still being written, or never was."""
+        stream = self.fs.open(self.at(f"versions/{version:020d}"))
+        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return text.strip() if text.endswith("\n") else None
 
     def version(self) -> int:
         """The latest version; 0 if there is none."""
-        return max(self.versions(), default=0)
+        return next((n for n in self.numbers() if self.folder(n)), 0)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The baseline of a version, the latest if none is given; no rows before the first."""
-        known = self.versions()
-        version = max(known, default=0) if version is None else version
+        version = self.version() if version is None else version
         if version == 0:
             return self.spark.createDataFrame([], FIELDS)
-        return self.spark.read.schema(FIELDS).parquet(f"{self.path}/{known[version]}")
+        return self.spark.read.schema(FIELDS).parquet(f"{self.path}/{self.folder(version)}")
 
     def publish(self, baseline: DataFrame, after: int) -> int:
         """Write the baseline as the version that follows ``after``."""
         number, folder = after + 1, f"data-{after + 1}-{uuid.uuid4().hex[:12]}"
-        if number in self.versions():
+        if self.version() >= number:
             raise VersionTaken(f"version {number} of {self.path} is published")
         baseline.select("dedup_key", "fingerprint").write.parquet(f"{self.path}/{folder}")
         entry = self.at(f"versions/{number:020d}")
@@ -85,11 +83,13 @@ class BaselineStore:
         raise VersionTaken(f"{attempts} attempts to write {self.path} came second")
 
     def vacuum(self, keep: int = 2) -> None:
-        """Remove all but the last versions, and folders of writers that never published. Only while no writer is at work."""
-        known = self.versions()
-        for n in sorted(known)[: max(0, len(known) - keep)]:
+        """Remove all but the last versions, folders of writers that never published, and unfinished version files, which keep their number taken.
+        Only while no writer is at work."""
+        numbers = self.numbers()
+        published = [n for n in numbers if self.folder(n)]
+        for n in set(numbers) - set(published[:keep]):
             self.fs.delete(self.at(f"versions/{n:020d}"), False)
-            known.pop(n)
+        named = {self.folder(n) for n in published[:keep]}
         for s in self.fs.listStatus(self.at("")):
-            if s.getPath().getName().startswith("data-") and s.getPath().getName() not in known.values():
+            if s.getPath().getName().startswith("data-") and s.getPath().getName() not in named:
                 self.fs.delete(s.getPath(), True)

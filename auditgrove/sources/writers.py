@@ -92,3 +92,20 @@ def write_nested_lines(items: DataFrame, findings: DataFrame, path: str, mode: s
 def write_reports(scans: DataFrame, items: DataFrame, findings: DataFrame, path: str, mode: str = "error") -> None:
     """A10: the reports with every line as text files, which in order of their names hold one report after the other. A server may fill several files."""
     report_lines(scans, items, findings).orderBy("server", "place", "rank", "item_id", "finding_type", "line").select("line").write.mode(mode).text(path)
+
+
+def wrapped_lines(items: DataFrame, findings: DataFrame, scan_type: str = "multi") -> DataFrame:
+    """The one document over all servers as lines, of which none holds more than one item; ``part``, ``server``, ``place``, ``item_type``, ``item_id`` and ``line`` give their order."""
+    lines = nested_lines(items, findings)
+    edge = items.select("server").distinct().agg(F.count("*").alias("n"), F.min("server").alias("first"))  # one row
+    quoted = F.to_json(F.array(F.lit(scan_type)))
+    head = edge.select(F.lit(0).alias("part"), F.concat(F.lit('{"scan_type":'), F.substr(quoted, F.lit(2), F.length(quoted) - 2), F.lit(',"total_servers":'), F.col("n").cast("string"), F.lit(',"results":[')).alias("line"))
+    comma = F.when((F.col("place") == 0) & (F.col("server") != F.col("first")), ",").otherwise("")
+    body = lines.crossJoin(F.broadcast(edge)).select(F.lit(1).alias("part"), "server", "place", "item_type", "item_id", F.concat(comma, F.col("line")).alias("line"))
+    end = edge.select(F.lit(2).alias("part"), F.lit("]}").alias("line"))
+    return body.unionByName(head, allowMissingColumns=True).unionByName(end, allowMissingColumns=True)
+
+
+def write_wrapped_lines(items: DataFrame, findings: DataFrame, path: str, scan_type: str = "multi", mode: str = "error") -> None:
+    """That document as text files; put together in order of their names they are one JSON document. A server may fill several files."""
+    wrapped_lines(items, findings, scan_type).orderBy("part", "server", "place", "item_type", "item_id", "line").select("line").write.mode(mode).text(path)

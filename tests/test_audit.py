@@ -178,6 +178,9 @@ def test_documents_and_reports_larger_than_a_row(spark, tmp_path):
         document, end = decoder.raw_decode(text.lstrip())
         documents, text = documents + [document], text.lstrip()[end:]
     assert [(d["server"], len(d["items"]), d["summary"]["total_issues"]) for d in documents] == [("e", 1, 0), ("f", 1, 0), ("s", 3000, 700)]
+    writers.write_wrapped_lines(table, found, str(tmp_path / "wrapped"), 'a "quoted" type')
+    whole = json.loads(written("wrapped"))
+    assert (whole["scan_type"], whole["total_servers"]) == ('a "quoted" type', 3) and whole["results"] == documents
     scans = spark.createDataFrame([("e", "Failed", " down "), ("f", "Success", None), ("s", "Success", None)], "server string, status string, status_detail string")
     writers.write_reports(scans, table, found, str(tmp_path / "reports"))
     reports = "\n".join(x for x in written("reports").split("\n"))

@@ -142,3 +142,9 @@ def test_baseline_versions(spark, tmp_path):
     # an entry that is not written to its end is none
     (tmp_path / "store" / "versions").joinpath(f"{3:020d}").write_text("data-3")
     assert (store.version(), held()) == (2, [("a", "1"), ("b", "2")])
+    with pytest.raises(VersionTaken):
+        store.publish(rows(("a", "1")), 2)
+    store.vacuum()
+    assert store.publish(rows(("a", "1")), 2) == 3
+    store.vacuum(keep=1)
+    assert (store.version(), held()) == (3, [("a", "1")]) and len([f for f in (tmp_path / "store").iterdir() if f.name.startswith("data-")]) == 1
