@@ -114,3 +114,43 @@ def test_union_of_scans_is_scan_of_union(items):
 def test_chain_skips_what_fails(items):
     out, failed = rules.run_chain(items, [("bad", lambda df: df.select("nope")), ("ok", rules.rule_matches)])
     assert [f[0] for f in failed] == ["bad"] and out.select("operator").distinct().first()[0] == "ok"
+
+
+def test_literals_of_a_batch():
+    """Texts beyond the first of a batch, common and rare literals: the same as a search place by place."""
+    import random
+
+    import pyarrow as pa
+
+    literals = ["exec", "exec(", "ex", "c(", "rm ", "{", "é$", "{x", "k\\", "zz"]
+    r = random.Random(5)
+    texts = ["".join(r.choice(["e", "exec", "(", "rm", " ", "\n", "{", "x", "é", "$", "k\\", "q"]) for _ in range(r.randrange(9))) for _ in range(700)] + [None, "zz", ""]
+
+    def by_place(t):
+        plain = (t or "").replace("\n", " ")
+        return {max((w for w in literals if plain.startswith(w, i)), key=len, default=None) for i in range(len(plain))} - {None}
+
+    got = catalog.find_literals(literals)(pa.array(texts, pa.string())).to_pylist()
+    assert [set(g) for g in got] == [by_place(t) for t in texts] and all(len(g) == len(set(g)) for g in got)
+    assert catalog.find_literals(literals)(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_patterns_without_gate_are_asked_last():
+    def late(rule, condition):
+        if isinstance(condition, str):
+            return condition not in catalog.GATES[rule]
+        inner = [late(rule, t) for t in condition[1:]]
+        assert condition[0] != "all" or inner == sorted(inner), rule
+        return any(inner)
+
+    for rule, condition in catalog.CONDITIONS.items():
+        late(rule, condition)
+
+
+def test_boundary_before_a_word_is_one_look_back(spark):
+    texts = ["or 1", "for 1", "é or 1", "éor 1", "_or 1", "(or 1", "1or 1", "' or 1", "", "x.pem", "a]or 1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in (r"\b(or|and)\s+1", r"\bor\s", r"\b(or|(' or))", r"\b(or?|1)", r"\b([(]|or)", r"\b([\])]|or)", r"\b(or)*", r"\bor|x"):
+        plain = "(?d)" + pattern.replace(r"\b", catalog.BOUNDARY)
+        assert df.where(F.col("t").rlike(plain) != F.col("t").rlike(catalog.java_regex(pattern, False))).count() == 0, pattern
+    assert catalog.BOUNDARY not in catalog.java_regex(r"\b(or|and)\s+1", False) and catalog.BOUNDARY in catalog.java_regex(r"\b(or|')", False)
