@@ -65,6 +65,14 @@ def test_gates_never_hide_a_match(spark):
         assert sum(met) >= 0.8 * len(met), rule
 
 
+def test_common_words_alone_open_no_gate(spark):
+    """``THEN`` decides nothing without ``WHEN``, and stands in many texts."""
+    gates = catalog.Catalog({"r": ()}, {"r": {"p": catalog.PATTERNS["SQLInjection"]["conditional_logic"]}}, {}, {"r": {"p": catalog.GATES["SQLInjection"]["conditional_logic"]}})
+    df = spark.createDataFrame([("now and then",), ("case\twhen",), ("WHEN a\tTHEN b",), ("when\nso",)], "t string").withColumn("met", catalog.met_literals(F.col("t"), gates))
+    got = df.select(F.size("met") > 0, catalog.hit_column("r", "p", F.col("t"), F.col("met"), gates)).collect()
+    assert [tuple(r) for r in got] == [(False, False), (True, True), (True, True), (True, False)]
+
+
 def test_one_pass_finds_every_literal(spark):
     gates = catalog.Catalog({"r": ()}, {"r": {"p": ("x", False)}}, {}, {"r": {"p": ("exec", "exec(", "ex", "c(", "rm ", "a\tb", "é$", "")}})
     texts = ["exec", "EXEC(1)", "rm\n-rf", "rm", "a b", "a  b", "xÉ$", "", None, "eexexec("]
