@@ -162,3 +162,23 @@ def test_boundary_before_a_word_is_one_look_back(spark):
         plain = "(?d)" + pattern.replace(r"\b", catalog.BOUNDARY)
         assert df.where(F.col("t").rlike(plain) != F.col("t").rlike(catalog.java_regex(pattern, False))).count() == 0, pattern
     assert catalog.BOUNDARY not in catalog.java_regex(r"\b(or|and)\s+1", False) and catalog.BOUNDARY in catalog.java_regex(r"\b(or|')", False)
+
+
+def test_batches_tell_of_patterns_not_of_their_literals(spark):
+    """Literals of gates open no search of Java's where no pattern stands; before, each of them did. What Java reads as white space or end, batches do too."""
+    texts = ["systems, terms (1), done when asked", "rm\x0b-rf", "'\x0b.env", "A_KEY=abc\x0bdefgh", "x --\x0b\n", "see ſelect, Kill", "éor 1", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("met", catalog.met_literals(F.col("t"))).cache()
+    told = {r["i"]: set(r["met"]) for r in df.collect()}
+    assert told[0] == told[7] == set() and {"CommandInjection.file_dangerous", "CommandInjection.unsafe_file_ops"} <= told[1]
+    assert "EnvironmentVariableLeakage.env_file" in told[2] and "EnvironmentVariableLeakage.assigned_variable" not in told[3] and "SQLInjection.inline_comments" in told[4]
+    for rule, patterns in catalog.PATTERNS.items():
+        cols = [(F.col("t").rlike(catalog.java_regex(*p)) != catalog.hit_column(rule, k, F.col("t"), F.col("met"))).alias(k) for k, p in patterns.items()]
+        assert not any(any(r) for r in df.select(*cols).collect()), rule
+
+
+def test_changed_patterns_keep_their_gates(spark):
+    """A pattern that is not the built-in one of its name may use what only Java reads, and goes by its gate's literals."""
+    changed = catalog.Catalog({"SSHKeyExposure": ()}, {"SSHKeyExposure": {"ssh_key_file": (r"id_(?!dsa)[a-z]+", False), "ssh_directory": catalog.PATTERNS["SSHKeyExposure"]["ssh_directory"]}}, {}, {"SSHKeyExposure": {"ssh_key_file": ("id_",), "ssh_directory": (".ssh/",)}})
+    df = spark.createDataFrame([("id_rsa",), ("id_dsa",), ("~/.ssh/x",), ("none",)], "t string").withColumn("met", catalog.met_literals(F.col("t"), changed))
+    got = df.select("met", *[catalog.hit_column("SSHKeyExposure", k, F.col("t"), F.col("met"), changed) for k in ("ssh_key_file", "ssh_directory")]).collect()
+    assert [tuple(r) for r in got] == [(["id_"], True, False), (["id_"], False, False), (["SSHKeyExposure.ssh_directory"], False, True), ([], False, False)]
