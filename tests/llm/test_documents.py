@@ -438,6 +438,48 @@ def test_language_model_base_and_both_ways(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_language_model_sends_no_batch_for_each_slice(spark, monkeypatch):
+    """What tasks send may not grow with the product of texts and slices: one batch an order, however many slices there are."""
+    sent = spark.sparkContext.accumulator(0)
+    plain = type(spark.range(0)).mapInArrow
+
+    def counting(self, run, *args, **more):
+        def counted(batches):
+            for batch in run(batches):
+                sent.add(1)
+                yield batch
+
+        return plain(self, counted, *args, **more)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", counting)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 37 + j * j) % 5000}" for j in range(400))) for i in range(40)], "doc_id long, text string").coalesce(1)
+    got = {}
+    for slice_bytes in (1 << 30, 512):
+        monkeypatch.setattr(lm_bloom, "SLICE_BYTES", slice_bytes)
+        for limit in (1 << 30, 0):
+            before = sent.value
+            got[slice_bytes, limit] = {r["doc_id"]: r["base_score"] for r in lm_bloom.score_texts(docs, limit).collect()}
+            assert sent.value - before < 40
+    assert all(g == got[1 << 30, 0] for g in got.values())
+
+
+def test_language_model_counts_survive_their_packing():
+    rng = np.random.default_rng(4)
+    for slices in (1, 64, 1 << 16):
+        for gram, width in ((1, 64), (2, 48)):
+            hashes = np.unique(rng.integers(0, 1 << width, 3000, dtype=np.uint64, endpoint=False) if width < 64 else rng.integers(0, (1 << 64) - 1, 3000, dtype=np.uint64))
+            counts = rng.choice([0, 1, 1, 1, 2, 300, 1 << 33], len(hashes))
+            batch = lm_bloom.count_batch(hashes, counts, slices, gram, 7)
+            assert batch.num_rows <= slices and set(batch.column("unit").to_pylist()) == {7}
+            table, back = lm_bloom.pa.Table.from_batches([batch]), []
+            for s in sorted(set(batch.column("slice").to_pylist())):
+                own = table.filter(lm_bloom.pa.array(batch.column("slice").to_numpy() == s))
+                back.append(lm_bloom.uncounted(lm_bloom.pa.concat_tables([own, own]), slices, gram)[:2])
+            both = [np.concatenate([x[i][: len(x[i]) // 2] for x in back]) for i in (0, 1)]
+            again = [np.concatenate([x[i][len(x[i]) // 2 :] for x in back]) for i in (0, 1)]
+            assert all((a == b).all() and (a == c).all() for a, b, c in zip((hashes, counts), both, again))
+
+
 def brute_model(train):
     """log10 probability of a text with exact counts, quantised like the filter's."""
     counts = {1: Counter(), 2: Counter(), 3: Counter()}
